@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, tokens, toxicity
+from . import language, media, packing, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -17,6 +17,12 @@ WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, true)"
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 1 over every document."""
+    got = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    return got.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 4 over every document: stored as deflated TIFF strips with a horizontal predictor, and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
@@ -53,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixes": op1_suffixes,
     "op4_media": op4_media,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,

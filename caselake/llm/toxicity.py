@@ -55,26 +55,31 @@ def grams(words: list[str], buckets: int, low: int = 3, high: int = 5) -> tuple[
     return at[order].astype(np.int64), np.bincount(own, minlength=len(marked))
 
 
-def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 8, steps: int = 80, rate: float = 0.1, decay: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Each bucket's part of the logit and the bias, from joint training of vectors and softmax with Adam over the whole sample."""
+def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 4, steps: int = 80, rate: float = 0.1, decay: float = 1e-6, seed: int = 7, min_docs: int = 3) -> tuple[np.ndarray, float]:
+    """Each bucket's part of the logit and the bias, from joint training of vectors and softmax with Adam over the whole sample.
+
+    Words of fewer than ``min_docs`` sample documents teach nothing, as they tell single documents apart; they
+    still count in the mean's divisor, and are scored by their n-grams.
+    """
     codes = Codes()
     docs = [np.unique(codes.of(words_of(t)), return_counts=True) for t in texts]
-    if not len(codes) or len(set(labels.tolist())) < 2:
+    seen = np.bincount(np.concatenate([d[0] for d in docs]), minlength=len(codes)) if len(codes) else np.zeros(0, int)
+    if len(docs) < 20 * min_docs:
+        min_docs = 1
+    kept = np.flatnonzero(seen >= min_docs)
+    renamed = np.cumsum(seen >= min_docs) - 1
+    docs = [(renamed[c[m]], n[m], n.sum()) for c, n in docs for m in [seen[c] >= min_docs]]
+    if not len(kept) or len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
         return np.zeros(buckets, np.float32), float(np.log(share / (1 - share)))
-    bucket, per_word = grams(list(codes), buckets)
+    names = list(codes)
+    bucket, per_word = grams([names[k] for k in kept], buckets)
     used, slot = np.unique(bucket, return_inverse=True)
-    first = np.cumsum(per_word) - per_word
     word = np.concatenate([d[0] for d in docs])
     doc = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    share = np.concatenate([d[1] / d[1].sum() for d in docs if len(d[0])]).astype(np.float32)
+    share = np.concatenate([d[1] / d[2] for d in docs if len(d[0])]).astype(np.float32)
     to_gram = np.repeat(np.arange(len(per_word)), per_word)
-    by_slot = np.argsort(slot, kind="stable")
-    slot_start = np.flatnonzero(np.r_[True, np.diff(slot[by_slot]) > 0])
-    by_word = np.argsort(word, kind="stable")
-    word_start = np.flatnonzero(np.r_[True, np.diff(word[by_word]) > 0])
-    doc_start = np.flatnonzero(np.r_[True, np.diff(doc) > 0])
-    filled = doc[doc_start]
+    total = lambda at, rows, n: np.stack([np.bincount(at, rows[:, k], n) for k in range(dim)], axis=1).astype(np.float32)
     inv = (1 / per_word).astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
     e = (rng.standard_normal((len(used), dim)) / dim).astype(np.float32)
@@ -82,18 +87,16 @@ def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, d
     y = np.eye(2, dtype=np.float32)[labels]
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
     for t in range(1, steps + 1):
-        words = np.add.reduceat(e[slot], first, axis=0) * inv
-        x = np.zeros((len(docs), dim), np.float32)
-        x[filled] = np.add.reduceat(words[word] * share[:, None], doc_start, axis=0)
+        words = total(to_gram, e[slot], len(per_word)) * inv
+        x = total(doc, words[word] * share[:, None], len(docs))
         z = x @ w * 10 + b
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
         err = (p - y) / len(docs)
         gx = err @ w.T * 10
-        gw_word = np.zeros((len(per_word), dim), np.float32)
-        gw_word[word[by_word][word_start]] = np.add.reduceat((gx[doc] * share[:, None])[by_word], word_start, axis=0)
-        ge = np.add.reduceat((gw_word * inv)[to_gram][by_slot], slot_start, axis=0) + decay * e
+        by_word = total(word, gx[doc] * share[:, None], len(per_word)) * inv
+        ge = total(slot, by_word[to_gram], len(used)) + decay * e
         for v, g, m in ((e, ge, state[0]), (w, x.T @ err * 10, state[1]), (b, err.sum(axis=0), state[2])):
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.001 * (g * g - m[1])
@@ -104,16 +107,22 @@ def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, d
 
 
 def fit(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 3000, **how) -> tuple[np.ndarray, float]:
-    """Train on at most ``sample_docs`` documents of each label, those of smallest hash of the id.
+    """Train on at most ``sample_docs`` documents of each label, those of smallest hash of the id, and set the bias
+    to the labels' shares in the whole table.
 
     Rows whose id or label is null teach nothing; a document labelled twice counts with its larger label.
     """
-    rows = labelled.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
+    rows = labelled.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     chosen = [rows.where(F.col("y") == k).orderBy(F.xxhash64("i"), "i").limit(sample_docs) for k in (0, 1)]
     sample = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen[0].union(chosen[1])), "i").select("i", "t", "y").toArrow()
-    order = np.lexsort((np.array([t or "" for t in sample["t"].to_pylist()], dtype=object).astype(str) if len(sample) < 2 else np.arange(len(sample)), np.array(sample["i"].to_pylist(), dtype=np.int64)))
-    sample = sample.take(pa.array(order))
-    return train(sample["t"].to_pylist(), np.array(sample["y"].to_pylist(), dtype=np.int64), **how)
+    sample = sample.sort_by([("i", "ascending"), ("t", "ascending")])
+    shares = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    y = np.array(sample["y"].to_pylist(), dtype=np.int64)
+    parts, bias = train(sample["t"].to_pylist(), y, **how)
+    ones, zeros = int(y.sum()), int(len(y) - y.sum())
+    if ones and zeros:  # the sample has more of the rarer label than the table
+        bias += float(np.log(shares[1] / shares[0]) - np.log(ones / zeros))
+    return parts, bias
 
 
 def score(docs: DataFrame, parts: np.ndarray, bias: float, text: str = "text", out: str = "score") -> DataFrame:
