@@ -1 +1,4 @@
-"""Placeholder."""
+"""Registered queries of the design-analytics operators, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
