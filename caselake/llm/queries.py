@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, suffixes, tokens, toxicity
+from . import language, media, packing, setjoin, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -23,6 +23,26 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 3 over every document."""
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM words
+), posted AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM posted a JOIN posted b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id AS node, doc_id AS root FROM sets UNION SELECT l.b, r.root FROM reach r JOIN links l ON r.node = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(root) FROM reach WHERE node = doc_id) AS component_id FROM sets
+"""
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 4 over every document: stored as deflated TIFF strips with a horizontal predictor, and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
@@ -60,10 +80,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_media": op4_media,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL}
