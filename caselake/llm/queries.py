@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, setjoin, suffixes, tokens, toxicity
+from . import language, media, neighbours, packing, setjoin, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -72,6 +72,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), pieces, langs, p).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 9 over every vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths of every document, and what each context limit keeps."""
     lengths = tokens.encoded_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
+    "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL}
