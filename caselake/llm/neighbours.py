@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_for, cut, parts
+from .common import count_for, cut, parts, tidy
 
 GRAPH = "u long, nbrs array<long>, sims array<float>"
 
@@ -69,10 +69,13 @@ def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
     return v.where(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
 
-def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 24, trees: int = 3, rounds: int = 2, block: int = 128) -> DataFrame:
-    """GRAPH rows over ``nodes`` (u long, v array<double>): each node's nearest by NN-descent, best first."""
+def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, trees: int = 3, rounds: int = 8, block: int = 128) -> DataFrame:
+    """GRAPH rows over ``nodes`` (u long, v array<double>): each node's nearest by NN-descent, best first.
+
+    Rounds end when fewer than one in a hundred list entries are new.
+    """
     spark = nodes.sparkSession
-    groups, p = count_for(n, 2000), parts(spark)
+    groups, p = count_for(n, 1500), parts(spark)
     dims = nodes.select(F.size("v")).first()
     d = (dims[0] if dims else 0) + 1
     bits = max(1, int(np.ceil(np.log2(max(2, n / block)))))
@@ -111,26 +114,38 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 24, tree
         return _graph_table(*_nearest(np.repeat(rows.column("u").to_numpy(), sizes), flat("nbrs"), flat("sims"), degree))
 
     def met(rows: pa.Table) -> pa.Table:
-        centre, ids = rows.column("c").to_numpy(), rows.column("u").to_numpy()
-        order = np.lexsort((ids, centre))
+        centres = rows.column("cs").combine_chunks()
+        owner = np.repeat(np.arange(len(rows)), np.diff(centres.offsets.to_numpy()))
+        centre, ids, vecs, kth = centres.flatten().to_numpy(), rows.column("u").to_numpy(), _vectors(rows.column("h").to_pylist()), rows.column("kth").to_numpy()
+        order = np.lexsort((owner, centre))
         cuts = np.flatnonzero(np.r_[True, centre[order][1:] != centre[order][:-1]])
-        vecs, got = _vectors(rows.column("h").to_pylist()), []
+        got = []
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
             for x in range(a, z, block):
-                at = order[x : min(z, x + block)]
-                got.append(_block_pairs(ids[at], vecs[at], degree // 2))
+                at = owner[order[x : min(z, x + block)]]
+                i, j, sim = _block_pairs(at, vecs[at], degree // 2)
+                new = sim > kth[i]  # others would not enter the list
+                got.append((ids[i[new]], ids[j[new]], sim[new]))
         return _graph_table(*_nearest(*(np.concatenate(x) for x in zip(*got, strict=True)), degree))
 
     grouped = lambda df: df.withColumn("_g", F.pmod(F.xxhash64("u"), F.lit(groups))).groupBy("_g").applyInArrow(merged, GRAPH)
     graph = cut(grouped(found))
     for _ in range(rounds):
-        edges = graph.select("u", F.explode("nbrs").alias("c")).union(graph.select(F.col("u").alias("c"), F.explode("nbrs").alias("u")).select("u", "c")).union(graph.select("u", F.col("u").alias("c"))).distinct()
-        near = edges.join(points.select("u", "h"), "u").withColumn("_g", F.pmod(F.xxhash64("c"), F.lit(groups))).groupBy("_g").applyInArrow(met, GRAPH)
-        graph = cut(grouped(near.union(graph)))
+        out = graph.select("u", F.explode("nbrs").alias("c"))
+        edges = out.union(out.select(F.col("c").alias("u"), F.col("u").alias("c"))).union(graph.select("u", F.col("u").alias("c"))).repartition(p, "u")
+        sent = edges.groupBy("u", F.pmod(F.xxhash64("c"), F.lit(groups)).alias("_g")).agg(F.collect_set("c").alias("cs"))
+        known = points.select("u", "h").join(graph.select("u", F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("kth")), "u")
+        near = sent.join(known, "u").groupBy("_g").applyInArrow(met, GRAPH)
+        after = cut(grouped(near.union(graph)))
+        new = after.join(graph.select("u", F.col("nbrs").alias("old")), "u").agg(F.sum(F.size(F.array_except("nbrs", "old")))).first()[0] or 0
+        graph = after
+        tidy(spark)
+        if new < 0.01 * n * degree:
+            break
     return graph
 
 
-def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 24, beam: int = 20, rounds: int = 3) -> DataFrame:
+def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 40, beam: int = 60, rounds: int = 2) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id ``every`` divides, the k others of largest inner product.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite parts, and those not of
@@ -143,19 +158,28 @@ def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every
     nodes = cut(classes)
     n, largest = nodes.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()
     graph = build_graph(nodes.select("u", "v"), n, largest or 1.0, degree)
-    groups = count_for(n, 20 * 500)
+    groups = count_for(n, 1500)
+
+    homes = nodes.select(F.pmod(F.xxhash64("u"), F.lit(groups)).alias("_g"), "u", "v")
+
+    def scores(asked: pa.Table, home: pa.Table) -> pa.Table:
+        empty = pa.table({"q": pa.array([], pa.int64()), "w": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not len(asked):
+            return empty
+        lists = asked.column("ws").combine_chunks()
+        owner, w = np.repeat(np.arange(len(asked)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        u = home.column("u").to_numpy()
+        order = np.argsort(u)
+        at = order[np.searchsorted(u[order], w)]
+        x, y = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t, c in ((asked, "qv"), (home, "v")))
+        dots = np.concatenate([np.einsum("ij,ij->i", x[owner[a : a + 20_000]], y[at[a : a + 20_000]]) for a in range(0, len(w), 20_000)])
+        return pa.table({"q": pa.array(asked.column("q").to_numpy()[owner], pa.int64()), "w": pa.array(w, pa.int64()), "score": dots})
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """(q, w, score) of pairs (q, w), in double precision from the original vectors."""
-        sides = pairs.join(nodes.select(F.col("u").alias("q"), F.col("v").alias("qv")), "q").join(nodes.select(F.col("u").alias("w"), F.col("v").alias("wv")), "w")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x, y = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in (2, 3))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y), pa.float64())], ["q", "w", "score"])
-
-        return sides.select("q", "w", "qv", "wv").mapInArrow(run, "q long, w long, score double")
+        """(q, w, score) of pairs (q, w), in double precision from the original vectors; a query's vector goes to each group of nodes once."""
+        asked = pairs.groupBy("q", F.pmod(F.xxhash64("w"), F.lit(groups)).alias("_g")).agg(F.collect_set("w").alias("ws"))
+        asked = asked.join(nodes.select(F.col("u").alias("q"), F.col("v").alias("qv")), "q")
+        return asked.groupBy("_g").cogroup(homes.groupBy("_g")).applyInArrow(scores, "q long, w long, score double")
 
     keep = max(k + 4, beam)
 
@@ -177,11 +201,9 @@ def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every
     start = asking.join(graph, asking["q"] == graph["u"]).select("q", F.explode("nbrs").alias("w")).union(asking.select("q", F.col("q").alias("w")))
     state = pick(scored(start).withColumn("open", F.lit(1)))
     for _ in range(rounds):
-        wave = state.where("open = 1 and q <> w").join(graph, F.col("w") == F.col("u")).select("q", F.explode("nbrs").alias("w")).distinct()
-        fresh = wave.join(state.select("q", "w"), ["q", "w"], "left_anti")
-        after = pick(state.withColumn("open", F.lit(0)).union(scored(fresh).withColumn("open", F.lit(1))))
-        state = after
-        if after.where("open = 1").isEmpty():
+        wave = state.where("open = 1 and q <> w").join(graph, F.col("w") == F.col("u")).select("q", F.explode("nbrs").alias("w"))
+        state = pick(state.withColumn("open", F.lit(0)).union(scored(wave).withColumn("open", F.lit(1))))
+        if state.where("open = 1").isEmpty():
             break
     # Every node stands for its rows; of each, the smallest ids are enough.
     rows_of = good.join(classes.select("v", "u"), "v").select("u", "vec_id").distinct()
