@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, neighbours, packing, setjoin, suffixes, tokens, toxicity
+from . import language, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every whole document, and whether the best one decodes to it again."""
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE)).drop("ids")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 3 over every document."""
     return setjoin.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
@@ -67,9 +72,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 8 over every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.expr(HELD_OUT))
-    pieces = language.vocabulary(public_tokenizers.path(PIECE_BPE))
-    langs, p = language.fit(docs.where("not held_out"), pieces)
-    return language.predict(docs.drop("lang"), pieces, langs, p).select("doc_id", "held_out", "lang_pred", "score")
+    known = language.vocabulary(public_tokenizers.path(PIECE_BPE))
+    langs, p = language.fit(docs.where("not held_out"), known)
+    return language.predict(docs.drop("lang"), known, langs, p).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_media": op4_media,
     "op6_toxicity": op6_toxicity,
