@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity
+from . import language, lines, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -56,6 +56,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.pages(named))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text rid of lines like an earlier line."""
+    return lines.drop_similar_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 6 over every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.expr(HELD_OUT))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_media": op4_media,
+    "op5_lines": op5_lines,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_language": op8_language,

@@ -190,8 +190,9 @@ def _by_bucket(bucket: np.ndarray, order: np.ndarray):
         yield int(b[a]), order[a:z]
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 50, short: int = 24, cell_bytes: int = 3_000_000, bucket_bytes: int = 3_000_000) -> DataFrame:
-    """``docs`` without repeats: one row per row of ``docs`` with columns _id, n_bytes, n_removed, n_spans, kept binary.
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 50, short: int = 24, cell_bytes: int = 3_000_000, bucket_bytes: int = 3_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without repeats: one row per row of ``docs`` with columns _id, n_bytes, n_removed, n_spans, kept binary,
+    and the columns named in ``keep`` as struct _extra.
 
     A byte goes if a ``width``-byte string over it also starts in a document of a smaller id; strings are
     judged on the input. Null and empty texts have no bytes; rows with the same id never clear one another;
@@ -199,11 +200,11 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     they are called is no matter. No documents give no rows.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    base = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text"), F.struct(F.lit(0).cast("byte").alias("_"), *[docs[c] for c in keep]).alias("_extra"))
     total = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     cells, buckets, p = count_for(total, cell_bytes), count_for(total, bucket_bytes), parts(spark)
     nb = np.uint64(buckets)
-    dealt = base.where("_id is not null").select(F.pmod(F.xxhash64("_id"), F.lit(cells)).alias("_cell"), "_id", "_text").repartition(p, "_cell")
+    dealt = base.where("_id is not null").select(F.pmod(F.xxhash64("_id"), F.lit(cells)).alias("_cell"), "_id", "_text", "_extra").repartition(p, "_cell")
     by_cell = dealt.groupBy("_cell")
 
     def bucket_of(key: np.ndarray) -> np.ndarray:
@@ -301,8 +302,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
         return _rows(out, FOUND)
 
     def clear(cell: pa.Table, got: pa.Table) -> pa.Table:
+        extra = cell.column("_extra")
         if not len(cell):
-            return _rows([], RESULT)
+            return _rows([], RESULT).append_column("_extra", extra)
         c = Cell(cell, width, short)
         runs = chosen_runs(c, got)
         one, which = c.strings(runs)
@@ -338,14 +340,14 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
             a, z = int(c.offs[d]), int(c.offs[d + 1])
             g = gone[a:z]
             out.append((number, z - a, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), c.data[a:z][~g].tobytes()))
-        return _rows(out, RESULT)
+        return _rows(out, RESULT).append_column("_extra", extra)
 
     keys = by_cell.applyInArrow(send_keys, "bucket long, cell long, tags binary, many binary")
     marks = keys.groupBy("bucket").applyInArrow(shared, "cell long, bucket long, tags binary")
     strings = by_cell.cogroup(marks.groupBy("cell")).applyInArrow(send_strings, "bucket long, cell long, tags binary, data binary, sizes binary, keys binary, lows binary")
     found = strings.groupBy("bucket").applyInArrow(sort_strings, "cell long, bucket long, tags binary, counts binary, inner binary, value binary")
-    done = by_cell.cogroup(found.groupBy("cell")).applyInArrow(clear, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    nulls = base.where("_id is null").select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_text").alias("kept"))
+    done = by_cell.cogroup(found.groupBy("cell")).applyInArrow(clear, base.select("_id", *[F.lit(0).cast("long").alias(c) for c in RESULT[1:4]], F.col("_text").alias("kept"), "_extra").schema)
+    nulls = base.where("_id is null").select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_text").alias("kept"), "_extra")
     return done.union(nulls)
 
 
