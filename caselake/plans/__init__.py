@@ -1,4 +1,25 @@
-"""Registered queries of the design-analytics operators, and their SQL."""
+"""Registered queries of the design-analytics operators, and their SQL for the check."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from caselake.operators import evaluate, geometry, runs, search
+from caselake.plans.relation import Relations
+
+RELATIONS = Relations()
+for _module in (geometry, evaluate, search, runs):
+    _module.define(RELATIONS)
+
+#: Inputs and helpers of other relations; everything else is a query.
+HELPERS = {"seg", "walls", "group_axis", "comp_rects", "x_cuts", "y_cuts", "cells", "cell_edges", "wall_order", "col_shape", "reg", "clf", "mat", "errs", "log", "health", "cand", "attempts", "strata", "vectors", "report_html", "report_rows", "pairs", "roc_points", "hits", "vec"}
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: RELATIONS.frame(spark, sf_dir, name)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in RELATIONS.text if n not in HELPERS}
+ORACLE_SQL: dict[str, str] = {n: RELATIONS.duckdb(n) for n in QUERIES}
