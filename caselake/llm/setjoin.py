@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts, small_batches
+from .common import components, cut, parts, small_batches, stored, tidy
 
 A = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -144,7 +144,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").cast("binary").alias("_text"))
+    base = docs.select(F.col(id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(text).cast("string").cast("binary").alias("_text"))
     table, sizes = _counted(base.select("_text"), words)
     edge = boundary(sizes, table, percent)
     rank = np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8)
@@ -153,8 +153,8 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
         for b in batches:
-            ids, n, sets, keys, at = b.column(0), [], [], [], []
-            for t in b.column(1).to_pylist():
+            n, sets, keys, at = [], [], [], []
+            for t in b.column(2).to_pylist():
                 s = make.of(t)
                 k, a = _keys(s, shared.value, edge, percent) if len(s) else (np.zeros(0, np.uint64), [])
                 n.append(len(s))
@@ -163,17 +163,19 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 at.append(a)
             offs = np.cumsum([0, *map(len, keys)])
             flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(x) if x else [], kind))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sets, pa.int64()), flat(keys, pa.int64()), flat(at, pa.int32())], ["_id", "n", "s", "keys", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), flat(keys, pa.int64()), flat(at, pa.int32())], ["_id", "_h", "n", "s", "keys", "at"])
 
-    rows = base.mapInArrow(read, "_id long, n long, s long, keys array<long>, at array<int>")
+    rows = base.mapInArrow(read, "_id long, _h long, n long, s long, keys array<long>, at array<int>")
     # Lists of two or more sets; the exchange by key serves the grouping and the join.
     posted = rows.where("_id is not null and s is not null").select("s", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "at")).alias("k")).select(F.col("k.keys").alias("key"), "s", "n", F.col("k.at").alias("at"))
     posted = posted.repartition(parts(spark), "key").groupBy("key", "s").agg(F.first("n").alias("n"), F.first("at").alias("at"))
     heads = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("s", "n", "at")).alias("lead")).where("c > 1").drop("c")
-    members = cut(posted.join(heads, "key"))
-    sets = cut(rows.select("_id", F.col("n").alias("n_shingles"), "s"))
-    first = members.select("s").distinct().join(sets.where("_id is not null").groupBy("s").agg(F.min("_id").alias("_id")), "s")
-    texts = cut(base.join(first, "_id").dropDuplicates(["s"]).select("s", "_text"))
+    members = stored(posted.join(heads, "key"))
+    tidy(spark)
+    sets = stored(rows.select("_id", "_h", F.col("n").alias("n_shingles"), "s"))
+    first = members.select("s").distinct().join(sets.where("_id is not null").groupBy("s").agg(F.min(F.struct("_id", "_h")).alias("f")), "s").select("s", "f.*")
+    texts = stored(base.join(first, ["_id", "_h"]).select("s", "_text"))
+    tidy(spark)
 
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (at < 0 or {100 + percent} * (least(at, at2) + 1 + least(n - at - 1, n2 - at2 - 1)) >= {percent} * (n + n2))"
 
