@@ -12,22 +12,27 @@ Documents are dealt to cells by a hash of the id; a cell posts equal lines once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged
-from .setjoin import COUNTERS, LOWER, A, _counted, mixed, need
+from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged, small_batches
+from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
 
 POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
 ASKED = {"cell": "long", "to": "long", "a": "binary", "b": "binary", "more": "binary"}
-WORDS = {"to": "long", "b": "binary", "n": "binary", "words": "binary", "more": "binary"}
+WORDS = {"to": "long", "b": "binary", "which": "binary", "n": "binary", "words": "binary", "more": "binary"}
 VERDICT = {"_cell": "long", "line": "binary", "state": "binary"}
 #: States of a verdict: the line goes, or its lists hold more lines to try.
 GONE, OPEN = 1, 2
 WORD_LIMIT = 600_000
+MASK = np.uint64((1 << 44) - 1)
+#: Lines whose words are sorted together.
+BLOCK = 1 << 18
 _hashes: dict[bytes, int] = {}
 
 
@@ -41,16 +46,41 @@ def _rows(rows: list[tuple], shape: dict[str, str]) -> pa.Table:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of words; a process keeps those of at most ``WORD_LIMIT`` words."""
+    """44-bit hashes of words; a process keeps those of at most ``WORD_LIMIT`` words."""
     if len(_hashes) > WORD_LIMIT:
         _hashes.clear()
     try:
         return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        _hashes.update((w, int(mixed(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) * A + np.uint64(1))[0])) for w in set(words) if w not in _hashes)
+        new = [w for w in set(words) if w not in _hashes]
+        h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))) & MASK
+        _hashes.update(zip(new, h.tolist(), strict=True))
         return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """Occurrences of all words of all texts, in a table of fixed size by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            h = word_hashes(b" ".join([x or b"" for x in b.column(0).to_pylist()]).translate(LOWER).split())
+            table += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, COUNTERS, STEP), pa.int64()), pa.array([table[k : k + STEP].tobytes() for k in range(0, COUNTERS, STEP)], pa.binary())], ["at", "block"])
+
+    def add(some: pa.Table) -> pa.Table:
+        total = np.zeros(STEP, np.int64)
+        for x in some.column("block").to_pylist():
+            total += np.frombuffer(x, np.int64)
+        return pa.table({"at": some.column("at")[:1], "block": pa.array([total.tobytes()], pa.binary())})
+
+    small_batches(texts.sparkSession)
+    out = np.zeros(COUNTERS, np.int64)
+    for r in texts.mapInArrow(run, "at long, block binary").groupBy("at").applyInArrow(add, "at long, block binary").collect():
+        out[r["at"] : r["at"] + STEP] = np.frombuffer(r["block"], np.int64)
+    return out
+
+
 def split_lines(cell: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """All lines of a cell's documents in order of id and text, the row of each, and the order of rows."""
     data, offs = bytes_and_offsets(cell.column("_text"))
@@ -69,17 +99,31 @@ class Sets:
     """Distinct words of some lines: ``n`` of each, its words in ``words`` from ``first``."""
 
     def __init__(self, lines: list[bytes]) -> None:
-        found = [x.translate(LOWER).split() for x in lines]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        h = word_hashes([w for f in found for w in f])
-        own = np.repeat(np.arange(len(lines)), count)
-        order = np.lexsort((h, own))
-        h, own = h[order], own[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])] if len(h) else np.zeros(0, bool)
-        self.words, self.own = h[new], own[new]
+        words, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(lines), BLOCK):
+            found = [x.split() for x in b"\n".join(lines[k : k + BLOCK]).translate(LOWER).split(b"\n")]
+            h = word_hashes([w for f in found for w in f])
+            line = np.repeat(np.arange(len(found), dtype=np.uint64), np.fromiter(map(len, found), np.int64, len(found)))
+            both = np.sort(line << np.uint64(44) | h)
+            both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+            words.append(both & MASK)
+            own.append((both >> np.uint64(44)).astype(np.int64) + k)
+        self.words, self.own = np.concatenate(words), np.concatenate(own)
         self.n = np.bincount(self.own, minlength=len(lines))
         self.first = np.cumsum(self.n) - self.n
 
+    def by_rarity(self, chosen: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, 40-bit word, position) of the chosen lines' words, the rarest first."""
+        out = []
+        for k in range(0, len(chosen), BLOCK):
+            some = chosen[k : k + BLOCK]
+            w = self.words[ragged(self.first[some], self.n[some])]
+            line = np.repeat(np.arange(len(some), dtype=np.uint64), self.n[some])
+            both = np.sort(line << np.uint64(46) | rank[(w & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | w >> np.uint64(4))
+            at = ragged(np.zeros(len(some), np.int64), self.n[some])
+            out.append((some[(both >> np.uint64(46)).astype(np.int64)], both & np.uint64((1 << 40) - 1), at))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
 
 def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, ask: np.ndarray, percent: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by list and then by age; for each asking entry its next ``take`` passing earlier ones, and whether more follow.
@@ -130,7 +174,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     cells = count_for(total, cell_bytes)
     buckets, p = cells, parts(spark)
     nb = np.uint64(buckets)
-    table, _ = _counted(whole.select("_text"), 1)
+    table = word_counts(whole.select("_text"))
     rank = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8))
     dealt = whole.where("_id is not null and _text is not null").withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(cells))).repartition(p, "_cell")
     thin = dealt.groupBy("_cell")  # always all columns, so that one exchange serves every step
@@ -149,11 +193,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         one = np.sort(order[~same])
         bit = np.uint64(1) << (s.words & np.uint64(63))
         bits = np.bitwise_xor.reduceat(np.r_[bit, np.uint64(0)], np.minimum(s.first, len(bit)))
-        pick = ragged(s.first[one], s.n[one])
-        own, words = s.own[pick], s.words[pick]
-        by = np.lexsort((words, rank.value[(words % np.uint64(COUNTERS)).astype(np.int64)], own))
-        own, words = own[by], words[by]
-        at = ragged(np.zeros(len(one), np.int64), s.n[one])
+        own, words, at = s.by_rarity(one, rank.value)
         keep = at <= s.n[own] - need(s.n[own], percent)
         own, words, at = own[keep], words[keep], at[keep]
         ids = np.array(cell.column("_id").to_pylist(), np.int64)[row]
@@ -212,13 +252,26 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         if not len(asked):
             return _rows([], WORDS)
         lines, _, _ = split_lines(cell)
-        rows = asked.to_pylist()
-        used, where = np.unique(np.concatenate([np.frombuffer(r["a"], np.int32) for r in rows]), return_inverse=True)
-        s, at, out = Sets([lines[k] for k in used]), 0, []
-        for r in rows:
-            w = where[at : at + len(r["a"]) // 4]
-            at += len(w)
-            out.append((r["to"], r["b"], blob_of(s.n[w].astype(np.int32)) if len(w) else b"", blob_of(s.words[ragged(s.first[w], s.n[w])]), r["more"]))
+        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asked.column(name).to_pylist()])
+        out, gone = [], [r for r in asked.to_pylist() if not r["a"]]
+        a, more = col("a", np.int32), col("more", np.uint8)
+        size = [len(x) // 4 for x in asked.column("a").to_pylist()]
+        b = np.concatenate([np.frombuffer(x, np.int32) for x, n in zip(asked.column("b").to_pylist(), size, strict=True) if n] or [np.zeros(0, np.int32)])
+        to = np.repeat(np.array(asked.column("to").to_pylist(), np.int64), size)
+        # Several buckets propose the same pair; it travels once, and each line's words once to a cell.
+        o = np.lexsort((b, a, to))
+        a, b, to, more = a[o], b[o], to[o], more[o]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (to[1:] != to[:-1])]) if len(a) else np.zeros(0, np.int64)
+        more = np.maximum.reduceat(more, new) if len(a) else more
+        a, b, to = a[new], b[new], to[new]
+        used = np.unique(a)
+        s = Sets([lines[k] for k in used])
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
+        for x, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            one, which = np.unique(a[x:z], return_inverse=True)
+            w = np.searchsorted(used, one)
+            out.append((int(to[x]), blob_of(b[x:z]), blob_of(which.astype(np.int32)), blob_of(s.n[w].astype(np.int32)), blob_of(s.words[ragged(s.first[w], s.n[w])]), blob_of(more[x:z])))
+        out += [(r["to"], r["b"], b"", b"", b"", b"") for r in gone]
         return _rows(out, WORDS)
 
     def judge(cell: pa.Table, sent: pa.Table) -> pa.Table:
@@ -234,7 +287,8 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             if not r["n"]:
                 state.update((k, GONE) for k in b.tolist())
                 continue
-            n, words, more = np.frombuffer(r["n"], np.int32).astype(np.int64), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["more"], np.uint8)
+            sizes, which, more = np.frombuffer(r["n"], np.int32).astype(np.int64), np.frombuffer(r["which"], np.int32), np.frombuffer(r["more"], np.uint8)
+            n, words = sizes[which], np.frombuffer(r["words"], np.uint64)[ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
             mine = np.searchsorted(used, b)
             own = np.r_[np.repeat(np.arange(len(b)), n), np.repeat(np.arange(len(b)), s.n[mine])]
             h = np.r_[words, s.words[ragged(s.first[mine], s.n[mine])]]
