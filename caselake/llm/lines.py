@@ -207,7 +207,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         o = np.argsort(bucket, kind="stable")
         b = bucket[o]
         cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-        for x, z in zip(cuts, [*cuts[1:], len(b)], strict=True):
+        for x, z in zip(cuts, [*cuts[1:], len(b)], strict=False):
             r = o[x:z]
             w = own[r]
             out.append((int(b[x]), number, blob_of((words[r] // nb).astype(np.uint32)), blob_of(s.n[w].astype(np.int32)), blob_of(at[r].astype(np.int32)), blob_of(bits[w]), blob_of(ids[w]), blob_of(w.astype(np.int32)), blob_of(ask[w])))
@@ -246,7 +246,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         more_b = np.bincount(run, more_b) > 0 if len(run) else more_b
         a, b = a[~same], b[~same]
         route = np.flatnonzero(np.r_[True, (cell[a][1:] != cell[a][:-1]) | (cell[b][1:] != cell[b][:-1])]) if len(a) else []
-        return _rows([(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=True)], ASKED)
+        return _rows([(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
 
     def fetch(cell: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(asked):
@@ -267,7 +267,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         used = np.unique(a)
         s = Sets([lines[k] for k in used])
         cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-        for x, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+        for x, z in zip(cuts, [*cuts[1:], len(to)], strict=False):
             one, which = np.unique(a[x:z], return_inverse=True)
             w = np.searchsorted(used, one)
             out.append((int(to[x]), blob_of(b[x:z]), blob_of(which.astype(np.int32)), blob_of(s.n[w].astype(np.int32)), blob_of(s.words[ragged(s.first[w], s.n[w])]), blob_of(more[x:z])))
@@ -329,7 +329,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             gone[np.frombuffer(line, np.int32)[np.frombuffer(state, np.int32) == GONE]] = True
         kept: list[bytes] = [b""] * len(cell)
         cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for x, z in zip(cuts, [*cuts[1:], len(row)], strict=True):
+        for x, z in zip(cuts, [*cuts[1:], len(row)], strict=False):
             kept[row[x]] = b"\n".join([lines[k] for k in range(x, z) if not gone[k]])
         return pa.table({"_row": cell.column("_row"), "_kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())})
 

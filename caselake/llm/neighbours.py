@@ -120,7 +120,7 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
         order = np.lexsort((owner, centre))
         cuts = np.flatnonzero(np.r_[True, centre[order][1:] != centre[order][:-1]])
         got = []
-        for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for a, z in zip(cuts, [*cuts[1:], len(order)], strict=False):
             for x in range(a, z, block):
                 at = owner[order[x : min(z, x + block)]]
                 i, j, sim = _block_pairs(at, vecs[at], degree // 2)

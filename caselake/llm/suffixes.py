@@ -186,7 +186,7 @@ def _by_bucket(bucket: np.ndarray, order: np.ndarray):
     """Each bucket that occurs with its rows of ``order``."""
     b = bucket[order]
     cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-    for a, z in zip(cuts, [*cuts[1:], len(b)], strict=True):
+    for a, z in zip(cuts, [*cuts[1:], len(b)], strict=False):
         yield int(b[a]), order[a:z]
 
 
