@@ -3,9 +3,9 @@
 A line is its set of lower-cased words, ordered by rarity over the whole corpus. Lines alike enough share a
 word of their prefixes, so each line posts its prefix words. In a bucket of words each line meets the lines
 before it in its lists, under the length, positional and bitmap filters (a bitmap's differing bits bound how many
-words differ), and proposes the earliest that passes. Proposals travel to the earlier line's documents for
-its words and on to the later line's documents, where Jaccard similarity is verified. Lines whose proposals all fail while
-their lists hold more ask again for the next ones, in another round, until none is open.
+words differ), and proposes the earliest that pass. Proposals travel to the earlier line's documents for
+its words and on to the later line's documents, where Jaccard similarity is verified. A line proposes the
+first ``take`` that pass; lines whose proposals all fail while their lists hold more ask once again, for all the others.
 
 Documents are dealt to cells by a hash of the id; a cell posts equal lines once.
 """
@@ -159,7 +159,7 @@ def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarra
     return np.concatenate(out_a) if out_a else np.zeros(0, np.int64), np.concatenate(out_b) if out_b else np.zeros(0, np.int64), more
 
 
-def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, take: int = 2, cell_bytes: int = 3_000_000, rounds: int = 1000) -> DataFrame:
+def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, take: int = 32, cell_bytes: int = 3_000_000) -> DataFrame:
     """``docs`` with ``text`` rid of lines like an earlier line, of the same document or one of a smaller id.
 
     Lines link when 100 * intersection >= percent * union of their sets of words; similarity is judged on the input, so a
@@ -227,26 +227,29 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             skips.update(zip(np.frombuffer(line, np.int32).tolist(), np.frombuffer(state, np.int32).tolist(), strict=True))
         return post(cell, skips)
 
-    def meet(bucket: pa.Table) -> pa.Table:
-        number = bucket.column("bucket")[0].as_py()
-        if number < 0:
-            return _rows([(c, c, b"", x, b"") for c, x in zip(bucket.column("cell").to_pylist(), bucket.column("line").to_pylist(), strict=True)], ASKED)
-        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in bucket.column(name).to_pylist()])
-        tags, n, at, bits, ids, line, ask = (col(c, t) for c, t in (("tags", np.uint32), ("n", np.int32), ("at", np.int32), ("bits", np.uint64), ("ids", np.int64), ("line", np.int32), ("ask", np.int32)))
-        cell = np.repeat(np.array(bucket.column("cell").to_pylist(), np.int64), [len(x) // 4 for x in bucket.column("tags").to_pylist()])
-        order = np.lexsort((line, ids, tags))
-        a, b, more = _proposals(tags[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], ask[order], percent, take)
-        a, b, more_b = order[a], order[b], more[b]
-        # One proposal of a pair is enough.
-        o = np.lexsort((line[b], cell[b], line[a], cell[a]))
-        a, b, more_b = a[o], b[o], more_b[o]
-        same = np.zeros(len(a), bool)
-        same[1:] = (line[a][1:] == line[a][:-1]) & (cell[a][1:] == cell[a][:-1]) & (line[b][1:] == line[b][:-1]) & (cell[b][1:] == cell[b][:-1])
-        run = np.cumsum(~same) - 1
-        more_b = np.bincount(run, more_b) > 0 if len(run) else more_b
-        a, b = a[~same], b[~same]
-        route = np.flatnonzero(np.r_[True, (cell[a][1:] != cell[a][:-1]) | (cell[b][1:] != cell[b][:-1])]) if len(a) else []
-        return _rows([(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
+    def meeting(most: int):
+        def meet(bucket: pa.Table) -> pa.Table:
+            number = bucket.column("bucket")[0].as_py()
+            if number < 0:
+                return _rows([(c, c, b"", x, b"") for c, x in zip(bucket.column("cell").to_pylist(), bucket.column("line").to_pylist(), strict=True)], ASKED)
+            col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in bucket.column(name).to_pylist()])
+            tags, n, at, bits, ids, line, ask = (col(c, t) for c, t in (("tags", np.uint32), ("n", np.int32), ("at", np.int32), ("bits", np.uint64), ("ids", np.int64), ("line", np.int32), ("ask", np.int32)))
+            cell = np.repeat(np.array(bucket.column("cell").to_pylist(), np.int64), [len(x) // 4 for x in bucket.column("tags").to_pylist()])
+            order = np.lexsort((line, ids, tags))
+            a, b, more = _proposals(tags[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], ask[order], percent, most)
+            a, b, more_b = order[a], order[b], more[b]
+            # One proposal of a pair is enough.
+            o = np.lexsort((line[b], cell[b], line[a], cell[a]))
+            a, b, more_b = a[o], b[o], more_b[o]
+            same = np.zeros(len(a), bool)
+            same[1:] = (line[a][1:] == line[a][:-1]) & (cell[a][1:] == cell[a][:-1]) & (line[b][1:] == line[b][:-1]) & (cell[b][1:] == cell[b][:-1])
+            run = np.cumsum(~same) - 1
+            more_b = np.bincount(run, more_b) > 0 if len(run) else more_b
+            a, b = a[~same], b[~same]
+            route = np.flatnonzero(np.r_[True, (cell[a][1:] != cell[a][:-1]) | (cell[b][1:] != cell[b][:-1])]) if len(a) else []
+            return _rows([(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
+
+        return meet
 
     def fetch(cell: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(asked):
@@ -304,21 +307,15 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         out = sorted(state.items())
         return _rows([(cell.column("_cell")[0].as_py(), blob_of(np.array([k for k, _ in out], np.int32)), blob_of(np.array([v for _, v in out], np.int32)))] if out else [], VERDICT)
 
-    def answers(posted: DataFrame) -> DataFrame:
-        asked = posted.groupBy("bucket").applyInArrow(meet, _ddl(ASKED))
+    def answers(posted: DataFrame, most: int) -> DataFrame:
+        asked = posted.groupBy("bucket").applyInArrow(meeting(most), _ddl(ASKED))
         words = thin.cogroup(asked.groupBy("cell")).applyInArrow(fetch, _ddl(WORDS))
         return cut(thin.cogroup(words.groupBy("to")).applyInArrow(judge, _ddl(VERDICT)))
 
-    verdicts = answers(thin.applyInArrow(post_all, _ddl(POSTED)))
-    now = verdicts
-    for k in range(1, rounds):
-        asks = cut(now.groupBy("_cell").applyInArrow(_still_open(1 + k * take), _ddl(VERDICT)))
-        if asks.isEmpty():
-            break
-        now = answers(thin.cogroup(asks.groupBy("_cell")).applyInArrow(post_open, _ddl(POSTED)))
-        verdicts = verdicts.union(now)
-    else:
-        raise RuntimeError(f"lines still open after {rounds} rounds")
+    verdicts = answers(thin.applyInArrow(post_all, _ddl(POSTED)), take)
+    asks = cut(verdicts.groupBy("_cell").applyInArrow(_still_open(1 + take), _ddl(VERDICT)))
+    if not asks.isEmpty():
+        verdicts = verdicts.union(answers(thin.cogroup(asks.groupBy("_cell")).applyInArrow(post_open, _ddl(POSTED)), 1 << 30))
 
     def clear(cell: pa.Table, found: pa.Table) -> pa.Table:
         if not len(cell):
