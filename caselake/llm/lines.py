@@ -7,7 +7,8 @@ words differ), and proposes the earliest that pass. Proposals travel to the earl
 its words and on to the later line's documents, where Jaccard similarity is verified. A line proposes the
 first ``take`` that pass; lines whose proposals all fail while their lists hold more ask once again, for all the others.
 
-Documents are dealt to cells by a hash of the id; a cell posts equal lines once.
+Documents are dealt to cells by a hash of the id; a cell posts equal lines once. Equal lines of several cells meet in
+their lists, where all but the earliest go at once: whatever is like one of them is like the earliest.
 """
 
 from __future__ import annotations
@@ -16,24 +17,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged, small_batches
 from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
 
-POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
+POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
 ASKED = {"cell": "long", "to": "long", "a": "binary", "b": "binary", "more": "binary"}
 WORDS = {"to": "long", "b": "binary", "which": "binary", "n": "binary", "words": "binary", "more": "binary"}
 VERDICT = {"_cell": "long", "line": "binary", "state": "binary"}
 #: States of a verdict: the line goes, or its lists hold more lines to try.
 GONE, OPEN = 1, 2
-WORD_LIMIT = 600_000
 MASK = np.uint64((1 << 44) - 1)
 #: Lines whose words are sorted together.
 BLOCK = 1 << 18
-_hashes: dict[bytes, int] = {}
+#: Bytes that are hashed together, up to the next end of a word.
+CHUNK = 1 << 20
+#: A word's hash is the sum of its bytes' values times powers of an odd base, so that running sums give those of all words.
+BASE = 0x5851F42D4C957F2D
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: dict[int, np.ndarray] = {}
 
 
 def _ddl(shape: dict[str, str]) -> str:
@@ -45,17 +50,49 @@ def _rows(rows: list[tuple], shape: dict[str, str]) -> pa.Table:
     return pa.table({k: pa.array(c, pa.int64() if kind == "long" else pa.binary()) for (k, kind), c in zip(shape.items(), cols, strict=True)})
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """44-bit hashes of words; a process keeps those of at most ``WORD_LIMIT`` words."""
-    if len(_hashes) > WORD_LIMIT:
-        _hashes.clear()
-    try:
-        return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        new = [w for w in set(words) if w not in _hashes]
-        h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))) & MASK
-        _hashes.update(zip(new, h.tolist(), strict=True))
-        return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def packed(a: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as compressed planes of bytes; ``rising`` ones as differences."""
+    if rising and len(a):
+        a = np.r_[a[:1], np.diff(a)]
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1) if len(a) else b""
+
+
+def unpacked(x: bytes, kind, rising: bool = False) -> np.ndarray:
+    if not x:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    a = np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 2 * CHUNK:
+            _powers[base] = known
+    return known[:n]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts, and its 44-bit hash; ASCII letters count as lower case."""
+    data = np.frombuffer(raw.translate(LOWER), np.uint8)
+    space, value = SPACE[data], mixed(np.arange(1, 257, dtype=np.uint64) * A)
+    starts, hashes, x = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while x < len(data):
+        z = x + CHUNK
+        while z < len(data) and not space[z : z + CHUNK].any():
+            z += CHUNK
+        z = min(len(data), z if z >= len(data) else z + int(space[z : z + CHUNK].argmax()))
+        edge = np.flatnonzero(np.diff(np.r_[True, space[x:z], True].view(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        total = np.r_[np.uint64(0), np.cumsum(value[data[x:z]] * _powers_of(BASE, z - x), dtype=np.uint64)]
+        hashes.append(mixed((total[last] - total[first]) * _powers_of(pow(BASE, -1, 1 << 64), z - x)[first]) & MASK)
+        starts.append(first + x)
+        x = z
+    return np.concatenate(starts), np.concatenate(hashes)
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
@@ -64,7 +101,7 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            h = word_hashes(b" ".join([x or b"" for x in b.column(0).to_pylist()]).translate(LOWER).split())
+            _, h = word_hashes(b" ".join([x or b"" for x in b.column(0).to_pylist()]))
             table += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array(range(0, COUNTERS, STEP), pa.int64()), pa.array([table[k : k + STEP].tobytes() for k in range(0, COUNTERS, STEP)], pa.binary())], ["at", "block"])
 
@@ -101,9 +138,10 @@ class Sets:
     def __init__(self, lines: list[bytes]) -> None:
         words, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for k in range(0, len(lines), BLOCK):
-            found = [x.split() for x in b"\n".join(lines[k : k + BLOCK]).translate(LOWER).split(b"\n")]
-            h = word_hashes([w for f in found for w in f])
-            line = np.repeat(np.arange(len(found), dtype=np.uint64), np.fromiter(map(len, found), np.int64, len(found)))
+            some = lines[k : k + BLOCK]
+            at, h = word_hashes(b"\n".join(some))
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            line = np.searchsorted(ends, at, side="right").astype(np.uint64)
             both = np.sort(line << np.uint64(44) | h)
             both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
             words.append(both & MASK)
@@ -210,10 +248,10 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         for x, z in zip(cuts, [*cuts[1:], len(b)], strict=False):
             r = o[x:z]
             w = own[r]
-            out.append((int(b[x]), number, blob_of((words[r] // nb).astype(np.uint32)), blob_of(s.n[w].astype(np.int32)), blob_of(at[r].astype(np.int32)), blob_of(bits[w]), blob_of(ids[w]), blob_of(w.astype(np.int32)), blob_of(ask[w])))
+            out.append((int(b[x]), number, blob_of((words[r] // nb).astype(np.uint32)), packed(s.n[w].astype(np.int32)), packed(at[r].astype(np.int32)), blob_of(bits[w]), blob_of((total_[w] >> np.uint64(32)).astype(np.uint32)), packed(ids[w], True), packed(w.astype(np.int32), True), packed(ask[w])))
         gone = order[same]
         if len(gone) and skips is None:
-            out.append((-1 - number, number, *[b""] * 5, blob_of(gone.astype(np.int32)), b""))
+            out.append((-1 - number, number, *[b""] * 6, blob_of(gone.astype(np.int32)), b""))
         return _rows(out, POSTED)
 
     def post_all(cell: pa.Table) -> pa.Table:
@@ -232,10 +270,22 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             number = bucket.column("bucket")[0].as_py()
             if number < 0:
                 return _rows([(c, c, b"", x, b"") for c, x in zip(bucket.column("cell").to_pylist(), bucket.column("line").to_pylist(), strict=True)], ASKED)
-            col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in bucket.column(name).to_pylist()])
-            tags, n, at, bits, ids, line, ask = (col(c, t) for c, t in (("tags", np.uint32), ("n", np.int32), ("at", np.int32), ("bits", np.uint64), ("ids", np.int64), ("line", np.int32), ("ask", np.int32)))
+            plain = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in bucket.column(name).to_pylist()])
+            small = lambda name, kind, rising=False: np.concatenate([unpacked(x, kind, rising) for x in bucket.column(name).to_pylist()])
+            tags, bits, sums = plain("tags", np.uint32), plain("bits", np.uint64), plain("sums", np.uint32)
+            n, at, ids, line, ask = small("n", np.int32), small("at", np.int32), small("ids", np.int64, True), small("line", np.int32, True), small("ask", np.int32)
             cell = np.repeat(np.array(bucket.column("cell").to_pylist(), np.int64), [len(x) // 4 for x in bucket.column("tags").to_pylist()])
-            order = np.lexsort((line, ids, tags))
+            # Equal lines are equal in all of this; the earliest stands for them, the others go.
+            order = np.lexsort((line, ids, n, sums, bits, tags))
+            again = np.zeros(len(order), bool)
+            again[1:] = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (tags, bits, sums, n)])
+            twins = order[again]
+            twins = twins[(at[twins] == 0) & (ask[twins] > 0)]
+            twins = twins[np.argsort(cell[twins], kind="stable")]
+            cuts = np.flatnonzero(np.r_[True, cell[twins][1:] != cell[twins][:-1]]) if len(twins) else []
+            out = [(int(cell[twins[x]]), int(cell[twins[x]]), b"", blob_of(line[twins[x:z]]), b"") for x, z in zip(cuts, [*cuts[1:], len(twins)], strict=False)]
+            order = order[~again]
+            order = order[np.lexsort((line[order], ids[order], tags[order]))]
             a, b, more = _proposals(tags[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], ask[order], percent, most)
             a, b, more_b = order[a], order[b], more[b]
             # One proposal of a pair is enough.
@@ -247,7 +297,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             more_b = np.bincount(run, more_b) > 0 if len(run) else more_b
             a, b = a[~same], b[~same]
             route = np.flatnonzero(np.r_[True, (cell[a][1:] != cell[a][:-1]) | (cell[b][1:] != cell[b][:-1])]) if len(a) else []
-            return _rows([(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
+            return _rows(out + [(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
 
         return meet
 
@@ -273,7 +323,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         for x, z in zip(cuts, [*cuts[1:], len(to)], strict=False):
             one, which = np.unique(a[x:z], return_inverse=True)
             w = np.searchsorted(used, one)
-            out.append((int(to[x]), blob_of(b[x:z]), blob_of(which.astype(np.int32)), blob_of(s.n[w].astype(np.int32)), blob_of(s.words[ragged(s.first[w], s.n[w])]), blob_of(more[x:z])))
+            out.append((int(to[x]), blob_of(b[x:z]), blob_of(which.astype(np.int32)), blob_of(s.n[w].astype(np.int32)), packed(s.words[ragged(s.first[w], s.n[w])], True), blob_of(more[x:z])))
         out += [(r["to"], r["b"], b"", b"", b"", b"") for r in gone]
         return _rows(out, WORDS)
 
@@ -291,13 +341,15 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 state.update((k, GONE) for k in b.tolist())
                 continue
             sizes, which, more = np.frombuffer(r["n"], np.int32).astype(np.int64), np.frombuffer(r["which"], np.int32), np.frombuffer(r["more"], np.uint8)
-            n, words = sizes[which], np.frombuffer(r["words"], np.uint64)[ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
+            n, words = sizes[which], unpacked(r["words"], np.uint64, True)[ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
             mine = np.searchsorted(used, b)
-            own = np.r_[np.repeat(np.arange(len(b)), n), np.repeat(np.arange(len(b)), s.n[mine])]
-            h = np.r_[words, s.words[ragged(s.first[mine], s.n[mine])]]
-            o = np.lexsort((h, own))
-            twice = (h[o][1:] == h[o][:-1]) & (own[o][1:] == own[o][:-1])
-            both = np.bincount(own[o][1:][twice], minlength=len(b))
+            both = np.zeros(len(b), np.int64)
+            ends = np.cumsum(n)
+            for x in range(0, len(b), BLOCK):
+                some = np.arange(min(BLOCK, len(b) - x))
+                own = np.r_[np.repeat(some, n[x : x + BLOCK]), np.repeat(some, s.n[mine[x : x + BLOCK]])].astype(np.uint64)
+                h = np.sort(own << np.uint64(44) | np.r_[words[ends[x] - n[x] : ends[x + len(some) - 1]], s.words[ragged(s.first[mine[x : x + BLOCK]], s.n[mine[x : x + BLOCK]])]])
+                both[x : x + BLOCK] = np.bincount((h[1:][h[1:] == h[:-1]] >> np.uint64(44)).astype(np.int64), minlength=len(some))
             linked = 100 * both >= percent * (n + s.n[mine] - both)
             for k, yes, m in zip(b.tolist(), linked.tolist(), more.tolist(), strict=True):
                 if yes:

@@ -176,3 +176,38 @@ def test_neighbours_are_exact_on_a_small_table(spark):
         want = [i for i in np.lexsort((np.arange(60), -s)) if i != q][:5]
         assert found == want
     assert {r["query_id"] for r in got} == {0, 20, 40}
+
+
+def test_line_dedup_of_copies_and_near_copies_in_many_cells(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 400, int(rng.integers(5, 25)))] for _ in range(12)]
+    texts = []
+    for i in range(90):
+        made = []
+        for _ in range(int(rng.integers(1, 6))):
+            words = list(base[int(rng.integers(len(base)))])
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(len(words)))] = f"w{int(rng.integers(0, 400))}"
+            made.append(" ".join(words))
+        texts.append((i, "\n".join(made)))
+    seen, want = [], {}
+    for i, t in texts:
+        kept = []
+        for line in t.split("\n"):
+            s = set(line.split())
+            if len(s) < 5 or not any(100 * len(s & e) >= 80 * len(s | e) for e in seen):
+                kept.append(line)
+            if len(s) >= 5:
+                seen.append(s)
+        want[i] = "\n".join(kept)
+    for take in (1, 32):
+        got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs(spark, texts), cell_bytes=1500, take=take).collect()}
+        assert got == want
+
+
+def test_word_hashes_follow_the_words():
+    raw = ("The  quick\tbrown fox\n the dog É  x\n\n" + "z" * 3_000_000 + " the end").encode()
+    at, h = lines.word_hashes(raw)
+    words = raw.translate(lines.LOWER).split()
+    assert len(words) == len(at) == len(h) and len({*zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    assert len(lines.word_hashes(b"")[0]) == 0
