@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged, small_batches
 from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
 
-POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
-ASKED = {"cell": "long", "to": "long", "a": "binary", "b": "binary", "more": "binary"}
+POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "halves": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
+ASKED = {"cell": "long", "to": "binary", "a": "binary", "b": "binary", "more": "binary"}
 WORDS = {"to": "long", "b": "binary", "which": "binary", "n": "binary", "words": "binary", "more": "binary"}
 VERDICT = {"_cell": "long", "line": "binary", "state": "binary"}
 #: States of a verdict: the line goes, or its lists hold more lines to try.
 GONE, OPEN = 1, 2
 MASK = np.uint64((1 << 44) - 1)
+#: Lines of so many words have bitmaps of 128 bits, shorter ones of 64, which are both halves of the longer over one another.
+WIDE = 64
 #: Lines whose words are sorted together.
 BLOCK = 1 << 18
 #: Bytes that are hashed together, up to the next end of a word.
@@ -163,7 +165,7 @@ class Sets:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, ask: np.ndarray, percent: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, half: np.ndarray, ask: np.ndarray, percent: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by list and then by age; for each asking entry its next ``take`` passing earlier ones, and whether more follow.
 
     ``ask`` is 0 for entries that only serve as earlier lines, else 1 plus how many passing ones to skip. All lists are
@@ -185,11 +187,14 @@ def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarra
         both = na + nb
         ub = np.minimum(at[a], at[live]) + 1 + np.minimum(na - at[a] - 1, nb - at[live] - 1)
         fit = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * ub >= percent * both)
-        fit &= (100 + percent) * (both - np.bitwise_count(bits[a] ^ bits[live]).astype(np.int64)) >= 2 * percent * both
-        b = live[fit]
+        a, b, both = a[fit], live[fit], both[fit]
+        differ, halves = bits[a] ^ bits[b], (half[a] ^ half[b]) * ((n[a] >= WIDE) & (n[b] >= WIDE))
+        differing = np.bitwise_count(differ ^ halves).astype(np.int64) + np.bitwise_count(halves)
+        alike = (100 + percent) * (both - differing) >= 2 * percent * both
+        a, b = a[alike], b[alike]
         got[b] += 1
         now = (got[b] > skip[b]) & (got[b] <= skip[b] + take)
-        out_a.append(a[fit][now])
+        out_a.append(a[now])
         out_b.append(b[now])
         more[b[got[b] > skip[b] + take]] = True
         live = live[~more[live]]
@@ -231,6 +236,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         one = np.sort(order[~same])
         bit = np.uint64(1) << (s.words & np.uint64(63))
         bits = np.bitwise_xor.reduceat(np.r_[bit, np.uint64(0)], np.minimum(s.first, len(bit)))
+        half = np.bitwise_xor.reduceat(np.r_[bit * (s.words >> np.uint64(6) & np.uint64(1)), np.uint64(0)], np.minimum(s.first, len(bit)))
         own, words, at = s.by_rarity(one, rank.value)
         keep = at <= s.n[own] - need(s.n[own], percent)
         own, words, at = own[keep], words[keep], at[keep]
@@ -248,10 +254,10 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         for x, z in zip(cuts, [*cuts[1:], len(b)], strict=False):
             r = o[x:z]
             w = own[r]
-            out.append((int(b[x]), number, blob_of((words[r] // nb).astype(np.uint32)), packed(s.n[w].astype(np.int32)), packed(at[r].astype(np.int32)), blob_of(bits[w]), blob_of((total_[w] >> np.uint64(32)).astype(np.uint32)), packed(ids[w], True), packed(w.astype(np.int32), True), packed(ask[w])))
+            out.append((int(b[x]), number, blob_of((words[r] // nb).astype(np.uint32)), packed(s.n[w].astype(np.int32)), packed(at[r].astype(np.int32)), blob_of(bits[w]), blob_of(half[w[s.n[w] >= WIDE]]), blob_of((total_[w] >> np.uint64(32)).astype(np.uint32)), packed(ids[w], True), packed(w.astype(np.int32), True), packed(ask[w])))
         gone = order[same]
         if len(gone) and skips is None:
-            out.append((-1 - number, number, *[b""] * 6, blob_of(gone.astype(np.int32)), b""))
+            out.append((-1 - number, number, *[b""] * 7, blob_of(gone.astype(np.int32)), b""))
         return _rows(out, POSTED)
 
     def post_all(cell: pa.Table) -> pa.Table:
@@ -269,11 +275,13 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         def meet(bucket: pa.Table) -> pa.Table:
             number = bucket.column("bucket")[0].as_py()
             if number < 0:
-                return _rows([(c, c, b"", x, b"") for c, x in zip(bucket.column("cell").to_pylist(), bucket.column("line").to_pylist(), strict=True)], ASKED)
+                return _rows([(c, b"", b"", x, b"") for c, x in zip(bucket.column("cell").to_pylist(), bucket.column("line").to_pylist(), strict=True)], ASKED)
             plain = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in bucket.column(name).to_pylist()])
             small = lambda name, kind, rising=False: np.concatenate([unpacked(x, kind, rising) for x in bucket.column(name).to_pylist()])
             tags, bits, sums = plain("tags", np.uint32), plain("bits", np.uint64), plain("sums", np.uint32)
             n, at, ids, line, ask = small("n", np.int32), small("at", np.int32), small("ids", np.int64, True), small("line", np.int32, True), small("ask", np.int32)
+            half = np.zeros(len(n), np.uint64)
+            half[n >= WIDE] = plain("halves", np.uint64)
             cell = np.repeat(np.array(bucket.column("cell").to_pylist(), np.int64), [len(x) // 4 for x in bucket.column("tags").to_pylist()])
             # Equal lines are equal in all of this; the earliest stands for them, the others go.
             order = np.lexsort((line, ids, n, sums, bits, tags))
@@ -283,10 +291,10 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             twins = twins[(at[twins] == 0) & (ask[twins] > 0)]
             twins = twins[np.argsort(cell[twins], kind="stable")]
             cuts = np.flatnonzero(np.r_[True, cell[twins][1:] != cell[twins][:-1]]) if len(twins) else []
-            out = [(int(cell[twins[x]]), int(cell[twins[x]]), b"", blob_of(line[twins[x:z]]), b"") for x, z in zip(cuts, [*cuts[1:], len(twins)], strict=False)]
+            out = [(int(cell[twins[x]]), b"", b"", blob_of(line[twins[x:z]]), b"") for x, z in zip(cuts, [*cuts[1:], len(twins)], strict=False)]
             order = order[~again]
             order = order[np.lexsort((line[order], ids[order], tags[order]))]
-            a, b, more = _proposals(tags[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], ask[order], percent, most)
+            a, b, more = _proposals(tags[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], half[order], ask[order], percent, most)
             a, b, more_b = order[a], order[b], more[b]
             # One proposal of a pair is enough.
             o = np.lexsort((line[b], cell[b], line[a], cell[a]))
@@ -296,8 +304,8 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             run = np.cumsum(~same) - 1
             more_b = np.bincount(run, more_b) > 0 if len(run) else more_b
             a, b = a[~same], b[~same]
-            route = np.flatnonzero(np.r_[True, (cell[a][1:] != cell[a][:-1]) | (cell[b][1:] != cell[b][:-1])]) if len(a) else []
-            return _rows(out + [(int(cell[a[x]]), int(cell[b[x]]), blob_of(line[a[x:z]]), blob_of(line[b[x:z]]), blob_of(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
+            route = np.flatnonzero(np.r_[True, cell[a][1:] != cell[a][:-1]]) if len(a) else []
+            return _rows(out + [(int(cell[a[x]]), packed(cell[b[x:z]].astype(np.int32)), packed(line[a[x:z]], True), packed(line[b[x:z]]), packed(more_b[x:z].astype(np.uint8))) for x, z in zip(route, [*route[1:], len(a)], strict=False)], ASKED)
 
         return meet
 
@@ -305,12 +313,10 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         if not len(asked):
             return _rows([], WORDS)
         lines, _, _ = split_lines(cell)
-        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asked.column(name).to_pylist()])
-        out, gone = [], [r for r in asked.to_pylist() if not r["a"]]
-        a, more = col("a", np.int32), col("more", np.uint8)
-        size = [len(x) // 4 for x in asked.column("a").to_pylist()]
-        b = np.concatenate([np.frombuffer(x, np.int32) for x, n in zip(asked.column("b").to_pylist(), size, strict=True) if n] or [np.zeros(0, np.int32)])
-        to = np.repeat(np.array(asked.column("to").to_pylist(), np.int64), size)
+        routes = asked.to_pylist()
+        out, gone, routes = [], [r for r in routes if not r["a"]], [r for r in routes if r["a"]]
+        col = lambda name, kind, rising=False: np.concatenate([np.zeros(0, kind), *(unpacked(r[name], kind, rising) for r in routes)])
+        to, a, b, more = col("to", np.int32), col("a", np.int32, True), col("b", np.int32), col("more", np.uint8)
         # Several buckets propose the same pair; it travels once, and each line's words once to a cell.
         o = np.lexsort((b, a, to))
         a, b, to, more = a[o], b[o], to[o], more[o]
@@ -324,7 +330,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             one, which = np.unique(a[x:z], return_inverse=True)
             w = np.searchsorted(used, one)
             out.append((int(to[x]), blob_of(b[x:z]), blob_of(which.astype(np.int32)), blob_of(s.n[w].astype(np.int32)), packed(s.words[ragged(s.first[w], s.n[w])], True), blob_of(more[x:z])))
-        out += [(r["to"], r["b"], b"", b"", b"", b"") for r in gone]
+        out += [(r["cell"], r["b"], b"", b"", b"", b"") for r in gone]
         return _rows(out, WORDS)
 
     def judge(cell: pa.Table, sent: pa.Table) -> pa.Table:
