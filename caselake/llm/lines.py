@@ -5,7 +5,8 @@ word of their prefixes, so each line posts its prefix words. In a bucket of word
 before it in its lists, under the length, positional and bitmap filters (a bitmap's differing bits bound how many
 words differ), and proposes the earliest that pass. Proposals travel to the earlier line's documents for
 its words and on to the later line's documents, where Jaccard similarity is verified. A line proposes the
-first ``take`` that pass; lines whose proposals all fail while their lists hold more ask once again, for all the others.
+first ``take`` that pass; lines whose proposals all fail while their lists hold more ask once again, for all the others,
+and then only words of their prefixes are posted, known by a table of bits of fixed size.
 
 Documents are dealt to cells by a hash of the id; a cell posts equal lines once. Equal lines of several cells meet in
 their lists, where all but the earliest go at once: whatever is like one of them is like the earliest.
@@ -27,7 +28,7 @@ from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
 POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "halves": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
 ASKED = {"cell": "long", "to": "binary", "a": "binary", "b": "binary", "more": "binary"}
 WORDS = {"to": "long", "b": "binary", "which": "binary", "n": "binary", "words": "binary", "more": "binary"}
-VERDICT = {"_cell": "long", "line": "binary", "state": "binary"}
+VERDICT = {"_cell": "long", "line": "binary", "state": "binary", "slots": "binary"}
 #: States of a verdict: the line goes, or its lists hold more lines to try.
 GONE, OPEN = 1, 2
 MASK = np.uint64((1 << 44) - 1)
@@ -222,8 +223,13 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     dealt = whole.where("_id is not null and _text is not null").withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(cells))).repartition(p, "_cell")
     thin = dealt.groupBy("_cell")  # always all columns, so that one exchange serves every step
 
-    def post(cell: pa.Table, skips: dict[int, int] | None) -> pa.Table:
+    def post(cell: pa.Table, skips: dict[int, int] | None, asked: np.ndarray | None = None) -> pa.Table:
         lines, row, _ = split_lines(cell)
+        if asked is not None:  # lines without an asked word can't be an answer
+            start, h = word_hashes(b"\n".join(lines))
+            hit = np.zeros(len(lines), bool)
+            hit[np.searchsorted(np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1), start[asked[_slot(h >> np.uint64(4))]], side="right")] = True
+            lines = [x if yes else b"" for x, yes in zip(lines, hit.tolist(), strict=True)]
         s = Sets(lines)
         number = cell.column("_cell")[0].as_py()
         with np.errstate(over="ignore"):
@@ -239,6 +245,8 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         half = np.bitwise_xor.reduceat(np.r_[bit * (s.words >> np.uint64(6) & np.uint64(1)), np.uint64(0)], np.minimum(s.first, len(bit)))
         own, words, at = s.by_rarity(one, rank.value)
         keep = at <= s.n[own] - need(s.n[own], percent)
+        if asked is not None:
+            keep &= asked[_slot(words)]
         own, words, at = own[keep], words[keep], at[keep]
         ids = np.array(cell.column("_id").to_pylist(), np.int64)[row]
         ask = np.ones(len(lines), np.int32)
@@ -263,13 +271,16 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def post_all(cell: pa.Table) -> pa.Table:
         return post(cell, None)
 
-    def post_open(cell: pa.Table, verdicts: pa.Table) -> pa.Table:
-        if not len(cell):
-            return _rows([], POSTED)
-        skips: dict[int, int] = {}
-        for line, state in zip(verdicts.column("line").to_pylist(), verdicts.column("state").to_pylist(), strict=True):
-            skips.update(zip(np.frombuffer(line, np.int32).tolist(), np.frombuffer(state, np.int32).tolist(), strict=True))
-        return post(cell, skips)
+    def posting_open(asked):
+        def post_open(cell: pa.Table, verdicts: pa.Table) -> pa.Table:
+            if not len(cell):
+                return _rows([], POSTED)
+            skips: dict[int, int] = {}
+            for line, state in zip(verdicts.column("line").to_pylist(), verdicts.column("state").to_pylist(), strict=True):
+                skips.update(zip(np.frombuffer(line, np.int32).tolist(), np.frombuffer(state, np.int32).tolist(), strict=True))
+            return post(cell, skips, asked.value)
+
+        return post_open
 
     def meeting(most: int):
         def meet(bucket: pa.Table) -> pa.Table:
@@ -363,7 +374,12 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 elif m:
                     state.setdefault(k, OPEN)
         out = sorted(state.items())
-        return _rows([(cell.column("_cell")[0].as_py(), blob_of(np.array([k for k, _ in out], np.int32)), blob_of(np.array([v for _, v in out], np.int32)))] if out else [], VERDICT)
+        if not out:
+            return _rows([], VERDICT)
+        own, w, at = s.by_rarity(np.searchsorted(used, [k for k, v in out if v == OPEN]), rank.value)
+        slots = np.unique(_slot(w[at <= s.n[own] - need(s.n[own], percent)]))
+        lines_, states = (blob_of(np.array(x, np.int32)) for x in zip(*out, strict=True))
+        return _rows([(cell.column("_cell")[0].as_py(), lines_, states, blob_of(slots.astype(np.int32)))], VERDICT)
 
     def answers(posted: DataFrame, most: int) -> DataFrame:
         asked = posted.groupBy("bucket").applyInArrow(meeting(most), _ddl(ASKED))
@@ -372,7 +388,11 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     verdicts = answers(thin.applyInArrow(post_all, _ddl(POSTED)), take)
     asks = cut(verdicts.groupBy("_cell").applyInArrow(_still_open(1 + take), _ddl(VERDICT)))
-    if not asks.isEmpty():
+    slots = [r["slot"] for r in asks.mapInArrow(_slots, "slot int").distinct().collect()]  # at most COUNTERS
+    if slots:
+        bits = np.zeros(COUNTERS, bool)
+        bits[slots] = True
+        post_open = posting_open(spark.sparkContext.broadcast(bits))
         verdicts = verdicts.union(answers(thin.cogroup(asks.groupBy("_cell")).applyInArrow(post_open, _ddl(POSTED)), 1 << 30))
 
     def clear(cell: pa.Table, found: pa.Table) -> pa.Table:
@@ -394,6 +414,15 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return back.select(*[(F.col("_kept") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
+def _slot(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(b.column("slots").to_pylist()), np.int32)))], ["slot"])
+
+
 def _still_open(skip: int):
     def pick(rows: pa.Table) -> pa.Table:
         out = []
@@ -401,7 +430,7 @@ def _still_open(skip: int):
             line, state = np.frombuffer(r["line"], np.int32), np.frombuffer(r["state"], np.int32)
             some = line[state == OPEN]
             if len(some):
-                out.append((r["_cell"], blob_of(some), blob_of(np.full(len(some), skip, np.int32))))
+                out.append((r["_cell"], blob_of(some), blob_of(np.full(len(some), skip, np.int32)), r["slots"]))
         return _rows(out, VERDICT)
 
     return pick
