@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged, small_batches
+from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged, small_batches, tidy
 from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
 
 POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "halves": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
@@ -387,6 +387,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         return cut(thin.cogroup(words.groupBy("to")).applyInArrow(judge, _ddl(VERDICT)))
 
     verdicts = answers(thin.applyInArrow(post_all, _ddl(POSTED)), take)
+    tidy(spark)  # the first round's shuffle files are not read again
     asks = cut(verdicts.groupBy("_cell").applyInArrow(_still_open(1 + take), _ddl(VERDICT)))
     slots = [r["slot"] for r in asks.mapInArrow(_slots, "slot int").distinct().collect()]  # at most COUNTERS
     if slots:
@@ -394,6 +395,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         bits[slots] = True
         post_open = posting_open(spark.sparkContext.broadcast(bits))
         verdicts = verdicts.union(answers(thin.cogroup(asks.groupBy("_cell")).applyInArrow(post_open, _ddl(POSTED)), 1 << 30))
+    tidy(spark)
 
     def clear(cell: pa.Table, found: pa.Table) -> pa.Table:
         if not len(cell):
