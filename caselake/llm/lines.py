@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_of, bytes_and_offsets, count_for, cut, parts, ragged, small_batches, tidy
+from .common import blob_of, bytes_and_offsets, count_for, parts, ragged, small_batches, stored, tidy
 from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
 
 POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "halves": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
@@ -384,11 +384,11 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def answers(posted: DataFrame, most: int) -> DataFrame:
         asked = posted.groupBy("bucket").applyInArrow(meeting(most), _ddl(ASKED))
         words = thin.cogroup(asked.groupBy("cell")).applyInArrow(fetch, _ddl(WORDS))
-        return cut(thin.cogroup(words.groupBy("to")).applyInArrow(judge, _ddl(VERDICT)))
+        return stored(thin.cogroup(words.groupBy("to")).applyInArrow(judge, _ddl(VERDICT)))
 
     verdicts = answers(thin.applyInArrow(post_all, _ddl(POSTED)), take)
     tidy(spark)  # the first round's shuffle files are not read again
-    asks = cut(verdicts.groupBy("_cell").applyInArrow(_still_open(1 + take), _ddl(VERDICT)))
+    asks = stored(verdicts.groupBy("_cell").applyInArrow(_still_open(1 + take), _ddl(VERDICT)))
     slots = [r["slot"] for r in asks.mapInArrow(_slots, "slot int").distinct().collect()]  # at most COUNTERS
     if slots:
         bits = np.zeros(COUNTERS, bool)
