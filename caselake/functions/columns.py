@@ -12,7 +12,7 @@ PLAIN = "aaaaaeeeeiiiiooooouuuucn"
 
 def fold_label(c: Column) -> Column:
     """Lower case without accents, blanks squashed; null stays null."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"[\s\u00a0]+", " "))
 
 
 def parse_locale_number(c: Column) -> Column:

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselake.operators import evaluate, geometry, runs, search
+from caselake.operators import diagnose, evaluate, geometry, reports, runs, search
+from caselake.plans import tables
 from caselake.plans.relation import Relations
 
 RELATIONS = Relations()
-for _module in (geometry, evaluate, search, runs):
+for _module in (geometry, evaluate, search, runs, diagnose, reports):
     _module.define(RELATIONS)
 
 #: Inputs and helpers of other relations; everything else is a query.
-HELPERS = {"seg", "walls", "group_axis", "comp_rects", "x_cuts", "y_cuts", "cells", "cell_edges", "wall_order", "col_shape", "reg", "clf", "mat", "errs", "log", "health", "cand", "attempts", "strata", "vectors", "report_html", "report_rows", "pairs", "roc_points", "hits", "vec"}
+HELPERS = {"seg", "walls", "group_axis", "comp_rects", "x_cuts", "y_cuts", "cells", "cell_edges", "wall_order", "col_shape", "reg", "clf", "mat", "errs", "log", "health", "cand", "attempts", "strata", "vectors", "report_html", "report_rows", "pairs", "roc_points", "hits", "vec"} | {
+    "resid", "resid_rank", "wn9_global_rank_base", "resid_rank_base", "by_idx", "by_idx_base", "by_draw", "by_draw_base", "mat_rows", "replicates", "breakdown", "report_labels", "report_heads", "ring_points", "ring_edges"}
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,3 +25,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in RELATIONS.text if n not in HELPERS}
 ORACLE_SQL: dict[str, str] = {n: RELATIONS.duckdb(n) for n in QUERIES}
+
+_made, _made_sql = tables.make(RELATIONS)
+QUERIES |= _made
+ORACLE_SQL |= _made_sql

@@ -19,7 +19,7 @@ FLAG_COLUMNS = ("binario", "binary", "binary_flag")
 
 def _text_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.csv(path, sep=";", header=True, encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return df.toDF(*(c.lstrip("﻿").strip().lower() for c in df.columns))
+    return df.toDF(*(c.lstrip("\ufeff").strip().lower() for c in df.columns))
 
 
 def _require(df: DataFrame, names: Sequence[str], path: str) -> None:
@@ -45,7 +45,7 @@ def read_design_space(spark: SparkSession, path: str) -> DataFrame:
     df = _text_table(spark, path)
     _require(df, SPACE_COLUMNS, path)
     seg = read_segments(spark, path)
-    solo = F.concat(F.lit("__solo_"), F.substring(F.md5(F.concat_ws(":", *SPACE_COLUMNS)), 1, 12))
+    solo = F.concat(F.lit("__solo_"), F.monotonically_increasing_id().cast("string"))
     return seg.withColumn("group_id", F.when(F.trim(F.coalesce("group_id", F.lit(""))) == "", solo).otherwise(F.col("group_id")))
 
 
@@ -65,7 +65,7 @@ def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     """(path, html) of report files: UTF-8 with or without its mark, else Latin-1."""
     raw = spark.read.format("binaryFile").load(glob)
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    return raw.select("path", F.regexp_replace(text, "^﻿", "").alias("html"))
+    return raw.select("path", F.regexp_replace(text, "^\ufeff", "").alias("html"))
 
 
 def read_checkpoint(spark: SparkSession, path: str, features: Sequence[str], version: int = 1) -> DataFrame:

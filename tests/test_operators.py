@@ -50,7 +50,7 @@ def test_no_rows(spark):
     assert columns_of(spark, []).count() == 0
 
 
-@pytest.mark.parametrize("name", ["fn4_rectangles", "jn2_conflict_pairs", "ag8_group_bounds", "sp1_split_regression", "ev12_roc", "ev13_auc", "wn4_best_so_far", "sm5_latin_hypercube", "fn10_parse_locale_number"])
+@pytest.mark.parametrize("name", ["fn4_rectangles", "jn2_conflict_pairs", "ag8_group_bounds", "sp1_split_regression", "ev12_roc", "ev13_auc", "wn4_best_so_far", "sm5_latin_hypercube", "fn10_parse_locale_number", "ev10_paired_folds", "jn10_permute", "dg4_residual_histogram", "rv3_report_breakdown", "fn7_ring_inertia", "src1_segments", "src3_grid", "snk5_section", "ss6_ledger"])
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
     for t in ("lineitem", "orders", "events", "part"):
