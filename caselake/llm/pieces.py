@@ -1,7 +1,6 @@
 """SentencePiece encoding and decoding: the N best segmentations of whole texts.
 
-A text is cut where no piece of the vocabulary can cross: before each run of word marks, and where letters
-and signs meet if no piece joins them. Within a unit, a forward Viterbi pass gives the best score of every
+A text is cut where no piece of the vocabulary can cross: between two characters that stand side by side in no piece. Within a unit, a forward Viterbi pass gives the best score of every
 prefix; a search from the end takes it as an exact heuristic, so A* pops complete paths best first. The N best of a whole
 text combine its units' lists: only the N - 1 units with the smallest loss of their second best can differ
 from the best path.
@@ -10,7 +9,6 @@ from the best path.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,17 +44,24 @@ class Lattice:
         normal = [s for p, s in zip(self.piece, self.score, strict=True) if p in self.id and s > -1e8]
         self.worst = min(normal, default=0.0) - PENALTY
         self.longest = max(map(len, self.id), default=1)
-        crossing = {p for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha() and b in ".,!?|;:"}
-        signs = "".join(c for c in ".,!?|;:" if not any(c in p for p in crossing))
-        tail = f"[{re.escape(signs)}]" if signs else "(?!)"
-        self.units = re.compile(f"{MARK}+(?:(?!{tail}|{MARK}).)*|(?:(?!{tail}|{MARK}).)+|(?<=\\w){tail}(?:(?!{MARK}).)*|{tail}(?:(?!{MARK}).)*", re.S)
+        pairs = {(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False)}
+        chars = sorted({c for pair in pairs for c in pair})
+        self.char, self.chars = np.zeros(0x110000, np.int32), len(chars) + 1
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros(self.chars**2, bool)
+        self.joined[[self.char[ord(a)] * self.chars + self.char[ord(b)] for a, b in pairs]] = True
         self.reach = {}
         for p in self.id:
             self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
 
     def cut(self, text: str | None) -> list[str]:
         """Units of a text: a mark for each space, one before it, as the model's own normaliser adds."""
-        return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not text:
+            return []
+        text = MARK + text.replace(" ", MARK)
+        c = self.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        ends = (np.flatnonzero(~self.joined[c[:-1] * self.chars + c[1:]]) + 1).tolist()
+        return [text[x:z] for x, z in zip([0, *ends], [*ends, len(text)], strict=True)]
 
     def edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
         """For each end position, (start, id or -1, score)."""

@@ -139,6 +139,28 @@ def test_pieces_round_trip(spark):
     assert len(got) == len(CASES) + 1 and all(r["round_trip"] for r in got)
 
 
+SIGNS = ["call foo(), then", "wait ... what", 'say "yes", (or "no"); x | y', "a != b, [1.5, .5].map(f);", "----------------", "日本, 12.50 é!? ((()))", " | a |  b |"]
+
+
+def whole_text_n_best(lattice, text, n=4):
+    """N best of an uncut text, lists of whole id tuples at every position."""
+    u = "▁" + text.replace(" ", "▁")
+    edges, top = lattice.edges(u), [[(0.0, ())]]
+    for j in range(1, len(u) + 1):
+        some = [(g - s, (*ids, *(lattice.spelt(u[i]) if p < 0 else (p,)))) for i, p, s in edges[j] for g, ids in top[i]]
+        top.append(sorted(some)[:n])
+    return top[-1]
+
+
+def test_whole_texts_with_signs_against_an_uncut_search(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lattice = pieces.Lattice(path)
+    got = {r["doc_id"]: r for r in pieces.encode(docs(spark, list(enumerate(SIGNS))), path).collect()}
+    for k, text in enumerate(SIGNS):
+        want = whole_text_n_best(lattice, text)
+        assert got[k]["scores"] == [-g for g, _ in want]
+
+
 def test_forward_sums_all_segmentations():
     lattice = language.Lattices(["a", "b", "ab", "ba"])
     p = np.array([[0.3], [0.2], [0.4], [0.1], [1e-7]])
