@@ -1,14 +1,13 @@
 """SentencePiece encoding and decoding: the N best segmentations of whole texts.
 
-A text is cut where no piece of the vocabulary can cross: between two characters that stand side by side in no piece. Within a unit, a forward Viterbi pass gives the best score of every
-prefix; a search from the end takes it as an exact heuristic, so A* pops complete paths best first. The N best of a whole
-text combine its units' lists: only the N - 1 units with the smallest loss of their second best can differ
-from the best path.
+A text is cut where no piece of the vocabulary can cross: between two characters that stand side by side in no piece.
+Within a unit, a pass from its end keeps the N best segmentations of every suffix, which is exact. The N best of a whole
+text combine its units' lists: only the N - 1 units whose second best comes first (by its loss, then by the ids of
+the whole text) can differ from the best path. Equal scores are ordered by their ids everywhere.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +49,7 @@ class Lattice:
         self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros(self.chars**2, bool)
         self.joined[[self.char[ord(a)] * self.chars + self.char[ord(b)] for a, b in pairs]] = True
+        self.raw = [bytes([self.byte_value[i]]) if i in self.byte_value else p.encode() for i, p in enumerate(self.piece)]
         self.reach = {}
         for p in self.id:
             self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
@@ -78,62 +78,77 @@ class Lattice:
 
     def best(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """Up to ``n_best`` segmentations of a unit, best first; equal scores by their ids."""
-        edges, n = self.edges(unit), len(unit)
-        top = [0.0] + [float("-inf")] * n
-        for j in range(1, n + 1):
-            top[j] = max(top[i] + s for i, _, s in edges[j])
-        heap, out, limit = [(-top[n], (), n, 0.0)], [], None
-        while heap:
-            f, ids, at, g = heapq.heappop(heap)
-            if limit is not None and -f < limit:
-                break
-            if at == 0:
-                out.append((g, ids))
-                if len(out) >= self.n_best and limit is None:
-                    limit = g  # ties with the last one are still taken, then cut by their ids
-                if len(out) >= 8 * self.n_best:
-                    break
-                continue
-            for i, p, s in edges[at]:
-                heapq.heappush(heap, (-(top[i] + s + g), (*(self.spelt(unit[i]) if p < 0 else (p,)), *ids), i, g + s))
-        out.sort(key=lambda x: (-x[0], x[1]))
-        return out[: self.n_best]
+        get, score, reach, n, most = self.id.get, self.score, self.reach, len(unit), self.n_best
+        # For each start, (cost, first id, end, entry at the end); an id fixes its end, so this order is that of the ids.
+        top: list[list[tuple[float, int, int, int]]] = [[] for _ in range(n)] + [[(0.0, -1, n, 0)]]
+        for i in range(n - 1, -1, -1):
+            some: list[tuple[float, int, int, int]] = []
+            limit = float("inf")
+            for j in range(min(n, i + reach.get(unit[i], 1)), i, -1):
+                p = get(unit[i:j])
+                if p is not None:
+                    cost = -score[p]
+                elif j == i + 1:
+                    cost, p = -self.worst, self.spelt(unit[i])[0]
+                else:
+                    continue
+                after = top[j]
+                if cost + after[0][0] > limit:
+                    continue
+                k = 0
+                for t in after:
+                    some.append((cost + t[0], p, j, k))
+                    k += 1
+                if len(some) > k:
+                    some.sort()
+                    del some[most:]
+                if len(some) == most:
+                    limit = some[-1][0]
+            top[i] = some
+        out = []
+        for first in top[0]:
+            ids, i, (_, p, j, k) = [], 0, first
+            while i < n:
+                ids += self.spelt(unit[i]) if p in self.byte_value else (p,)
+                i = j
+                _, p, j, k = top[i][k]
+            out.append((-first[0], tuple(ids)))
+        return out
 
     def spelt(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte[b] for b in char.encode("utf-8", "surrogatepass"))
 
     def decode(self, ids) -> str:
         """The text of a list of ids; the mark that encoding puts first is taken off."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_value:
-                raw.append(self.byte_value[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.piece[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
 
 
-def combined(best: np.ndarray, gaps: np.ndarray, n_best: int) -> list[float]:
-    """The ``n_best`` largest sums of one entry of each unit's list: best scores, and losses (units, n_best - 1) against them."""
-    if not len(best):
-        return [0.0]
-    few = np.lexsort((np.arange(len(best)), gaps[:, 0]))[: n_best - 1] if n_best > 1 else []
-    sums = np.zeros(1)
-    for k in few:
-        more = np.r_[0.0, gaps[k][np.isfinite(gaps[k])]]
-        sums = np.sort((sums[:, None] + more).ravel())[:n_best]
-    return (float(best.sum()) - sums).tolist()
+def combined(best: np.ndarray, gaps: np.ndarray, ranks: np.ndarray, n_best: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The ``n_best`` largest sums of one entry of each unit's list, each with the (unit, entry) that are not the unit's best.
+
+    Given are best scores, losses (units, n_best - 1) against them, and the place of each entry (units, n_best) by its ids alone.
+    """
+    total, few = float(best.sum()), n_best - 1
+    found: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+    if few and len(best):
+        near = gaps[:, 0]
+        at = np.flatnonzero(near <= (np.partition(near, few - 1)[few - 1] if len(near) > few else np.inf))
+        at = at[np.isfinite(near[at])]
+        # Of equal losses, smaller ids at an earlier unit come first, greater ones at a later unit.
+        after = ranks[at, 1] > ranks[at, 0]
+        at = at[np.lexsort((np.where(after, -at, at), after, near[at]))[:few]]
+        for u in np.sort(at)[::-1].tolist():
+            entries = [(0.0, int(ranks[u, 0]), 0), *((float(x), int(ranks[u, e]), e) for e, x in enumerate(gaps[u], 1) if x < np.inf)]
+            some = sorted((x + t[0], r, k, e) for x, r, e in entries for k, t in enumerate(found))[:n_best]
+            found = [(x, ((u, e), *found[k][1]) if e else found[k][1]) for x, _, k, e in some]
+    return [(total - x, differ) for x, differ in found]
 
 
 def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", n_best: int = 4) -> DataFrame:
     """One row per document: id, n_pieces long, ids_crc32 long (little-endian unsigned 32-bit ids of the best path), scores array<double>
-    (the N best sums, best first), ids array<int> and round_trip boolean (decoding gives the text again).
+    (the N best sums, best first), segmentations array<array<int>> (the ids of each of them), ids array<int> (the first of these) and round_trip
+    boolean (decoding the document's own ids gives the text again).
 
     Null and empty texts have no pieces, one score of 0 and round-trip. A text that itself holds the word mark
     decodes with spaces there, and so does not round-trip.
@@ -143,41 +158,73 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
         lattice = Lattice(model, n_best)
 
         def fresh():
-            return Codes(), Grown(), Grown(n_best - 1), Grown(dtype=np.int64), Grown(dtype=np.int32), Grown(dtype=np.int32), [], {}
+            return Codes(), Grown(), Grown(n_best - 1), Grown(n_best, np.int8 if n_best < 128 else np.int32), Grown(n_best, np.int64), Grown(n_best, np.int32), Grown(dtype=np.int32)
 
-        codes, first, gaps, start, size, flat, texts, parsed = fresh()
+        codes, first, gaps, ranks, start, size, flat = fresh()
         for b in batches:
             if len(codes) > 600_000:
-                codes, first, gaps, start, size, flat, texts, parsed = fresh()
+                codes, first, gaps, ranks, start, size, flat = fresh()
             rows = b.column(1).to_pylist()
             got = [codes.of(lattice.cut(t)) for t in rows]
             new, codes.new = codes.new, []
             if new:
                 found = [lattice.best(u) for u in new]
                 first.add(np.array([f[0][0] for f in found]))
-                loss = np.full((len(found), n_best - 1), np.inf)
+                loss, place, sizes = np.full((len(found), n_best - 1), np.inf), np.zeros((len(found), n_best), ranks.a.dtype), np.zeros((len(found), n_best), np.int32)
                 for k, f in enumerate(found):
                     loss[k, : len(f) - 1] = [f[0][0] - s for s, _ in f[1:]]
+                    place[k, sorted(range(len(f)), key=lambda e: f[e][1])] = range(len(f))  # noqa: B023
+                    sizes[k, : len(f)] = [len(ids) for _, ids in f]
                 gaps.add(loss)
-                sizes = np.array([len(f[0][1]) for f in found], np.int32)
-                start.add(flat.n + np.cumsum(sizes, dtype=np.int64) - sizes)
+                ranks.add(place)
+                start.add(flat.n + (np.cumsum(sizes, dtype=np.int64) - sizes.ravel()).reshape(sizes.shape))
                 size.add(sizes)
-                flat.add(np.concatenate([np.array(f[0][1], np.int32) for f in found]))
-                # Each unit's ids spell it again; joined, a text's units spell the text.
-                texts += [lattice.decode((*lattice.spelt("x"), *f[0][1]))[1:] for f in found]
-            ids = [flat.a[ragged(start.a[c], size.a[c])] for c in got]
-            back = ["".join(map(texts.__getitem__, c.tolist()))[1:] for c in got]
+                flat.add(np.fromiter((i for f in found for _, ids in f for i in ids), np.int32, int(sizes.sum())))
+            count, crc, scores, paths, back = [], [], [], [], []
+            for c, t in zip(got, rows, strict=True):
+                sizes = size.a[c, 0]
+                ids, ends = flat.a[ragged(start.a[c, 0], sizes)], np.cumsum(sizes)
+                ranked = combined(first.a[c], gaps.a[c], ranks.a[c], n_best)
+                count.append(len(ids))
+                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                scores.append([x for x, _ in ranked])
+                back.append(lattice.decode(ids.tolist()) == (t or ""))
+                some = []
+                for _, differ in ranked:
+                    parts, done = [], 0
+                    for u, e in differ:
+                        x = start.a[c[u], e]
+                        parts += [ids[done : ends[u] - sizes[u]], flat.a[x : x + size.a[c[u], e]]]
+                        done = ends[u]
+                    some.append(np.concatenate([*parts, ids[done:]]) if parts else ids)
+                paths.append(some)
+            each = [x for some in paths for x in some]
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
-                    pa.array(list(map(len, ids)), pa.int64()),
-                    pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
-                    pa.array([combined(first.a[c], gaps.a[c], n_best) for c in got], pa.list_(pa.float64())),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([x == (t or "") for x, t in zip(back, rows, strict=True)], pa.bool_()),
+                    pa.array(count, pa.int64()),
+                    pa.array(crc, pa.int64()),
+                    pa.array(scores, pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]), pa.int32()), inner),
+                    pa.array(back, pa.bool_()),
                 ],
-                ["doc_id", "n_pieces", "ids_crc32", "scores", "ids", "round_trip"],
+                ["doc_id", "n_pieces", "ids_crc32", "scores", "segmentations", "round_trip"],
             )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, ids array<int>, round_trip boolean")
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, segmentations array<array<int>>, round_trip boolean")
+    return out.select("doc_id", "n_pieces", "ids_crc32", "scores", "segmentations", F.col("segmentations")[0].alias("ids"), "round_trip")
+
+
+def decode(rows: DataFrame, model: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(doc_id long, text string): the text of each row's ids; null ids give a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(model, 1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else lattice.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(F.col(id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

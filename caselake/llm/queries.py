@@ -24,7 +24,7 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best segmentations of every whole document, and whether the best one decodes to it again."""
+    """The four best segmentations of every whole document with their ids, and whether the best one decodes to it again."""
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE)).drop("ids")
 
 

@@ -158,7 +158,17 @@ def test_whole_texts_with_signs_against_an_uncut_search(spark):
     got = {r["doc_id"]: r for r in pieces.encode(docs(spark, list(enumerate(SIGNS))), path).collect()}
     for k, text in enumerate(SIGNS):
         want = whole_text_n_best(lattice, text)
-        assert got[k]["scores"] == [-g for g, _ in want]
+        assert got[k]["scores"] == [-g for g, _ in want] and [tuple(x) for x in got[k]["segmentations"]] == [x for _, x in want]
+        assert got[k]["ids"] == got[k]["segmentations"][0]
+
+
+def test_every_segmentation_decodes_to_its_text(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [*enumerate(SIGNS), (90, ""), (91, "=" * 300), (92, LONG)]
+    rows = pieces.encode(docs(spark, [*texts, (93, None)]), path).selectExpr("doc_id", "explode(segmentations) AS ids")
+    back = pieces.decode(rows, path).collect()
+    assert {(r["doc_id"], r["text"]) for r in back} == {*texts, (93, "")}
+    assert sum(r["doc_id"] == 91 for r in back) == 4
 
 
 def test_forward_sums_all_segmentations():
