@@ -1,6 +1,7 @@
 """Line dedup: an exact set-similarity join between lines; a line that is like an earlier one goes.
 
-A line is its set of lower-cased words, ordered by rarity over the whole corpus. Lines alike enough share a
+A line is its set of lower-cased words, ordered by rarity over the whole corpus. Where a script is written without
+spaces (Han, kana, Thai, Lao, Khmer, Burmese and their like), each two neighbouring characters count as a word. Lines alike enough share a
 word of their prefixes, so each line posts its prefix words. In a bucket of words each line meets the lines
 before it in its lists, under the length, positional and bitmap filters (a bitmap's differing bits bound how many
 words differ), and proposes the earliest that pass. Proposals travel to the earlier line's documents for
@@ -41,6 +42,9 @@ CHUNK = 1 << 20
 #: A word's hash is the sum of its bytes' values times powers of an odd base, so that running sums give those of all words.
 BASE = 0x5851F42D4C957F2D
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: First and last code points of scripts without spaces between words, and the first bytes of all their characters.
+SPACELESS = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEB), 0xEF, 0xF0])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -79,6 +83,39 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def finer(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words, in which runs of spaceless characters are their pairs of neighbours, or the one character of a run."""
+    hit = np.flatnonzero(LEADS[data])
+    if not len(hit):
+        return first, last
+    b = [np.r_[data, np.zeros(3, np.uint8)][hit + k].astype(np.int64) & 63 for k in range(4)]
+    code = np.where(data[hit] < 0xF0, (b[0] & 15) << 12 | b[1] << 6 | b[2], (b[0] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3])
+    known = np.searchsorted(SPACELESS[:, 0], code, side="right") - 1
+    hit = hit[(known >= 0) & (code <= SPACELESS[known, 1])]
+    if not len(hit):
+        return first, last
+    word = np.unique(np.searchsorted(first, hit, side="right") - 1)
+    sizes = last[word] - first[word]
+    at = ragged(first[word], sizes)
+    lead = (data[at] & 0xC0) != 0x80
+    lead[np.cumsum(sizes) - sizes] = True
+    own, starts = np.repeat(word, sizes)[lead], at[lead]
+    ends = at[np.r_[np.flatnonzero(lead)[1:], len(at)] - 1] + 1
+    lone = np.zeros(len(data), bool)
+    lone[hit] = True
+    lone = lone[starts]
+    joined = (own[1:] == own[:-1]) & (lone[1:] == lone[:-1])
+    before, after = np.r_[False, joined], np.r_[joined, False]
+    pair = np.flatnonzero(lone & after)
+    one = np.flatnonzero(lone & ~after & ~before)
+    others = np.ones(len(first), bool)
+    others[word] = False
+    a = np.concatenate([first[others], starts[pair], starts[one], starts[~lone & ~before]])
+    z = np.concatenate([last[others], ends[pair + 1], ends[one], ends[~lone & ~after]])
+    order = np.argsort(a, kind="stable")
+    return a[order], z[order]
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of a text starts, and its 44-bit hash; ASCII letters count as lower case."""
     data = np.frombuffer(raw.translate(LOWER), np.uint8)
@@ -90,7 +127,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
             z += CHUNK
         z = min(len(data), z if z >= len(data) else z + int(space[z : z + CHUNK].argmax()))
         edge = np.flatnonzero(np.diff(np.r_[True, space[x:z], True].view(np.int8)))
-        first, last = edge[::2], edge[1::2]
+        first, last = finer(data[x:z], edge[::2], edge[1::2])
         total = np.r_[np.uint64(0), np.cumsum(value[data[x:z]] * _powers_of(BASE, z - x), dtype=np.uint64)]
         hashes.append(mixed((total[last] - total[first]) * _powers_of(pow(BASE, -1, 1 << 64), z - x)[first]) & MASK)
         starts.append(first + x)
@@ -203,11 +240,12 @@ def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarra
     return np.concatenate(out_a) if out_a else np.zeros(0, np.int64), np.concatenate(out_b) if out_b else np.zeros(0, np.int64), more
 
 
-def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, take: int = 32, cell_bytes: int = 3_000_000) -> DataFrame:
+def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1, take: int = 32, cell_bytes: int = 3_000_000) -> DataFrame:
     """``docs`` with ``text`` rid of lines like an earlier line, of the same document or one of a smaller id.
 
     Lines link when 100 * intersection >= percent * union of their sets of words; similarity is judged on the input, so a
-    line goes even where the earlier one goes too. Lines of fewer than ``min_words`` different words stay. Documents stay even
+    line goes even where the earlier one goes too. Lines of fewer than ``min_words`` different words stay, so by default
+    only blank ones. Documents stay even
     when all their lines go, with an empty text. Null texts stay null, and rows whose id is null stay as they are; rows of
     one id count as one document, in order of their texts. All other columns are kept, whatever their names.
     """

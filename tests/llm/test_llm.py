@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -243,3 +244,32 @@ def test_word_hashes_follow_the_words():
     words = raw.translate(lines.LOWER).split()
     assert len(words) == len(at) == len(h) and len({*zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
     assert len(lines.word_hashes(b"")[0]) == 0
+
+
+def tokens_of(line):
+    """Words; of Han and Thai characters each two neighbours, or the one of a run."""
+    out = set()
+    for word in line.lower().split():
+        for part in re.findall("[\u4e00-\u9fff\u0e00-\u0e7f]+|[^\u4e00-\u9fff\u0e00-\u0e7f]+", word):
+            out |= {part[k : k + 2] for k in range(max(1, len(part) - 1))} if part[0] >= "\u0e00" and part[0] <= "\u9fff" and part[0] not in "\u3001\u3002" else {part}
+    return out
+
+
+def test_short_and_spaceless_lines_against_brute_force(spark):
+    han = "今天天气很好我们一起去公园散步吧然后回家吃饭看书"
+    thai = "สวัสดีครับวันนี้อากาศดีมากเราไปเดินเล่นกัน"
+    texts = [(1, f"All rights reserved.\nHome\n\n{han}"), (2, f"ALL RIGHTS reserved.\n\n  \nhome\nHome page\n{han}呀"), (3, f"{thai}\n好\nuse {han[:9]}Python é"), (4, f"{thai}ๆ\n好\n{han[::-1]}\nUse {han[:9]}python é\na b c d"), (5, "a b c d e\na b c\n" + han[12:] + "\n\U0001f600 “x”\n好"), (6, "\U0001f600 “X”\nd c b a\n,\n,")]
+    seen, want = [], {}
+    for i, t in texts:
+        kept = []
+        for line in t.split("\n"):
+            s = tokens_of(line)
+            if not s or not any(100 * len(s & e) >= 80 * len(s | e) for e in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want[i] = "\n".join(kept)
+    for size in (60, 3_000_000):
+        got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs(spark, texts), cell_bytes=size).collect()}
+        assert got == want
+    assert want[2] == "\n  \nHome page" and want[6] == ","
