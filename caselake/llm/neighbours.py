@@ -3,7 +3,8 @@
 The graph starts from blocks: vectors sorted by the signs of a few random projections and cut into blocks of fixed
 size, a few times over. Each round of NN-descent then brings together, at every node, the nodes that have it as
 neighbour, compares them with one another and keeps each node's nearest; this is a join of neighbours of
-neighbours, one shuffle out and one back. A query starts at its own node's neighbours and repeatedly scores
+neighbours, one shuffle out and one back. Where more nodes meet than fit one block, they are dealt to blocks anew each round.
+A query starts at its own node's neighbours and repeatedly scores
 the neighbours of the best nodes it has, until its best list stays the same.
 
 Equal vectors are one node, named by their smallest id, so a vector that a third of all rows hold is no hub.
@@ -57,6 +58,13 @@ def _block_pairs(ids: np.ndarray, vecs: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(sim, near, 1).ravel()
 
 
+def dealt(ids: np.ndarray, turn: int) -> np.ndarray:
+    """A key for each id by which ids fall into another order in each turn."""
+    x = (ids.astype(np.uint64) + np.uint64(1 + turn)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((turn + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
 def _vectors(blobs: list) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(np.float32)
 
@@ -113,29 +121,32 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
         flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
         return _graph_table(*_nearest(np.repeat(rows.column("u").to_numpy(), sizes), flat("nbrs"), flat("sims"), degree))
 
-    def met(rows: pa.Table) -> pa.Table:
+    def meeting(turn: int):
+        return lambda rows: met(rows, turn)
+
+    def met(rows: pa.Table, turn: int) -> pa.Table:
         centres = rows.column("cs").combine_chunks()
         owner = np.repeat(np.arange(len(rows)), np.diff(centres.offsets.to_numpy()))
         centre, ids, vecs, kth = centres.flatten().to_numpy(), rows.column("u").to_numpy(), _vectors(rows.column("h").to_pylist()), rows.column("kth").to_numpy()
-        order = np.lexsort((owner, centre))
+        order = np.lexsort((dealt(ids, turn)[owner], centre))  # other blocks of a hub's members in each round
         cuts = np.flatnonzero(np.r_[True, centre[order][1:] != centre[order][:-1]])
         got = []
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=False):
             for x in range(a, z, block):
                 at = owner[order[x : min(z, x + block)]]
-                i, j, sim = _block_pairs(at, vecs[at], degree // 2)
+                i, j, sim = _block_pairs(at, vecs[at], degree)
                 new = sim > kth[i]  # others would not enter the list
                 got.append((ids[i[new]], ids[j[new]], sim[new]))
         return _graph_table(*_nearest(*(np.concatenate(x) for x in zip(*got, strict=True)), degree))
 
     grouped = lambda df: df.withColumn("_g", F.pmod(F.xxhash64("u"), F.lit(groups))).groupBy("_g").applyInArrow(merged, GRAPH)
     graph = cut(grouped(found))
-    for _ in range(rounds):
+    for turn in range(rounds):
         out = graph.select("u", F.explode("nbrs").alias("c"))
         edges = out.union(out.select(F.col("c").alias("u"), F.col("u").alias("c"))).union(graph.select("u", F.col("u").alias("c"))).repartition(p, "u")
         sent = edges.groupBy("u", F.pmod(F.xxhash64("c"), F.lit(groups)).alias("_g")).agg(F.collect_set("c").alias("cs"))
         known = points.select("u", "h").join(graph.select("u", F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("kth")), "u")
-        near = sent.join(known, "u").groupBy("_g").applyInArrow(met, GRAPH)
+        near = sent.join(known, "u").groupBy("_g").applyInArrow(meeting(turn), GRAPH)
         after = cut(grouped(near.union(graph)))
         new = after.join(graph.select("u", F.col("nbrs").alias("old")), "u").agg(F.sum(F.size(F.array_except("nbrs", "old")))).first()[0] or 0
         graph = after
@@ -145,10 +156,10 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
     return graph
 
 
-def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 40, beam: int = 60, rounds: int = 2) -> DataFrame:
+def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 40, beam: int = 60) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id ``every`` divides, the k others of largest inner product.
 
-    Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite parts, and those not of
+    A query walks until no node of its best ``beam`` is left unvisited. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite parts, and those not of
     the most common length, take no part. Rows that repeat an id are one, with the
     smallest of their vectors. No usable vectors give no rows. Other columns are not read.
     """
@@ -200,11 +211,10 @@ def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every
     asking = nodes.where("asks = 1").select(F.col("u").alias("q"))
     start = asking.join(graph, asking["q"] == graph["u"]).select("q", F.explode("nbrs").alias("w")).union(asking.select("q", F.col("q").alias("w")))
     state = pick(scored(start).withColumn("open", F.lit(1)))
-    for _ in range(rounds):
+    while not state.where("open = 1 and q <> w").isEmpty():
         wave = state.where("open = 1 and q <> w").join(graph, F.col("w") == F.col("u")).select("q", F.explode("nbrs").alias("w"))
         state = pick(state.withColumn("open", F.lit(0)).union(scored(wave).withColumn("open", F.lit(1))))
-        if state.where("open = 1").isEmpty():
-            break
+        tidy(spark)
     # Every node stands for its rows; of each, the smallest ids are enough.
     rows_of = good.join(classes.select("v", "u"), "v").select("u", "vec_id").distinct()
     some = rows_of.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")

@@ -273,3 +273,20 @@ def test_short_and_spaceless_lines_against_brute_force(spark):
         got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs(spark, texts), cell_bytes=size).collect()}
         assert got == want
     assert want[2] == "\n  \nHome page" and want[6] == ","
+
+
+def test_neighbours_walk_until_nothing_is_open(spark, monkeypatch):
+    chain = [(i, [j for j in (i - 1, i + 1) if 0 <= j < 8], [0.0, 0.0][: 1 + (0 < i < 7)]) for i in range(8)]
+    monkeypatch.setattr(neighbours, "build_graph", lambda *_: spark.createDataFrame(chain, neighbours.GRAPH))
+    rows = spark.createDataFrame([(i, [1.0 + i, 0.0]) for i in range(8)], "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, k=3).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 7), (0, 6), (0, 5)]
+
+
+def test_hub_members_meet_in_other_blocks_each_round():
+    ids = np.arange(300)
+    met = set()
+    for turn in range(8):
+        order = np.argsort(neighbours.dealt(ids, turn))
+        met |= {frozenset((0, int(x))) for k in range(0, 300, 128) for x in order[k : k + 128] if 0 in order[k : k + 128]}
+    assert len(met) > 250
