@@ -64,8 +64,6 @@ def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, d
     codes = Codes()
     docs = [np.unique(codes.of(words_of(t)), return_counts=True) for t in texts]
     seen = np.bincount(np.concatenate([d[0] for d in docs]), minlength=len(codes)) if len(codes) else np.zeros(0, int)
-    if len(docs) < 20 * min_docs:
-        min_docs = 1
     kept = np.flatnonzero(seen >= min_docs)
     renamed = np.cumsum(seen >= min_docs) - 1
     docs = [(renamed[c[m]], n[m], n.sum()) for c, n in docs for m in [seen[c] >= min_docs]]

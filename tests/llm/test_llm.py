@@ -290,3 +290,9 @@ def test_hub_members_meet_in_other_blocks_each_round():
         order = np.argsort(neighbours.dealt(ids, turn))
         met |= {frozenset((0, int(x))) for k in range(0, 300, 128) for x in order[k : k + 128] if 0 in order[k : k + 128]}
     assert len(met) > 250
+
+
+def test_toxicity_keeps_its_rule_on_small_samples():
+    texts, labels = [f"once{i} seen{i}" for i in range(10)], np.array([0, 1] * 5)
+    assert not toxicity.train(texts, labels, steps=5)[0].any()
+    assert toxicity.train(texts, labels, steps=5, min_docs=1)[0].any()
