@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blob_of, bytes_and_offsets, count_for, parts, ragged, small_batches, stored, tidy
-from .setjoin import COUNTERS, LOWER, STEP, A, mixed, need
+from .setjoin import COUNTERS, STEP, need
+from .words import A, mixed
+from .words import word_hashes as hashed
 
 POSTED = {"bucket": "long", "cell": "long", "tags": "binary", "n": "binary", "at": "binary", "bits": "binary", "halves": "binary", "sums": "binary", "ids": "binary", "line": "binary", "ask": "binary"}
 ASKED = {"cell": "long", "to": "binary", "a": "binary", "b": "binary", "more": "binary"}
@@ -37,15 +39,9 @@ MASK = np.uint64((1 << 44) - 1)
 WIDE = 64
 #: Lines whose words are sorted together.
 BLOCK = 1 << 18
-#: Bytes that are hashed together, up to the next end of a word.
-CHUNK = 1 << 20
-#: A word's hash is the sum of its bytes' values times powers of an odd base, so that running sums give those of all words.
-BASE = 0x5851F42D4C957F2D
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: First and last code points of scripts without spaces between words, and the first bytes of all their characters.
 SPACELESS = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
 LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEB), 0xEF, 0xF0])
-_powers: dict[int, np.ndarray] = {}
 
 
 def _ddl(shape: dict[str, str]) -> str:
@@ -72,17 +68,6 @@ def unpacked(x: bytes, kind, rising: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=kind) if rising else a
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 2 * CHUNK), base, np.uint64)
-        known[0] = 1
-        known = np.multiply.accumulate(known)
-        if n <= 2 * CHUNK:
-            _powers[base] = known
-    return known[:n]
-
-
 def finer(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words, in which runs of spaceless characters are their pairs of neighbours, or the one character of a run."""
     hit = np.flatnonzero(LEADS[data])
@@ -118,21 +103,8 @@ def finer(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of a text starts, and its 44-bit hash; ASCII letters count as lower case."""
-    data = np.frombuffer(raw.translate(LOWER), np.uint8)
-    space, value = SPACE[data], mixed(np.arange(1, 257, dtype=np.uint64) * A)
-    starts, hashes, x = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-    while x < len(data):
-        z = x + CHUNK
-        while z < len(data) and not space[z : z + CHUNK].any():
-            z += CHUNK
-        z = min(len(data), z if z >= len(data) else z + int(space[z : z + CHUNK].argmax()))
-        edge = np.flatnonzero(np.diff(np.r_[True, space[x:z], True].view(np.int8)))
-        first, last = finer(data[x:z], edge[::2], edge[1::2])
-        total = np.r_[np.uint64(0), np.cumsum(value[data[x:z]] * _powers_of(BASE, z - x), dtype=np.uint64)]
-        hashes.append(mixed((total[last] - total[first]) * _powers_of(pow(BASE, -1, 1 << 64), z - x)[first]) & MASK)
-        starts.append(first + x)
-        x = z
-    return np.concatenate(starts), np.concatenate(hashes)
+    at, h = hashed(raw, finer)
+    return at, h & MASK
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:

@@ -7,9 +7,11 @@ sets put the single shingles into inverted lists, which are scanned under length
 boundary do both, so that they meet the light ones. The boundary is the size at which enumerating costs as
 much as scanning, from the sizes of all sets and the expected length of a list.
 
-Equal sets are one set from the start. Lists are first scanned against one leader each; then pairs that no
-verified link connects yet are tried, so a group of near copies costs a row for each of its members, not for each pair, and no link
-between different texts' groups is lost.
+Keys travel packed, many in a row of Spark, to the bucket that holds their lists. Every list is first scanned against one leader;
+what pairs remain are held against each other's bitmaps (as many bits as shingles, so a bitmap's differing bits are a lower bound of how
+many shingles differ), and only pairs that pass exchange their sets to be verified. Then pairs of a list whose sets are still in
+two groups are tried, so a group of near copies costs a row for each of its members, not for each pair, and no link
+between different sets is lost. Equal sets are one set from the start.
 """
 
 from __future__ import annotations
@@ -22,87 +24,135 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts, small_batches, stored, tidy
+from .common import blob_of, bytes_and_offsets, components, count_for, cut, parts, ragged, small_batches, stored, tidy
+from .words import A, mixed, word_hashes
 
-A = np.uint64(0x9E3779B97F4A7C15)
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Counters of the rarity table; its size does not depend on the input.
 COUNTERS = 1 << 18
 #: Counters that are summed together.
 STEP = 1 << 9
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
-
-
-class Shingles:
-    """Distinct hashed shingles of texts; word hashes are kept for at most ``limit`` words."""
-
-    def __init__(self, words: int, limit: int = 400_000) -> None:
-        self.words, self.limit, self.known = words, limit, {}
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Sorted 64-bit shingles: ``words`` words each, the whole sequence if there are fewer, none without words."""
-        found = (text or b"").translate(LOWER).split()
-        if not found:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(found) if w not in known)
-            h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        k = min(self.words, len(h))
-        with np.errstate(over="ignore"):
-            out = h[: len(h) - k + 1].copy()
-            for i in range(1, k):
-                out = mixed(out * A) + h[i : len(h) - k + 1 + i]
-            return np.unique(mixed(out * A + np.uint64(k)))
-
-
-def need(n: int, percent: int) -> int:
+#: Bits of a shingle's hash. Two different shingles of one pair of sets of 20,000 have one hash in about one pair of a million.
+BITS = np.uint64(48)
+MASK = np.uint64((1 << 48) - 1)
+#: Sets of more shingles than this have bitmaps of so many bits.
+WIDEST = 1 << 13
+#: Set sizes over this are counted together; the boundary is always lower.
+SMALL = 200
+#: Bytes of texts that are shingled together.
+TOGETHER = 1 << 22
+
+
+def need(n, percent: int):
     """Least overlap of a set of ``n`` with any set that it links to."""
     return -(-percent * n // 100)
 
 
-def _counted(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Counts of all shingles in the fixed table, and how many texts have each set size."""
+def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes) of the texts' sets: rising hashes of ``words`` words each, one of the whole sequence if there are fewer, none without words."""
+    out, sizes, x = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while x < len(texts):
+        z, total = x, 0
+        while z < len(texts) and z - x < 1 << 15 and (z == x or total + len(texts[z]) <= TOGETHER):
+            total += len(texts[z]) + 1
+            z += 1
+        some = texts[x:z]
+        at, h = word_hashes(b" ".join(some))
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+        doc = np.searchsorted(ends, at, side="right")
+        n = np.bincount(doc, minlength=len(some))
+        first = np.cumsum(n) - n
+        k = np.minimum(n, words)
+        made, own = [], []
+        with np.errstate(over="ignore"):
+            for size in np.unique(k[k > 0]).tolist():
+                docs = np.flatnonzero(k == size)
+                count = n[docs] - size + 1
+                start = ragged(first[docs], count)
+                s = h[start]
+                for i in range(1, size):
+                    s = mixed(s * A) + h[start + i]
+                made.append(mixed(s * A + np.uint64(size)) & MASK)
+                own.append(np.repeat(docs, count))
+        if made:
+            both = np.sort(np.concatenate(own).astype(np.uint64) << BITS | np.concatenate(made))
+            both = both[np.r_[True, both[1:] != both[:-1]]]
+            out.append(both & MASK)
+            sizes.append(np.bincount((both >> BITS).astype(np.int64), minlength=len(some)))
+        else:
+            sizes.append(np.zeros(len(some), np.int64))
+        x = z
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+def texts_of(column) -> list[bytes]:
+    data, offs = bytes_and_offsets(column)
+    raw = data.tobytes()
+    return [raw[a:z] for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+
+
+def names_of(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set."""
+    raw, ends = flat.tobytes(), (np.cumsum(sizes) * 8).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip([0, *ends[:-1]], ends, strict=True)], np.uint64).view(np.int64)
+
+
+def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set, the parity of how many of its shingles have each value of their lowest bits; about as many bits as shingles."""
+    wide = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 64, WIDEST)
+    first = np.cumsum(wide) - wide
+    at = np.repeat(first, sizes) + (flat & np.repeat(wide - 1, sizes).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=int(wide.sum())) & 1).astype(np.uint8)).tobytes()
+    return [raw[a // 8 : (a + w) // 8] for a, w in zip(first.tolist(), wide.tolist(), strict=True)]
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the shorter one's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def described(base: DataFrame, words: int) -> DataFrame:
+    """Rows (kind 0, id, s, n, bits), one of each text, and rows (kind 1, at, bits) with blocks of the counts of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, table, sizes = Shingles(words), np.zeros(COUNTERS, np.int64), {}
+        table = np.zeros(COUNTERS, np.int64)
+        shape = ["kind", "id", "s", "n", "bits"]
         for b in batches:
-            got = [make.of(t) for t in b.column(0).to_pylist()]
-            if got:
-                table += np.bincount((np.concatenate(got) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-            for g in got:
-                sizes[len(g)] = sizes.get(len(g), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes) + [1] * (COUNTERS // STEP), pa.int32()), pa.array([*sizes, *range(COUNTERS // STEP)], pa.int64()), pa.array([*sizes.values()] + [None] * (COUNTERS // STEP), pa.int64()), pa.array([None] * len(sizes) + [table[k : k + STEP].tobytes() for k in range(0, COUNTERS, STEP)], pa.binary())], ["kind", "at", "n", "block"])
+            flat, sizes = shingles(texts_of(b.column(1)), words)
+            table += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            named = pa.array(names_of(flat, sizes), pa.int64(), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), named, pa.array(sizes, pa.int64()), pa.array(bitmaps(flat, sizes), pa.binary())], shape)
+        blocks = range(0, COUNTERS, STEP)
+        none = pa.nulls(len(blocks), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), none, none, pa.array([table[k : k + STEP].tobytes() for k in blocks], pa.binary())], shape)
+
+    return base.mapInArrow(run, "kind int, id long, s long, n long, bits binary")
+
 
-    rows = texts.mapInArrow(run, "kind int, at long, n long, block binary")
+def counted(rows: DataFrame) -> np.ndarray:
+    """The sum of all blocks of counts."""
 
     def add(some: pa.Table) -> pa.Table:
         total = np.zeros(STEP, np.int64)
-        for x in some.column("block").to_pylist():
+        for x in some.column("bits").to_pylist():
             total += np.frombuffer(x, np.int64)
-        return pa.table({"at": some.column("at")[:1], "block": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"id": some.column("id")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
 
-    rows = cut(rows)
     table = np.zeros(COUNTERS, np.int64)
-    for r in rows.where("kind = 1").groupBy("at").applyInArrow(add, "at long, block binary").collect():
-        table[r["at"] * STEP : (r["at"] + 1) * STEP] = np.frombuffer(r["block"], np.int64)
-    return table, {r["at"]: r["n"] for r in rows.where("kind = 0").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    for r in rows.where("kind = 1").select("id", "bits").groupBy("id").applyInArrow(add, "id long, bits binary").collect():
+        table[r["id"] : r["id"] + STEP] = np.frombuffer(r["bits"], np.int64)
+    return table
 
 
 def boundary(sizes: dict[int, int], table: np.ndarray, percent: int, scan_cost: float = 0.2, most: int = 60) -> int:
     """The set size up to which enumerating pairs of shingles costs less than scanning lists.
 
     A key costs 1, an entry scanned ``scan_cost``; a list is as long as the table says a random shingle's is,
-    over the number of shingles that share a counter.
+    over the number of shingles that share a counter. Sizes no edge can reach cost the same for every edge.
     """
     total = max(1, int(table.sum()))
     length = max(1.0, float((table.astype(float) ** 2).sum()) / total / max(1.0, total / len(table)))
@@ -118,96 +168,157 @@ def boundary(sizes: dict[int, int], table: np.ndarray, percent: int, scan_cost:
     return best
 
 
-def _keys(s: np.ndarray, rank: np.ndarray, edge: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and the position of each key's first shingle in the order by rarity."""
-    n = len(s)
-    p = n - need(n, percent) + 1
-    ordered = s[np.lexsort((s, rank[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: p + 1]]
-    keys, at = [], []
+def keys_of(flat: np.ndarray, sizes: np.ndarray, rank: np.ndarray, edge: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, position of the key's shingle in the order by rarity, -1 for pairs) of all keys of some sets."""
+    own, keys, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    ends = np.cumsum(sizes)
     with np.errstate(over="ignore"):
-        if n > edge:
-            keys.append(mixed(ordered[:p] + np.uint64(1)))
-            at.append(np.arange(min(p, len(ordered))))
-        if 1 < n <= edge * 100 // percent:
-            i, j = np.triu_indices(len(ordered), 1)
-            keys.append(mixed(mixed(ordered[i] * A) + ordered[j]))
-            at.append(np.full(len(i), -1))
-    return (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+        for x in range(0, len(sizes), 1 << 10):
+            n = sizes[x : x + (1 << 10)]
+            some = flat[ends[x] - n[0] : ends[x + len(n) - 1]]
+            doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            order = np.sort(doc << np.uint64(54) | rank[(some & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << BITS | some) & MASK
+            first, p = np.cumsum(n) - n, n - need(n, percent) + 1
+            heavy = np.flatnonzero((n > edge) & (n > 0))
+            inner = ragged(np.zeros(len(heavy), np.int64), p[heavy])
+            own.append(np.repeat(heavy, p[heavy]) + x)
+            at.append(inner)
+            keys.append(mixed(order[np.repeat(first[heavy], p[heavy]) + inner] + np.uint64(1)))
+            light = np.flatnonzero((n > 1) & (n <= edge * 100 // percent))
+            for size in np.unique(n[light]).tolist():  # few sizes
+                docs = light[n[light] == size]
+                i, j = np.triu_indices(min(size, size - need(size, percent) + 2), 1)
+                u, v = order[first[docs][:, None] + i], order[first[docs][:, None] + j]
+                own.append(np.repeat(docs, len(i)) + x)
+                at.append(np.full(len(docs) * len(i), -1))
+                keys.append(mixed(mixed(u * A) + v).ravel())
+    return np.concatenate(own), np.concatenate(keys), np.concatenate(at)
+
+
+def _fits(n1, at1, n2, at2, percent: int) -> np.ndarray:
+    """Length and positional filters of two entries of a list."""
+    bound = np.minimum(at1, at2) + 1 + np.minimum(n1 - at1 - 1, n2 - at2 - 1)
+    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((at1 < 0) | ((100 + percent) * bound >= percent * (n1 + n2)))
+
+
+def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, together: int = 1 << 20) -> DataFrame:
     """Rows (_id, n_shingles long, component_id long), one for each row of ``docs``.
 
     Sets link when 100 * intersection >= percent * union. ``component_id`` is the smallest id reachable by links. Null and
     empty texts and texts of white space have an empty set and are alone; a row whose id is null gets a null
-    component; repeated rows are rows of their own. Other columns are not read.
+    component and links nothing; repeated rows are rows of their own. Other columns are not read. ``together`` is how many keys
+    a task packs at once, and about how many a bucket of lists holds.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(text).cast("string").cast("binary").alias("_text"))
-    table, sizes = _counted(base.select("_text"), words)
-    edge = boundary(sizes, table, percent)
-    rank = np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8)
-    shared = spark.sparkContext.broadcast(rank)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(words)
+    base = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    rows = stored(described(base, words))
+    table = counted(rows)
+    sets = rows.where("kind = 0")
+    prefix = F.expr(f"n - ceil({percent} * n / 100) + 1")
+    sizes = {r["small"]: (r["c"], r["p"]) for r in sets.where("n > 0").groupBy(F.least("n", F.lit(SMALL)).alias("small")).agg(F.count("*").alias("c"), F.sum(prefix).alias("p")).collect()}
+    edge = boundary({n: c for n, (c, _) in sizes.items() if n < SMALL}, table, percent)
+    buckets = count_for(int(sum(p for _, p in sizes.values())), together)
+    rank = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8))
+    reps = stored(sets.where("id is not null and s is not null").groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            s, n, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            b = bucket[order]
+            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            out = [(int(b[x]), *(blob_of(c[order[x:z]]) for c in (key, s, n.astype(np.int32), at.astype(np.int32)))) for x, z in zip(cuts, [*cuts[1:], len(b)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], ["bucket", "keys", "s", "n", "at"])
+
+        held, count = [], 0
         for b in batches:
-            n, sets, keys, at = [], [], [], []
-            for t in b.column(2).to_pylist():
-                s = make.of(t)
-                k, a = _keys(s, shared.value, edge, percent) if len(s) else (np.zeros(0, np.uint64), [])
-                n.append(len(s))
-                sets.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                keys.append(k.view(np.int64))
-                at.append(a)
-            offs = np.cumsum([0, *map(len, keys)])
-            flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(x) if x else [], kind))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), flat(keys, pa.int64()), flat(at, pa.int32())], ["_id", "_h", "n", "s", "keys", "at"])
-
-    rows = base.mapInArrow(read, "_id long, _h long, n long, s long, keys array<long>, at array<int>")
-    # Lists of two or more sets; the exchange by key serves the grouping and the join.
-    posted = rows.where("_id is not null and s is not null").select("s", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "at")).alias("k")).select(F.col("k.keys").alias("key"), "s", "n", F.col("k.at").alias("at"))
-    posted = posted.repartition(parts(spark), "key").groupBy("key", "s").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    heads = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("s", "n", "at")).alias("lead")).where("c > 1").drop("c")
-    members = stored(posted.join(heads, "key"))
-    tidy(spark)
-    sets = stored(rows.select("_id", "_h", F.col("n").alias("n_shingles"), "s"))
-    first = members.select("s").distinct().join(sets.where("_id is not null").groupBy("s").agg(F.min(F.struct("_id", "_h")).alias("f")), "s").select("s", "f.*")
-    texts = stored(base.join(first, ["_id", "_h"]).select("s", "_text"))
+            flat, size = shingles(texts_of(b.column(0)), words)
+            s = names_of(flat, size)
+            own, key, at = keys_of(flat, size, rank.value, edge, percent)
+            held.append((s[own], size[own], key, at))
+            count += len(own)
+            if count >= together:
+                yield packed()
+                held, count = [], 0
+        if count:
+            yield packed()
+
+    def lists(bucket: pa.Table) -> pa.Table:
+        key, s, n, at = (np.concatenate([np.frombuffer(x, kind) for x in bucket.column(c).to_pylist()]) for c, kind in (("keys", np.uint64), ("s", np.int64), ("n", np.int32), ("at", np.int32)))
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        again = np.r_[False, k[1:] == k[:-1]]
+        order = order[again | np.r_[again[1:], False]]  # lists of one entry end here
+        order = order[np.lexsort((s[order], key[order]))]
+        k, x = key[order], s[order]
+        order = order[np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])] if len(order) else np.zeros(0, bool)]
+        k, s, n, at = key[order], s[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(k)])
+        lead, length = np.repeat(first, size), np.repeat(size, size)
+        star = (np.arange(len(k)) > lead) & _fits(n, at, n[lead], at[lead], percent)
+        more = length > 2
+        kind = np.r_[np.zeros(int(star.sum()), np.int32), np.ones(int(more.sum()), np.int32)]
+        both = lambda x, y: np.r_[x[star], y[more]]
+        return pa.table({"kind": kind, "key": both(s[lead], k.view(np.int64)), "s": both(s, s), "n": both(n, n), "at": both(at, at)})
+
+    found = stored(base.where("_id is not null").select("_text").mapInArrow(post, "bucket long, keys binary, s binary, n binary, at binary").groupBy("bucket").applyInArrow(lists, "kind int, key long, s long, n long, at long"))
     tidy(spark)
 
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (at < 0 or {100 + percent} * (least(at, at2) + 1 + least(n - at - 1, n2 - at2 - 1)) >= {percent} * (n + n2))"
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, ba, bb = (b.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))
+            keep = [(100 + percent) * (x + y - differing(p, q)) >= 2 * percent * (x + y) for x, y, p, q in zip(na, nb, ba, bb, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, size = shingles(texts_of(b.column(1)), words)
+            s, ends = names_of(flat, size), np.cumsum(size)
+            keep = s == b.column(0).to_numpy()  # a repeated id may have other texts
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.ascontiguousarray(flat[z - n : z].view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes() for n, z in zip(size.tolist(), ends.tolist(), strict=True)], pa.binary())], ["s", "packed"]).filter(pa.array(keep))
+
+    def unpacked(x: bytes) -> np.ndarray:
+        wide = np.zeros((len(x) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(x, np.uint8).reshape(6, -1).T
+        return wide.view(np.uint64).ravel()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True):
+                both = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
+                keep.append(100 * both >= percent * ((len(x) + len(y)) // 6 - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def sides(pairs: DataFrame, what: DataFrame, columns: dict[str, str]) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(what.select(F.col("s").alias(side), *[F.col(c).alias(short + side) for c, short in columns.items()]), side)
+        return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.withColumnRenamed("s", "a").withColumnRenamed("_text", "ta"), "a").join(texts.withColumnRenamed("s", "b").withColumnRenamed("_text", "tb"), "b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            make = Shingles(words)
-            for b in batches:
-                keep = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    p, q = make.of(x), make.of(y)
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(keep, pa.bool_())], ["a", "b", "linked"])
-
-        return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
-
-    stars = members.select(F.col("lead.s").alias("a"), F.col("s").alias("b"), "n", "at", F.col("lead.n").alias("n2"), F.col("lead.at").alias("at2")).where("a <> b").where(fits)
-    tried = cut(verified(stars.select("a", "b").distinct()))
-    links = tried.where("linked").select("a", "b")
+        likely = stored(sides(pairs, reps, {"n": "n", "bits": "b"}).mapInArrow(alike, "a long, b long"))
+        named = likely.select(F.col("a").alias("s")).union(likely.select(F.col("b").alias("s"))).distinct().join(reps.select("s", "id"), "s")
+        held = stored(named.join(base, named["id"] == base["_id"]).select("s", "_text").mapInArrow(sets_of, "s long, packed binary").dropDuplicates(["s"]))
+        return stored(sides(likely, held, {"packed": "p"}).mapInArrow(judge, "a long, b long"))
+
+    stars = found.where("kind = 0").select(F.col("key").alias("a"), F.col("s").alias("b")).distinct()
+    links = verified(stars)
     groups = components(links)
     # What the leaders leave open: pairs of one list in two groups.
-    labelled = members.drop("lead").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("g", F.coalesce("component", "s")).drop("component")
-    mixed_lists = labelled.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key")
-    open_ = cut(labelled.join(mixed_lists, "key"))
+    labelled = found.where("kind = 1").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("g", F.coalesce("component", "s")).select("key", "s", "n", "at", "g")
+    split = labelled.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key")
+    open_ = stored(labelled.join(split, "key"))
     other = open_.select("key", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "at", "g")])
+    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (at < 0 or {100 + percent} * (least(at, at2) + 1 + least(n - at - 1, n2 - at2 - 1)) >= {percent} * (n + n2))"
     rest = open_.join(other, "key").where("s < s2 and g <> g2").where(fits).select(F.col("s").alias("a"), F.col("s2").alias("b")).distinct()
-    more = cut(verified(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"))).where("linked").select("a", "b")
+    more = verified(rest.join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         groups = components(links.union(more))
-    low = sets.where("s is not null").groupBy("s").agg(F.min("_id").alias("low"))
-    named = low.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("g", F.coalesce("component", "s"))
+    tidy(spark)
+    named = reps.select("s", F.col("id").alias("low")).join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("g", F.coalesce("component", "s"))
     named = named.join(named.groupBy("g").agg(F.min("low").alias("component_id")), "g").select("s", "component_id")
-    return sets.join(named, "s", "left").select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
+    own = sets.select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), "s")
+    return own.join(named, "s", "left").select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from caselake.llm import language, lines, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity
+from caselake.llm import language, lines, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity, words
 
 LONG = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion of old herbs and honey tonight"
 DOCS = "doc_id long, text string, _cell string, key int"
@@ -241,8 +241,8 @@ def test_line_dedup_of_copies_and_near_copies_in_many_cells(spark):
 def test_word_hashes_follow_the_words():
     raw = ("The  quick\tbrown fox\n the dog É  x\n\n" + "z" * 3_000_000 + " the end").encode()
     at, h = lines.word_hashes(raw)
-    words = raw.translate(lines.LOWER).split()
-    assert len(words) == len(at) == len(h) and len({*zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    found = raw.translate(words.LOWER).split()
+    assert len(found) == len(at) == len(h) and len({*zip(found, h.tolist(), strict=True)}) == len(set(found)) == len(set(h.tolist()))
     assert len(lines.word_hashes(b"")[0]) == 0
 
 
