@@ -70,7 +70,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     each round is written to the shared folder, so lost executors cost at most one round.
     Nodes without links are not returned. Null ends and self links are ignored.
     """
-    now = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v").distinct())
+    now = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v").distinct())
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -79,7 +79,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -69,6 +69,42 @@ def test_jaccard_components(spark):
     assert setjoin.jaccard_components(docs(spark, [])).count() == 0
 
 
+def linked_groups(rows, words, percent):
+    sets, parent = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = t.split()
+        k = min(words, len(w))
+        sets[i] = {tuple(w[x : x + k]) for x in range(len(w) - k + 1)} if w else set()
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("words", "percent", "limits"), [(4, 85, {}), (2, 50, {"list_rows": 4, "together": 500})])
+def test_jaccard_groups_of_chained_copies_against_brute_force(spark, words, percent, limits):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(160):
+        b = int(rng.integers(6))
+        w = [f"b{b}_{k}" for k in range(30 + b)]
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = f"x{int(rng.integers(0, 50))}"
+        w += [f"c{k}" for k in range(12)] if rng.random() < 0.3 else []
+        rows.append((i * 3 + 1, " ".join(w[: int(rng.integers(1, 8))] if rng.random() < 0.1 else w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(frame, words=words, percent=percent, **limits).collect()}
+    assert got == linked_groups(rows, words, percent)
+
+
 @pytest.mark.parametrize("how", ["none", "packbits", "lzw", "deflate"])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
 def test_tiff_round_trip(how, tile):
