@@ -33,15 +33,21 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def word_hashes(raw: bytes, finer: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of a text starts, and its 64-bit hash; ASCII letters count as lower case, words end at ASCII white space.
+def span_hashes(value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of a sequence of values, from running sums."""
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * _powers_of(BASE, len(value)), out=total[1:])
+    return mixed((total[last] - total[first]) * _powers_of(pow(BASE, -1, 1 << 64), len(value))[first])
+
+
+def word_spans(raw: bytes, finer: Callable | None = None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of a text; words end at ASCII white space.
 
-    ``finer`` (bytes, starts, ends) may give other starts and ends for the words of a chunk.
+    ASCII letters count as lower case if ``lower``. ``finer`` (bytes, starts, ends) may give other starts and ends for the words of a chunk.
     """
-    data = np.frombuffer(raw.translate(LOWER), np.uint8)
+    data = np.frombuffer(raw.translate(LOWER) if lower else raw, np.uint8)
     space, value = SPACE[data], mixed(np.arange(1, 257, dtype=np.uint64) * A)
-    back = pow(BASE, -1, 1 << 64)
-    starts, hashes, x = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    starts, ends, hashes, x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while x < len(data):
         z = x + CHUNK
         while z < len(data) and not space[z : z + CHUNK].any():
@@ -51,9 +57,40 @@ def word_hashes(raw: bytes, finer: Callable | None = None) -> tuple[np.ndarray,
         first, last = edge[::2], edge[1::2]
         if finer is not None:
             first, last = finer(data[x:z], first, last)
-        total = np.zeros(z - x + 1, np.uint64)
-        np.cumsum(value[data[x:z]] * _powers_of(BASE, z - x), out=total[1:])
-        hashes.append(mixed((total[last] - total[first]) * _powers_of(back, z - x)[first]))
+        hashes.append(span_hashes(value[data[x:z]], first, last))
         starts.append(first + x)
+        ends.append(last + x)
         x = z
-    return np.concatenate(starts), np.concatenate(hashes)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+
+
+def word_hashes(raw: bytes, finer: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word, of lower-cased ASCII letters."""
+    start, _, h = word_spans(raw, finer)
+    return start, h
+
+
+class Known:
+    """Numbers for hashes, in order of first sight by batch."""
+
+    def __init__(self) -> None:
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each hash, and where the first of each new number stands, in order of the new numbers."""
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        out = self.codes[at] if len(self.keys) else np.zeros(len(h), np.int64)
+        miss = np.flatnonzero(~hit)
+        if not len(miss):
+            return out, miss
+        new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+        numbers = len(self.keys) + np.arange(len(new))
+        out[miss] = numbers[which]
+        place = np.searchsorted(self.keys, new)
+        self.keys, self.codes = np.insert(self.keys, place, new), np.insert(self.codes, place, numbers)
+        return out, miss[first]
