@@ -143,3 +143,10 @@ def bytes_and_offsets(column) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2] if len(column) else None
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
+
+
+def texts_of(column) -> list[bytes]:
+    """The bytes of each value of an Arrow string or binary column; null as empty."""
+    data, offs = bytes_and_offsets(column)
+    raw = data.tobytes()
+    return [raw[a:z] for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_of, bytes_and_offsets, components, count_for, ragged, small_batches, stored, tidy
+from .common import blob_of, components, count_for, ragged, small_batches, stored, texts_of, tidy
 from .words import A, mixed, word_hashes
 
 #: Counters of the rarity table; its size does not depend on the input.
@@ -89,12 +89,6 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(sizes)
 
 
-def texts_of(column) -> list[bytes]:
-    data, offs = bytes_and_offsets(column)
-    raw = data.tobytes()
-    return [raw[a:z] for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-
-
 def names_of(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set."""
     raw, ends = flat.tobytes(), (np.cumsum(sizes) * 8).tolist()

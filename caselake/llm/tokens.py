@@ -3,25 +3,46 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, Grown, ragged, small_batches
+from .common import Grown, ragged, small_batches, texts_of
+from .words import Known, word_spans
 
-#: A word that the tokenizer splits in exactly two: letters, then signs.
-PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?|\-]*)")
+#: ASCII letters in lower case, and signs that may close a word; the sign that ends the tokenizer's special strings isn't one.
+LETTER = np.isin(np.arange(256), np.arange(97, 123))
+SIGN = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != ">"])
+#: Bytes of words that may go to the tokenizer many at a time.
+PLAIN = LETTER | np.isin(np.arange(256), [*range(65, 91), *range(128, 256)])
+#: Words that are encoded together.
+JOINED = 100
+
+
+def _closing_signs(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the signs after their last letter split off, where that letter is an ASCII one: there the tokenizer splits, too."""
+    if not len(first):
+        return first, last
+    tail = np.maximum.accumulate(np.where(SIGN[data], -1, np.arange(len(data))))[last - 1] + 1
+    hit = np.flatnonzero((tail > first) & (tail < last))
+    hit = hit[LETTER[data[tail[hit] - 1]]]
+    at = np.r_[first, tail[hit]]
+    order = np.argsort(at, kind="stable")
+    ends = last.copy()
+    ends[hit] = tail[hit]
+    return at[order], np.r_[ends, last[hit]][order]
 
 
 class Encoder:
-    """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer never joins across a space or line end.
+    """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer lower-cases and never joins across white space.
 
-    Each distinct word is encoded once and kept; the store is emptied when it holds ``limit`` words, so
-    memory is bounded whatever the text. Runs of plain letters go to the tokenizer many at a time and are cut
+    Each distinct word, known by its 64-bit hash, is encoded once and kept; the store is emptied when it holds ``limit`` words, so
+    memory is bounded whatever the text. Runs of letters go to the tokenizer many at a time and are cut
     at the ids that end a word; everything else goes word by word. The result equals encoding the whole
     text, special-token strings included.
     """
@@ -34,61 +55,69 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.base: dict[str, np.ndarray] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.codes, self.flat, self.start, self.size = Codes(), Grown(dtype=np.int32), Grown(dtype=np.int64), Grown(dtype=np.int32)
-        self.base.clear()
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> None:
-        for k in range(0, len(words), 100):
-            some = words[k : k + 100]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            cut = np.split(ids, at[:-1]) if len(at) == len(some) and at[-1] == len(ids) else self._ids(some)
-            self.base.update(zip(some, cut, strict=True))
-
-    def _learn(self) -> None:
-        words, self.codes.new = self.codes.new, []
-        found = [PLAIN.fullmatch(w) for w in words]
-        pairs = [m.groups() if m else None for m in found]
-        base = self.base
-        need = {p[0].lower() if p[0].isascii() else p[0] for p in pairs if p}
-        self._letters([w for w in need if w not in base])
-        odd = [w for w in {w for w, p in zip(words, pairs, strict=True) if p is None} | {p[1] for p in pairs if p and p[1]} if w not in base]
-        base.update(zip(odd, self._ids(odd), strict=True))
-        empty = np.zeros(0, np.int32)
-        rows = []
-        for w, p in zip(words, pairs, strict=True):
-            if p is None:
-                rows.append(self.base[w])
-            else:
-                head = self.base[p[0].lower() if p[0].isascii() else p[0]]
-                rows.append(np.concatenate((head, self.base[p[1]])) if p[1] else head)
-        sizes = np.fromiter(map(len, rows), np.int32, len(rows))
-        self.start.add(self.flat.n + np.cumsum(sizes, dtype=np.int64) - sizes)
-        self.size.add(sizes)
-        self.flat.add(np.concatenate(rows) if rows else empty)
-
-    def _code(self, texts: list) -> list[np.ndarray]:
+        self.codes, self.flat, self.start, self.size = Known(), Grown(dtype=np.int32), Grown(dtype=np.int64), Grown(dtype=np.int32)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, one after the other, and how many each has."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, words: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        plain = np.logical_and.reduceat(PLAIN[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes) - sizes)
+        many, single = np.flatnonzero(plain), np.flatnonzero(~plain)
+        groups = [many[k : k + JOINED] for k in range(0, len(many), JOINED)]
+        ids, n = self._ids([b" ".join([words[k] for k in g.tolist()]).decode("utf-8", "replace") for g in groups])
+        last = np.cumsum(n)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        upto = np.searchsorted(ends, np.r_[0, last], side="right")
+        whole = (np.diff(upto) == np.fromiter(map(len, groups), np.int64, len(groups))) & (ends[upto[1:] - 1] == last if len(ends) else np.zeros(len(groups), bool))
+        size, start = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+        good = np.repeat(whole, [len(g) for g in groups])
+        mine = ends[np.repeat(whole, np.diff(upto))]
+        before = np.r_[0, ends][:-1][np.repeat(whole, np.diff(upto))]
+        before = np.maximum(before, np.repeat(last - n, [len(g) for g in groups])[good])
+        start[many[good]], size[many[good]] = self.flat.n + before, mine - before
+        self.flat.add(ids)
+        single = np.r_[single, many[~good]]
+        ids, n = self._ids([words[k].decode("utf-8", "replace") for k in single.tolist()])
+        start[single], size[single] = self.flat.n + np.cumsum(n) - n, n
+        self.flat.add(ids)
+        self.start.add(start)
+        self.size.add(size)
+
+    def _code(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word of all texts, and how many words each text has."""
         if len(self.codes) > self.limit:
             self._clear()
-        got = [self.codes.of((t or "").replace("\n", " ").split(" ")) for t in texts]
-        if self.codes.new:
-            self._learn()
-        return got
-
-    def lengths(self, texts: list) -> list[int]:
+        texts = texts_of(column)
+        raw = b" ".join(texts)
+        start, end, h = word_spans(raw, _closing_signs)
+        marks = np.flatnonzero(np.frombuffer(raw, np.uint8) == ord("<"))
+        for k in np.unique(np.searchsorted(start, marks, side="right") - 1).tolist():  # may be a special string, whose case counts
+            h[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+        codes, new = self.codes.of(h)
+        if len(new):
+            self._learn([raw[a:z] for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return codes, np.diff(np.searchsorted(start, np.r_[0, ends]))
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
         """How many ids each text has."""
-        return [int(self.size.a[c].sum()) for c in self._code(texts)]
+        codes, words = self._code(column)
+        total = np.r_[0, np.cumsum(self.size.a[codes], dtype=np.int64)]
+        return np.diff(total[np.r_[0, np.cumsum(words)]])
 
-    def encode(self, texts: list) -> list[np.ndarray]:
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        return [self.flat.a[ragged(self.start.a[c], self.size.a[c])] for c in self._code(texts)]
+        codes, words = self._code(column)
+        sizes = self.size.a[codes]
+        ids, total = self.flat.a[ragged(self.start.a[codes], sizes)], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        at = total[np.r_[0, np.cumsum(words)]].tolist()
+        return [ids[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -97,7 +126,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(coder.lengths(b.column(0).to_pylist()), pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(coder.lengths(b.column(0)), pa.int64())], ["n_tokens"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "n_tokens long")
