@@ -229,14 +229,14 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
         tags = [np.frombuffer(x, np.uint32) for x in bucket.column("tags").to_pylist()]
         many = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(t)].astype(bool) for x, t in zip(bucket.column("many").to_pylist(), tags, strict=True)]
         alls = np.concatenate(tags)
-        one, n = np.unique(alls, return_counts=True)
-        hot = np.zeros(len(one), bool)
-        hot[np.searchsorted(one, alls[np.concatenate(many)])] = True
-        hot = one[hot | (n > 1)]
-        number = bucket.column("bucket")[0].as_py()
-        out = []
-        for cell, t in zip(bucket.column("cell").to_pylist(), tags, strict=True):
-            got = np.intersect1d(t, hot)
+        rising = np.sort(alls)
+        again = np.r_[False, rising[1:] == rising[:-1]]
+        hot = np.union1d(rising[again], alls[np.concatenate(many)])
+        yes = hot[np.minimum(np.searchsorted(hot, alls), max(0, len(hot) - 1))] == alls if len(hot) else np.zeros(len(alls), bool)
+        ends = np.cumsum([0, *map(len, tags)])
+        number, out = bucket.column("bucket")[0].as_py(), []
+        for k, (cell, t) in enumerate(zip(bucket.column("cell").to_pylist(), tags, strict=True)):
+            got = t[yes[ends[k] : ends[k + 1]]]
             if len(got):
                 out.append((cell, number, blob_of(got)))
         return _rows(out, ("cell", "bucket", "tags"))
