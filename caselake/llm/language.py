@@ -1,6 +1,6 @@
 """Language ID: unigram models over a fixed public vocabulary, every segmentation of a word summed by a forward pass.
 
-A word's probability in a language is the sum over all its segmentations into vocabulary pieces of the
+A word is taken with the mark that starts it in the vocabulary. Its probability in a language is the sum over all its segmentations into pieces of the
 product of the language's piece probabilities. Those are learned by expectation maximisation over the same
 lattices, from a bounded sample of labelled documents. A text's score is the sum over its words.
 """
@@ -8,20 +8,25 @@ lattices, from a bounded sample of labelled documents. A text's score is the sum
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Codes, Grown, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are scored in parts of this size.
+MARK = "▁"
+#: In learning, and only there, longer words teach in parts of this size.
 PART = 32
+#: Words of up to so many characters are scored together; each longer one alone.
+SHORT = 64
+#: Positions after which sums are scaled anew, so that those of long words don't vanish.
+SCALED = 16
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-7
 
@@ -43,10 +48,10 @@ class Lattices:
 
     def __init__(self, pieces: list[str]) -> None:
         self.at = {p: i for i, p in enumerate(pieces)}
-        self.longest = min(12, max(map(len, pieces), default=1))
+        self.longest = max(map(len, pieces), default=1)
 
     def edges(self, words: list[str]) -> np.ndarray:
-        """Rows of edges; a character that no piece covers is an edge of piece -1. Pieces of up to 12 characters count."""
+        """Rows of edges; a character that no piece covers is an edge of piece -1."""
         get, most, out = self.at.get, self.longest, []
         for k, word in enumerate(words):
             n = len(word)
@@ -62,24 +67,38 @@ class Lattices:
 
 def forward(edges: np.ndarray, n_words: int, sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
     """alpha[word, position, language]; p: (pieces + 1, languages), the last row for uncovered characters."""
-    alpha = np.zeros((n_words, int(sizes.max(initial=0)) + 1, p.shape[1]))
+    return scaled_forward(edges, n_words, sizes, p, 0)[0]
+
+
+def scaled_forward(edges: np.ndarray, n_words: int, sizes: np.ndarray, p: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """``forward`` and the logarithm of what each word's last sum was multiplied by; sums are scaled where ``longest``, the longest piece, is given."""
+    alpha, scale = np.zeros((n_words, int(sizes.max(initial=0)) + 1, p.shape[1])), np.zeros((n_words, p.shape[1]))
     alpha[:, 0] = 1
     edges = edges[np.lexsort((edges[:, 0], edges[:, 2]))]
     for step in np.split(edges, np.searchsorted(edges[:, 2], np.arange(2, alpha.shape[1]))) if len(edges) else []:
         if len(step):
-            first = np.flatnonzero(np.r_[True, step[1:, 0] != step[:-1, 0]])
-            alpha[step[first, 0], step[0, 2]] = np.add.reduceat(alpha[step[:, 0], step[:, 1]] * p[step[:, 3]], first, axis=0)
-    return alpha
+            first, at = np.flatnonzero(np.r_[True, step[1:, 0] != step[:-1, 0]]), step[0, 2]
+            now = np.add.reduceat(alpha[step[:, 0], step[:, 1]] * p[step[:, 3]], first, axis=0)
+            word = step[first, 0]
+            alpha[word, at] = now
+            if longest and at % SCALED == 0:
+                now = np.maximum(now, 1e-300)
+                scale[word] -= np.log(now)
+                low = max(0, at - longest)
+                alpha[word, low : at + 1] /= now[:, None]
+    return alpha, scale
 
 
 def log_likelihood(lattices: Lattices, words: list[str], p: np.ndarray) -> np.ndarray:
-    """log P(word) for each language, long words in parts."""
-    cuts = [[w[i : i + PART] for i in range(0, len(w), PART)] for w in words]
-    flat = [x for c in cuts for x in c]
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-    alpha = forward(lattices.edges(flat), len(flat), sizes, p)
-    each = np.log(np.maximum(alpha[np.arange(len(flat)), sizes], 1e-300))
-    return np.add.reduceat(each, np.cumsum([0] + [len(c) for c in cuts])[:-1], axis=0) if len(flat) else np.zeros((0, p.shape[1]))
+    """log P(word) for each language, over all segmentations of the whole word with its mark."""
+    marked = [MARK + w for w in words]
+    sizes, out = np.fromiter(map(len, marked), np.int64, len(marked)), np.zeros((len(marked), p.shape[1]))
+    short = np.flatnonzero(sizes <= SHORT)
+    for some in [short, *np.flatnonzero(sizes > SHORT)[:, None]]:
+        if len(some):
+            alpha, scale = scaled_forward(lattices.edges([marked[k] for k in some]), len(some), sizes[some], p, lattices.longest)
+            out[some] = np.log(np.maximum(alpha[np.arange(len(some)), sizes[some]], 1e-300)) - scale
+    return out
 
 
 def learn(lattices: Lattices, counts: list[Counter], n_pieces: int, steps: int = 3) -> np.ndarray:
@@ -88,8 +107,8 @@ def learn(lattices: Lattices, counts: list[Counter], n_pieces: int, steps: int =
     for k, c in enumerate(counts):
         weights = Counter()
         for w, n in c.items():
-            for i in range(0, len(w), PART):
-                weights[w[i : i + PART]] += n
+            for i in range(0, len(w) + 1, PART):
+                weights[(MARK + w)[i : i + PART]] += n
         words = list(weights)
         sizes, mass = np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(weights.values(), float, len(words))
         edges = lattices.edges(words)
@@ -123,7 +142,8 @@ def fit(docs: DataFrame, pieces: list[str], id: str = "doc_id", text: str = "tex
         raise ValueError(f"more than {max_langs} languages")
     if not langs:
         return [], np.zeros((len(pieces) + 1, 0))
-    chosen = reduce(DataFrame.union, [rows.where(F.col("l") == x).select("i", "l").orderBy(F.xxhash64("i"), "i").limit(sample_docs) for x in langs])
+    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    chosen = rows.select("i", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs).drop("r")  # each task keeps its smallest before the shuffle
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +169,7 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((pieces, p))
-    kept = docs.drop("lang_pred", "score", "_text")
+    kept = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = model.value
@@ -174,4 +194,4 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
     out = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return kept.select("*", docs[text].cast("string").alias("_text")).mapInArrow(run, out)
+    return kept.select("*", docs[text].cast("string").alias(f"_text_{len(kept.columns)}_{uuid.uuid4().hex}")).mapInArrow(run, out)

@@ -16,6 +16,7 @@ are computed from the original ones, in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import count_for, cut, parts, tidy
 
+#: Centres of one group. A node goes to each group that has a centre of its, so to no more groups than it has centres, however many groups there are.
+CENTRES = 256
 GRAPH = "u long, nbrs array<long>, sims array<float>"
 
 
@@ -70,11 +73,9 @@ def _vectors(blobs: list) -> np.ndarray:
 
 
 def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
-    """(vec_id long, v array<double>): rows with an id and a vector that is finite, without null parts, not zero, and of the most common length."""
+    """(vec_id long, v array<double>): rows with an id and a vector that is finite, without null parts and not zero."""
     v = rows.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
-    v = v.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
-    lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return v.where(F.size("v") == (lengths[0]["d"] if lengths else 0))
+    return v.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
 
 
 def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, trees: int = 3, rounds: int = 8, block: int = 128) -> DataFrame:
@@ -83,7 +84,7 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
     Rounds end when fewer than one in a hundred list entries are new.
     """
     spark = nodes.sparkSession
-    groups, p = count_for(n, 1500), parts(spark)
+    groups, homes, p = count_for(n, CENTRES), count_for(n, 1500), parts(spark)
     dims = nodes.select(F.size("v")).first()
     d = (dims[0] if dims else 0) + 1
     bits = max(1, int(np.ceil(np.log2(max(2, n / block)))))
@@ -139,7 +140,7 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
                 got.append((ids[i[new]], ids[j[new]], sim[new]))
         return _graph_table(*_nearest(*(np.concatenate(x) for x in zip(*got, strict=True)), degree))
 
-    grouped = lambda df: df.withColumn("_g", F.pmod(F.xxhash64("u"), F.lit(groups))).groupBy("_g").applyInArrow(merged, GRAPH)
+    grouped = lambda df: df.withColumn("_g", F.pmod(F.xxhash64("u"), F.lit(homes))).groupBy("_g").applyInArrow(merged, GRAPH)
     graph = cut(grouped(found))
     for turn in range(rounds):
         out = graph.select("u", F.explode("nbrs").alias("c"))
@@ -159,17 +160,26 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
 def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 40, beam: int = 60) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id ``every`` divides, the k others of largest inner product.
 
-    A query walks until no node of its best ``beam`` is left unvisited. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite parts, and those not of
-    the most common length, take no part. Rows that repeat an id are one, with the
-    smallest of their vectors. No usable vectors give no rows. Other columns are not read.
+    A query walks until no node of its best ``beam`` is left unvisited. Ties go to the smaller id. Vectors that are null, zero, or hold null or
+    non-finite parts take no part. Vectors of different lengths have no inner product: each length, of which there may be up to 16, is searched
+    by itself. Rows that repeat an id are one, with the smallest of their vectors. No usable vectors give no rows. Other columns are not read.
     """
-    spark = rows.sparkSession
     good = usable(rows, id, vector).groupBy("vec_id").agg(F.min("v").alias("v"))
+    lengths = sorted(r[0] for r in good.select(F.size("v")).distinct().limit(17).collect())
+    if len(lengths) > 16:
+        raise ValueError("vectors of more than 16 lengths")
+    found = [_searched(good.where(F.size("v") == d), every, k, degree, beam) for d in lengths]
+    return reduce(DataFrame.union, found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _searched(good: DataFrame, every: int, k: int, degree: int, beam: int) -> DataFrame:
+    """``search`` among vectors of one length."""
+    spark = good.sparkSession
     classes = good.groupBy("v").agg(F.min("vec_id").alias("u"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks"))
     nodes = cut(classes)
     n, largest = nodes.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()
     graph = build_graph(nodes.select("u", "v"), n, largest or 1.0, degree)
-    groups = count_for(n, 1500)
+    groups = count_for(n, 4096)
 
     homes = nodes.select(F.pmod(F.xxhash64("u"), F.lit(groups)).alias("_g"), "u", "v")
 

@@ -7,6 +7,7 @@ softmax are trained together on a bounded sample; at scoring, each word's part o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,7 +128,7 @@ def score(docs: DataFrame, parts: np.ndarray, bias: float, text: str = "text", o
     """``docs`` with column ``out`` (0 to 1). Null and empty texts get the model's bias alone; a column of that name is replaced."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(parts)
-    kept = docs.drop(out, "_text")
+    kept = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, values = Codes(), Grown()
@@ -142,4 +143,4 @@ def score(docs: DataFrame, parts: np.ndarray, bias: float, text: str = "text", o
             z = np.array([values.a[c].mean() if len(c) else 0.0 for c in got]) + bias
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], names=[*b.schema.names[:-1], out])
 
-    return kept.select("*", docs[text].cast("string").alias("_text")).mapInArrow(run, kept.withColumn(out, F.lit(0.0)).schema)
+    return kept.select("*", docs[text].cast("string").alias(f"_text_{uuid.uuid4().hex}")).mapInArrow(run, kept.withColumn(out, F.lit(0.0)).schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from caselake.llm import language, lines, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity, words
@@ -143,7 +145,7 @@ def test_encoder_equals_the_tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [LONG, "don't a<|endoftext|>b it's \t x", "ΣΑΣ. é", "", "12ab !!? a_b İ", " 　a\x1cb  c\n\nd"]
-    assert [x.tolist() for x in tokens.Encoder(path).encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.Encoder(path).encode(pa.array(texts))] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_context_report(spark):
@@ -166,9 +168,30 @@ def test_n_best_against_all_segmentations():
                 go(i, g + s, (*(lattice.spelt(u[i]) if p < 0 else (p,)), *ids))
 
         go(len(u), 0.0, ())
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:4]
+        return sorted(out, key=lambda x: (-x[0], [-len(lattice.raw[p].decode("utf-8", "replace")) for p in x[1]]))[:4]
 
-    assert all(lattice.best(u) == every(u) for u in ("▁hello", "▁▁a", "ñü漢x", "▁Ouédn"))
+    assert all(lattice.best(u) == every(u) for u in ("▁hello", "▁▁a", "▁Ouédn", "-" * 11, "▁▁▁▁▁", "aaaaaaa", "x"))
+    assert [s for s, _ in lattice.best("ñü漢x")] == [s for s, _ in every("ñü漢x")]
+
+
+def test_viterbi_of_many_units_equals_the_search_of_each():
+    lattice, rng = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model")), np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aeinrst-."), int(rng.integers(1, 40)))) for _ in range(300)] + ["漢\x00 a\x00b", "é" * 70]
+    whole, lo, hi, _, _ = lattice.cut(texts)
+    score, gap, ids, size = lattice.learn(whole, lo, hi)
+    ends = np.cumsum(size)
+    for k in range(len(lo)):
+        want = lattice.best(whole[lo[k] : hi[k]])
+        assert score[k] == want[0][0] and tuple(ids[ends[k] - size[k] : ends[k]]) == want[0][1]
+        assert gap[k] == (want[0][0] - want[1][0] if len(want) > 1 else np.inf)
+
+
+@pytest.mark.parametrize("unit", ["-" * 100_000, "".join(chr(97 + k) for k in np.random.default_rng(2).integers(0, 26, 100_000))])
+def test_long_units_take_time_in_proportion(unit):
+    lattice = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    begun = time.process_time()
+    got = lattice.best(unit)
+    assert time.process_time() - begun < 20 and len(got) == 4 and all("".join(lattice.piece[p] for p in ids) == unit for _, ids in got)
 
 
 def test_pieces_round_trip(spark):
@@ -185,7 +208,7 @@ def whole_text_n_best(lattice, text, n=4):
     edges, top = lattice.edges(u), [[(0.0, ())]]
     for j in range(1, len(u) + 1):
         some = [(g - s, (*ids, *(lattice.spelt(u[i]) if p < 0 else (p,)))) for i, p, s in edges[j] for g, ids in top[i]]
-        top.append(sorted(some)[:n])
+        top.append(sorted(some)[: 8 * n])
     return top[-1]
 
 
@@ -195,7 +218,9 @@ def test_whole_texts_with_signs_against_an_uncut_search(spark):
     got = {r["doc_id"]: r for r in pieces.encode(docs(spark, list(enumerate(SIGNS))), path).collect()}
     for k, text in enumerate(SIGNS):
         want = whole_text_n_best(lattice, text)
-        assert got[k]["scores"] == [-g for g, _ in want] and [tuple(x) for x in got[k]["segmentations"]] == [x for _, x in want]
+        made = [tuple(x) for x in got[k]["segmentations"]]
+        assert got[k]["scores"] == [-g for g, _ in want[:4]] and len(set(made)) == 4
+        assert {(-s, m) for s, m in zip(got[k]["scores"], made, strict=True) if -s < want[4][0]} == {x for x in want[:4] if x[0] < want[4][0]}
         assert got[k]["ids"] == got[k]["segmentations"][0]
 
 
@@ -209,10 +234,32 @@ def test_every_segmentation_decodes_to_its_text(spark):
 
 
 def test_forward_sums_all_segmentations():
-    lattice = language.Lattices(["a", "b", "ab", "ba"])
-    p = np.array([[0.3], [0.2], [0.4], [0.1], [1e-7]])
-    # a|b|a, ab|a, a|ba
-    assert np.isclose(np.exp(language.log_likelihood(lattice, ["aba"], p)[0, 0]), 0.3 * 0.2 * 0.3 + 0.4 * 0.3 + 0.3 * 0.1)
+    lattice = language.Lattices(["a", "b", "ab", "ba", "▁", "▁a"])
+    p = np.array([[0.3], [0.2], [0.4], [0.1], [0.5], [0.05], [1e-7]])
+    # after the mark alone a|b|a, ab|a, a|ba; with it ▁a|b|a, ▁a|ba
+    want = 0.5 * (0.3 * 0.2 * 0.3 + 0.4 * 0.3 + 0.3 * 0.1) + 0.05 * (0.2 * 0.3 + 0.1)
+    assert np.isclose(np.exp(language.log_likelihood(lattice, ["aba"], p)[0, 0]), want)
+
+
+def test_likelihood_of_long_words_is_not_cut():
+    import math
+
+    known = language.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice, rng = language.Lattices(known), np.random.default_rng(3)
+    p = rng.random((len(known) + 1, 2)) / len(known)
+    words = ["internationalization" * 20, "ab", "漢字" * 50, "x" * 3000]
+    got = language.log_likelihood(lattice, words, p)
+    for k, w in enumerate(words):
+        m = language.MARK + w
+        alpha = [[0.0] + [-math.inf] * len(m) for _ in range(2)]
+        for j in range(1, len(m) + 1):
+            for c in range(2):
+                some = [alpha[c][i] + math.log(p[lattice.at[m[i:j]], c]) for i in range(max(0, j - lattice.longest), j) if m[i:j] in lattice.at]
+                if m[j - 1] not in lattice.at:
+                    some.append(alpha[c][j - 1] + math.log(p[-1, c]))
+                top = max(some)
+                alpha[c][j] = top + math.log(sum(math.exp(x - top) for x in some))
+        assert np.allclose(got[k], [a[-1] for a in alpha], rtol=1e-9)
 
 
 def test_language_of_texts_without_letters(spark):
