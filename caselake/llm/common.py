@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselake.operators.graph import shared_folder, written
+
 #: Rows of one Arrow batch; whole texts travel in it, so it is far under Spark's default.
 BATCH_ROWS = 500
 
@@ -28,22 +28,17 @@ def small_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-    temporary folder is taken; a cluster names its own.
+    The folder is the session's ``spark.checkpoint.dir``; only local sessions may do without one.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the shared folder; it stays there until the folder is cleared."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return written(df)
 
 
 def tidy(spark: SparkSession) -> None:
