@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from caselake.operators.graph import components
+from caselake.operators.graph import touching_components
 from caselake.plans.relation import Relations
 
 
+#: Relations that many others build on; each is written once for an input.
+SHARED = ("fn4_rectangles", "comp_rects", "cells", "cell_edges", "ag2_rect_union", "wall_order", "wn1_wall_beams", "jn4_beam_cover", "wn3_clear_spans", "col_shape")
+
+
 def define(r: Relations) -> None:
     r.add("seg", """
 SELECT l_orderkey AS case_id, seg_idx,
@@ -49,7 +53,7 @@ WITH RECURSIVE reach(case_id, seg_idx, root) AS (
   SELECT case_id, seg_idx, seg_idx FROM {fn4_rectangles}
   UNION
   SELECT e.case_id, e.b, p.root FROM reach p JOIN (SELECT case_id, a, b FROM {jn1_touching_pairs} UNION ALL SELECT case_id, b, a FROM {jn1_touching_pairs}) e ON p.case_id = e.case_id AND p.seg_idx = e.a
-) SELECT case_id, seg_idx, min(root) AS component FROM reach GROUP BY case_id, seg_idx""", lambda fn4_rectangles, jn1_touching_pairs: components(fn4_rectangles, jn1_touching_pairs))
+) SELECT case_id, seg_idx, min(root) AS component FROM reach GROUP BY case_id, seg_idx""", lambda fn4_rectangles, jn1_touching_pairs: touching_components(fn4_rectangles, jn1_touching_pairs))
     r.add("comp_rects", "SELECT r.*, c.component FROM {fn4_rectangles} r JOIN {ag1_components} c ON r.case_id = c.case_id AND r.seg_idx = c.seg_idx")
     cuts = """
 SELECT case_id, component, v AS {0}a, lead(v) OVER (PARTITION BY case_id, component ORDER BY v) AS {0}b, CAST(row_number() OVER (PARTITION BY case_id, component ORDER BY v) AS BIGINT) AS {0}i

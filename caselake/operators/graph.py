@@ -1,19 +1,52 @@
-"""Connected components inside cases, without a case ever meeting in one task."""
+"""Connected components inside cases, and tables in the session's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Cases of up to so many segments are solved as arrays; in larger ones labels travel in rounds of joins.
+AS_ARRAY = 64
 
-def shared_cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the session's checkpoint folder; a temporary one only where none is set, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session may do without one: there a temporary folder is shared by all."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _small(rects: DataFrame) -> DataFrame:
+    """Components of whole cases as arrays: each round a rectangle takes the least label of those that touch it."""
+    cases = rects.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", "rx0", "rx1", "ry0", "ry1"))).alias("r"))
+    touch = "x.rx0 <= y.rx1 AND y.rx0 <= x.rx1 AND x.ry0 <= y.ry1 AND y.ry0 <= x.ry1"
+    labels = f"aggregate(sequence(1, size(r)), transform(r, (x, i) -> i), (l, k) -> transform(r, (x, i) -> array_min(transform(r, (y, j) -> CASE WHEN {touch} THEN l[j] ELSE l[i] END))))"
+    return cases.select("case_id", "r", F.explode(F.expr(f"transform({labels}, (l, i) -> struct(r[i].seg_idx AS seg_idx, r[l].seg_idx AS component))")).alias("c")).select("case_id", "c.seg_idx", "c.component")
+
+
+def touching_components(rects: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(case_id, seg_idx, component) of rectangles (case_id, seg_idx, rx0, rx1, ry0, ry1), of which ``pairs`` (case_id, a, b) touch."""
+    large = rects.groupBy("case_id").count().where(F.col("count") > AS_ARRAY).select("case_id")
+    if large.isEmpty():
+        return _small(rects)
+    large = written(large)
+    most = rects.join(large, "case_id", "left_anti")
+    return _small(most).union(components(rects.join(large, "case_id", "left_semi"), pairs.join(large, "case_id", "left_semi")))
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: str = "case_id", node: str = "seg_idx", rounds: int = 60) -> DataFrame:
@@ -22,15 +55,17 @@ def components(nodes: DataFrame, edges: DataFrame, by: str = "case_id", node: st
     Each round hands the smallest label of a node's neighbours on and then follows labels to their own label,
     so rounds grow with the logarithm of the longest path; only nodes that have edges take part.
     """
-    both = shared_cut(edges.select(by, "a", "b").union(edges.select(by, F.col("b"), F.col("a"))).distinct())
+    both = written(edges.select(by, "a", "b").union(edges.select(by, F.col("b"), F.col("a"))).distinct())
     label = both.groupBy(by, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     for _ in range(rounds):
-        label = shared_cut(label)
+        label = written(label)
         near = both.join(label.select(by, F.col("a").alias("b"), F.col("m").alias("mb")), [by, "b"]).groupBy(by, "a").agg(F.min("mb").alias("mb"))
         low = label.join(near, [by, "a"]).select(by, "a", "m", F.least("m", "mb").alias("l"))
         hop = low.select(by, F.col("a").alias("l"), F.col("l").alias("ll"))
-        after = shared_cut(low.join(hop, [by, "l"], "left").select(by, "a", "m", F.least("l", F.coalesce("ll", "l")).alias("new")))
+        after = written(low.join(hop, [by, "l"], "left").select(by, "a", "m", F.least("l", F.coalesce("ll", "l")).alias("new")))
         label = after.select(by, "a", F.col("new").alias("m"))
         if after.where("new <> m").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(label.withColumnRenamed("a", node), [by, node], "left").select(by, node, F.coalesce("m", node).alias("component"))

@@ -13,6 +13,7 @@ from caselake.plans.relation import Relations
 RELATIONS = Relations()
 for _module in (geometry, evaluate, search, runs, diagnose, reports):
     _module.define(RELATIONS)
+RELATIONS.share(*geometry.SHARED)
 
 #: Inputs and helpers of other relations; everything else is a query.
 HELPERS = {"seg", "walls", "group_axis", "comp_rects", "x_cuts", "y_cuts", "cells", "cell_edges", "wall_order", "col_shape", "reg", "clf", "mat", "errs", "log", "health", "cand", "attempts", "strata", "vectors", "report_html", "report_rows", "pairs", "roc_points", "hits", "vec"} | {

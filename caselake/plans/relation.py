@@ -9,6 +9,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselake.operators.graph import written
 
 #: Name -> its form in Spark and in DuckDB, with {} for the arguments.
 FORMS: dict[str, tuple[str, str]] = {
@@ -45,6 +48,8 @@ class Relations:
     def __init__(self) -> None:
         self.text: dict[str, str] = {}
         self.made_by: dict[str, Callable[..., DataFrame]] = {}
+        self.shared: set[str] = set()
+        self._written: dict[tuple, DataFrame] = {}
 
     def add(self, name: str, sql: str, frames: Callable[..., DataFrame] | None = None) -> None:
         """``frames``: makes it from its inputs' DataFrames where Spark's SQL alone can't; the text then serves the check."""
@@ -67,17 +72,40 @@ class Relations:
         run.__name__, run.__doc__ = name, f"Inputs: {', '.join(self.inputs(name))}."
         return run
 
+    def share(self, *names: str) -> None:
+        """Relations that are written to the shared folder once for an input, and read from there by all that build on them."""
+        self.shared |= set(names)
+
+    def tables(self, name: str) -> set[str]:
+        """The tables that a relation is made from."""
+        return {name} if name not in self.text else set().union(*(self.tables(i) for i in self.inputs(name)))
+
     def frame(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
         """The relation over the tables in ``sf_dir``."""
         made = {} if made is None else made
         if name not in made:
-            if name not in self.text:
-                made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            else:
-                got = {i: self.frame(spark, sf_dir, i, made) for i in self.inputs(name)}
-                made[name] = self.made_by[name](**got) if name in self.made_by else spark.sql(_forms(self.text[name], 0), **got)
+            made[name] = self._kept(spark, sf_dir, name, made) if name in self.shared else self._made(spark, sf_dir, name, made)
         return made[name]
 
+    def _made(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
+        if name not in self.text:
+            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        got = {i: self.frame(spark, sf_dir, i, made) for i in self.inputs(name)}
+        return self.made_by[name](**got) if name in self.made_by else spark.sql(_forms(self.text[name], 0), **got)
+
+    def _kept(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
+        """The written relation; written anew where a file of its tables is another or newer one than before."""
+        files = "file|" + sf_dir
+        if files not in made:
+            made[files] = {}
+        for t in self.tables(name) - set(made[files]):
+            seen = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+            made[files][t] = self.frame(spark, sf_dir, t, made).select(seen.alias("h")).distinct().agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+        key = (spark.sparkContext.applicationId, sf_dir, name, *sorted((t, *made[files][t]) for t in self.tables(name)))
+        if key not in self._written:
+            self._written[key] = written(self._made(spark, sf_dir, name, made))
+        return self._written[key]
+
     def duckdb(self, name: str) -> str:
         """One SQL text for the check, with the relations that it builds on."""
         order: list[str] = []

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselake.operators import models
+from caselake.operators.graph import shared_folder
 from caselake.plans.relation import Relations
 from caselake.sources import tables
 from caselake.streaming import telemetry
 
 
 def _folder(spark: SparkSession) -> str:
-    return posixpath.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"), f"tables-{uuid.uuid4().hex}")
+    return posixpath.join(shared_folder(spark), f"tables-{uuid.uuid4().hex}")
 
 
 def make(r: Relations) -> tuple[dict, dict[str, str]]:
