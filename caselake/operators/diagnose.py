@@ -7,6 +7,7 @@ before the exchange.
 
 from __future__ import annotations
 
+from caselake.operators.evaluate import add_rank
 from caselake.plans.relation import Relations
 
 #: Cumulative Poisson(1) up to 7; the rest counts as 8.
@@ -39,12 +40,6 @@ def weight(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {c}E0 THEN {k}" for k, c in enumerate(POISSON)) + " ELSE 8 END"
 
 
-def add_rank(r: Relations, name: str, source: str, bucket: str, order: str, keep: str) -> None:
-    """``name``: rows of ``source`` with ``rk`` from 1 by ``order``, of which ``bucket`` is a rising function."""
-    r.add(f"{name}_base", f"SELECT b, sum(n) OVER (ORDER BY b) - n AS base, sum(n) OVER () AS total FROM (SELECT {bucket} AS b, count(*) AS n FROM {{{source}}} GROUP BY {bucket})")
-    r.add(name, f"SELECT {keep}, CAST(base + row_number() OVER (PARTITION BY s.b ORDER BY {order}) AS BIGINT) AS rk, CAST(total AS BIGINT) AS total FROM (SELECT *, {bucket} AS b FROM {{{source}}}) s JOIN {{{name}_base}} t ON s.b = t.b")
-
-
 def define(r: Relations) -> None:
     r.add("resid", "SELECT idx, y, yhat, round(y - yhat, 2) AS e FROM {reg}")
     add_rank(r, "wn9_global_rank", "reg", "floor(y / 1000)", "y, idx", "idx, y")
@@ -60,7 +55,7 @@ SELECT idx, y, CAST(rk AS BIGINT) AS rk FROM {wn9_global_rank} JOIN (SELECT DIST
     r.add("jn10_permute", "SELECT a.k1, a.k2, a.k3, a.k4, a.p, a.q, b.q AS permuted_q, a.score FROM {by_idx} a JOIN {by_draw} b ON a.rk = b.rk")
     r.add("ml11_permutation_importance", "SELECT round(avg(abs(3 * (permuted_q - q))), 4) AS mae_rise, round(avg(9 * (permuted_q - q) * (permuted_q - q)), 2) AS mse_rise FROM {jn10_permute}")
     r.add("ml16_pick_weight", """
-SELECT min_by(w, targeted + w * 1e-9) AS weight FROM (SELECT w, avg(abs(yhat * (1 + 0.001E0 * w) - y)) AS mae, avg(CASE WHEN band = '1-URGENT' THEN abs(yhat * (1 + 0.002E0 * w) - y) END) AS targeted, avg(abs(yhat - y)) AS base
+SELECT min_by(w, @pair(targeted, w)) AS weight FROM (SELECT w, avg(abs(yhat * (1 + 0.001E0 * w) - y)) AS mae, avg(CASE WHEN band = '1-URGENT' THEN abs(yhat * (1 + 0.002E0 * w) - y) END) AS targeted, avg(abs(yhat - y)) AS base
   FROM {reg} CROSS JOIN (SELECT * FROM (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) AS v(w)) s GROUP BY w) WHERE mae <= base * 1.0000001E0""")
     # Bootstraps on the test part, 1000 replicates.
     r.add("sp12_bootstrap_weights", f"""
@@ -104,7 +99,7 @@ SELECT round(avg(CASE WHEN d2 > {CHI2_975_2}E0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS
     r.add("st3_unique_pool", "SELECT case_id, group_key, value, min(kind) AS kind FROM (SELECT case_id, group_key, minimum AS value, 0 AS kind FROM {sm4_pilot_plan} UNION ALL SELECT case_id, group_key, midpoint, 1 FROM {sm4_pilot_plan} UNION ALL SELECT case_id, group_key, maximum, 2 FROM {sm4_pilot_plan} UNION ALL SELECT case_id, group_key, value, 3 FROM {sm5_latin_hypercube}) GROUP BY case_id, group_key, value")
     r.add("st5_append_train", "SELECT idx, part FROM {sp1_split_regression} WHERE part <> 'train' UNION ALL SELECT idx, 'train' FROM (SELECT idx FROM {sp1_split_regression} WHERE part = 'train' UNION SELECT r.idx FROM {reg} r ANTI JOIN (SELECT idx FROM {sp1_split_regression} WHERE part <> 'train') h ON r.idx = h.idx WHERE r.y > 100000)")
     r.add("st6_name_diff", "SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT element AS k FROM {errs} WHERE header = 'error') a FULL OUTER JOIN (SELECT DISTINCT element AS k FROM {errs} WHERE header <> 'error') b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
-    r.add("sp4_development", "SELECT idx, y FROM {reg} WHERE idx >= 230")
+    r.add("sp4_development", "SELECT r.idx, r.y FROM {reg} r JOIN {sp1_split_regression} s ON r.idx = s.idx WHERE part <> 'test'")
     r.add("sp11_check_resume", "SELECT count(*) AS rows_kept, count(DISTINCT candidate_id) AS cases, count(CASE WHEN status = 'completed' AND (steel IS NULL OR steel <= 0) THEN 1 END) AS broken, max(sequence) AS resume_after FROM {attempts} WHERE status <> 'pending'")
     r.add("sm6_targeted_pool", """
 SELECT case_id, group_key, draw, CASE WHEN draw = 0 THEN lower ELSE least(upper, greatest(lower, lower + 5 * floor(@u('81:' || CAST(case_id AS STRING) || ':' || group_key || ':' || CAST(draw AS STRING)) * (1 + floor((upper - lower) / 5) / 2)))) END AS value

@@ -5,6 +5,37 @@ from __future__ import annotations
 from caselake.plans.relation import Relations
 
 
+#: Rows that were used before and so never enter a test part.
+PREFIX = 230
+#: Relations that many others build on; each is written once for an input.
+SHARED = ("by_position", "test_strata", "validation_strata", "sp1_split_regression", "roc_points")
+#: The most rank strata of a draw.
+STRATA = 10
+
+
+def add_rank(r: Relations, name: str, source: str, bucket: str, order: str, keep: str) -> None:
+    """Add ``name``: ``keep`` of ``source`` with rk, its rank from 1 in ``order``, and total. Ranks are counted inside buckets, which rise with the order, and
+    the rows of earlier buckets are added, so no task holds the table."""
+    r.add(f"{name}_base", f"SELECT b, sum(c) OVER (ORDER BY b) - c AS base, sum(c) OVER () AS total FROM (SELECT {bucket} AS b, count(*) AS c FROM {{{source}}} GROUP BY {bucket})")
+    r.add(name, f"SELECT {keep}, CAST(base + row_number() OVER (PARTITION BY s.b ORDER BY {order}) AS BIGINT) AS rk, CAST(total AS BIGINT) AS total FROM (SELECT *, {bucket} AS b FROM {{{source}}}) s JOIN {{{name}_base}} t ON s.b = t.b")
+
+
+def stratified_draw(r: Relations, name: str, seed: int) -> None:
+    """Add ``name``_drawn (idx): ``take`` rows of ``name``_source (idx, y, take), spread over rank strata of y by largest remainders and drawn in each by the keyed uniform."""
+    r.add(f"{name}_pool", f"SELECT idx, y, take, @u('{seed}:' || CAST(idx AS STRING)) AS u FROM {{{name}_source}}")
+    add_rank(r, f"{name}_ranked", f"{name}_pool", "floor(y / 1000)", "y, idx", "idx, u, take")
+    r.add(f"{name}_strata", f"""
+SELECT idx, u, take, total, CAST(floor((rk - 1) * bins / total) AS BIGINT) AS stratum, CAST(floor(u * (1 + floor(total / 40960))) AS BIGINT) AS b FROM (
+  SELECT *, CAST(greatest(1, least({STRATA}, floor(total / 2), take, total - take)) AS BIGINT) AS bins FROM {{{name}_ranked}})""")
+    r.add(f"{name}_quota", f"""
+SELECT stratum, whole + CASE WHEN row_number() OVER (ORDER BY part DESC, stratum) <= take - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM (
+  SELECT stratum, max(take) AS take, CAST(floor(max(take) * count(*) / max(total)) AS BIGINT) AS whole, (max(take) * count(*)) % max(total) AS part FROM {{{name}_strata}} GROUP BY stratum)""")
+    r.add(f"{name}_before", f"SELECT stratum, b, sum(c) OVER (PARTITION BY stratum ORDER BY b) - c AS base FROM (SELECT stratum, b, count(*) AS c FROM {{{name}_strata}} GROUP BY stratum, b)")
+    r.add(f"{name}_drawn", f"""
+SELECT s.idx FROM (SELECT idx, stratum, b, row_number() OVER (PARTITION BY stratum, b ORDER BY u, idx) AS k FROM {{{name}_strata}}) s
+JOIN {{{name}_before}} e ON s.stratum = e.stratum AND s.b = e.b JOIN {{{name}_quota}} q ON s.stratum = q.stratum WHERE base + k <= quota""")
+
+
 def define(r: Relations) -> None:
     r.add("reg", "SELECT o_orderkey AS idx, o_totalprice AS y, o_totalprice * (0.9E0 + 0.2E0 * ((o_custkey * 37) % 100) / 100.0E0) AS yhat, o_orderpriority AS band FROM {orders}")
     r.add("clf", "SELECT event_id AS idx, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS valid, least(1.0E0, value / 100.0E0) AS p_invalid FROM {events}")
@@ -18,14 +49,23 @@ SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN valid = 0 AND predicted = 0
     r.add("ag13_histogram", """
 SELECT CAST(least(floor((y - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM {reg} CROSS JOIN (SELECT min(y) AS lo, max(y) AS hi FROM {reg}) b GROUP BY CAST(least(floor((y - lo) / ((hi - lo) / 30)), 29) AS BIGINT)""")
     r.add("ag14_dataset_fingerprint", "SELECT count(*) AS n, round(sum(@u(CAST(idx AS STRING) || ':' || CAST(CAST(round(y * 100) AS BIGINT) AS STRING))), 4) AS digest FROM {reg}")
-    # Splits: quota per stratum by rank under the keyed uniform; strata are many, so no window holds the whole table.
+    # Folds inside bands, for the breakdowns below.
     r.add("strata", "SELECT idx, y, yhat, band, @u('7:' || CAST(idx AS STRING)) AS u, CAST(row_number() OVER (PARTITION BY band ORDER BY @u('7:' || CAST(idx AS STRING)), idx) AS BIGINT) AS rk, count(*) OVER (PARTITION BY band) AS n FROM {reg}")
-    r.add("sp1_split_regression", "SELECT idx, band, CASE WHEN rk <= ceil(n * 0.15E0) THEN 'test' WHEN rk <= ceil(n * 0.15E0) + ceil((n - ceil(n * 0.15E0)) * 0.2E0) THEN 'validation' ELSE 'train' END AS part FROM {strata}")
+    # The split: test rows come from rows after the protected prefix alone, both draws by rank strata of y.
+    add_rank(r, "by_position", "reg", "floor(idx / 4096)", "idx", "idx, y, band")
+    r.add("test_source", f"SELECT idx, y, CAST(ceil(total * 0.15E0) AS BIGINT) AS take FROM {{by_position}} WHERE rk > {PREFIX}")
+    stratified_draw(r, "test", 7)
+    r.add("development", "SELECT p.idx, p.y FROM {by_position} p ANTI JOIN {test_drawn} t ON p.idx = t.idx")
+    r.add("validation_source", "SELECT idx, y, (SELECT CAST(ceil(count(*) * 0.2E0) AS BIGINT) FROM {development}) AS take FROM {development}")
+    stratified_draw(r, "validation", 8)
+    r.add("sp1_split_regression", """
+SELECT p.idx, p.band, CASE WHEN t.idx IS NOT NULL THEN 'test' WHEN v.idx IS NOT NULL THEN 'validation' ELSE 'train' END AS part
+FROM {by_position} p LEFT JOIN {test_drawn} t ON p.idx = t.idx LEFT JOIN {validation_drawn} v ON p.idx = v.idx""")
     r.add("sp2_split_classes", """
 SELECT idx, valid, CASE WHEN rk <= floor(n * 0.2E0) THEN 'test' WHEN rk <= floor(n * 0.4E0) THEN 'validation' ELSE 'train' END AS part FROM (
   SELECT idx, valid, row_number() OVER (PARTITION BY valid ORDER BY @u('3:' || CAST(idx AS STRING)), idx) AS rk, count(*) OVER (PARTITION BY valid) AS n FROM {clf} WHERE idx >= 253)
 UNION ALL SELECT idx, valid, 'train' FROM {clf} WHERE idx < 253""")
-    r.add("sp3_manifest", "SELECT part, count(*) AS n, min(y) AS y_min, max(y) AS y_max, round(avg(y), 4) AS y_mean, round(stddev_pop(y), 4) AS y_std, max(CASE WHEN s.idx < 230 AND part = 'test' THEN 1 ELSE 0 END) AS leaks FROM {sp1_split_regression} s JOIN {reg} r ON s.idx = r.idx GROUP BY part")
+    r.add("sp3_manifest", "SELECT part, count(*) AS n, min(y) AS y_min, max(y) AS y_max, round(avg(y), 4) AS y_mean, round(stddev_pop(y), 4) AS y_std, max(CASE WHEN r.rk <= 230 AND part = 'test' THEN 1 ELSE 0 END) AS leaks FROM {sp1_split_regression} s JOIN {by_position} r ON s.idx = r.idx GROUP BY part")
     r.add("sp5_folds", "SELECT t.idx, r.rep, CAST((row_number() OVER (PARTITION BY band, rep ORDER BY @u(CAST(rep AS STRING) || ':' || CAST(idx AS STRING)), idx) - 1) % 5 AS BIGINT) AS fold FROM {reg} t CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS v(rep)) r")
     r.add("sp6_stratified_folds", "SELECT band, CAST(rk % 5 AS BIGINT) AS fold, count(*) AS n FROM {strata} GROUP BY band, CAST(rk % 5 AS BIGINT)")
     r.add("sp8_check_matrix", "SELECT count(*) AS n, count(CASE WHEN q IS NULL OR isnan(q) THEN 1 END) AS bad_q, count(CASE WHEN p IS NULL OR p <= 0 THEN 1 END) AS bad_p, count(CASE WHEN d < 0 OR d > 1 THEN 1 END) AS bad_d, CASE WHEN count(*) >= 2 THEN 1 ELSE 0 END AS enough FROM {mat}")
@@ -44,7 +84,7 @@ SELECT round(avg(abs({err})), 4) AS mae, round(sqrt(avg(power({err}, 2))), 4) AS
     r.add("ev2_mape", "SELECT round(100 * avg(CASE WHEN abs(y) > 1e-6 THEN abs((yhat - y) / y) END), 6) AS mape, count(CASE WHEN abs(y) <= 1e-6 THEN 1 END) AS skipped FROM {reg}")
     r.add("ev3_p90", "SELECT round(@pctl(abs(yhat - y), 0.9), 4) AS p90_abs FROM {reg}")
     r.add("ev4_under_prediction", """
-SELECT round(avg(CASE WHEN y > yhat THEN 1.0E0 ELSE 0.0E0 END), 6) AS under_rate, round(avg(CASE WHEN y > yhat THEN y - yhat END), 4) AS under_mean, round(@pctl(greatest(y - yhat, 0), 0.9), 4) AS under_p90,
+SELECT round(avg(CASE WHEN y > yhat THEN 1.0E0 ELSE 0.0E0 END), 6) AS under_rate, round(avg(greatest(y - yhat, 0)), 4) AS under_mean, round(@pctl(greatest(y - yhat, 0), 0.9), 4) AS under_p90,
   round(avg(CASE WHEN y <= q25 THEN abs(yhat - y) END), 4) AS low_mae FROM {reg} CROSS JOIN (SELECT @pctl(y, 0.25) AS q25 FROM {reg}) q""")
     r.add("ev5_bias", "SELECT round(avg(yhat - y), 4) AS bias FROM {reg}")
     r.add("ev6_by_band", "SELECT CAST(floor(y / 100000) AS BIGINT) AS band_no, count(*) AS n, round(avg(abs(yhat - y)), 4) AS mae, round(avg(yhat - y), 4) AS bias FROM {reg} GROUP BY CAST(floor(y / 100000) AS BIGINT)")
@@ -53,24 +93,29 @@ SELECT round(avg(CASE WHEN y > yhat THEN 1.0E0 ELSE 0.0E0 END), 6) AS under_rate
 SELECT tn, fp, fn, tp, round((tn + tp) / CAST(tn + fp + fn + tp AS DOUBLE), 6) AS accuracy, CASE WHEN tn + fp > 0 THEN round(tn / CAST(tn + fp AS DOUBLE), 6) ELSE 0 END AS recall_invalid,
   CASE WHEN tn + fn > 0 THEN round(tn / CAST(tn + fn AS DOUBLE), 6) ELSE 0 END AS precision_invalid, fp AS invalid_as_valid FROM (
   SELECT count(CASE WHEN valid = 0 AND predicted = 0 THEN 1 END) AS tn, count(CASE WHEN valid = 0 AND predicted = 1 THEN 1 END) AS fp, count(CASE WHEN valid = 1 AND predicted = 0 THEN 1 END) AS fn, count(CASE WHEN valid = 1 AND predicted = 1 THEN 1 END) AS tp FROM {fn14_label})""")
-    # The curve has a point for each distinct score, of which there are at most 10001 after rounding to 1e-4.
+    # The curve has a point for each distinct score; sums run inside buckets of scores, and those of higher buckets are added.
+    r.add("roc_scores", "SELECT p_invalid AS thr, floor(p_invalid * 4096) AS b, CAST(sum(1 - valid) AS BIGINT) AS pos, CAST(sum(valid) AS BIGINT) AS neg FROM {clf} WHERE p_invalid IS NOT NULL GROUP BY p_invalid")
+    r.add("roc_base", """
+SELECT b, (sum(p) OVER w) - p AS tp0, (sum(q) OVER w) - q AS fp0, sum(p) OVER () AS all_pos, sum(q) OVER () AS all_neg, lead(top_pos) OVER w AS later_pos, lead(top_neg) OVER w AS later_neg FROM (
+  SELECT b, sum(pos) AS p, sum(neg) AS q, max_by(pos, thr) AS top_pos, max_by(neg, thr) AS top_neg FROM {roc_scores} GROUP BY b) WINDOW w AS (ORDER BY b DESC)""")
     r.add("roc_points", """
-SELECT thr, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, pos, neg FROM (SELECT round(p_invalid, 4) AS thr, CAST(sum(1 - valid) AS BIGINT) AS pos, CAST(sum(valid) AS BIGINT) AS neg FROM {clf} GROUP BY round(p_invalid, 4)) WINDOW w AS (ORDER BY thr DESC)""")
+SELECT thr, pos, neg, CAST(tp0 + (sum(pos) OVER w) AS BIGINT) AS tp, CAST(fp0 + (sum(neg) OVER w) AS BIGINT) AS fp, all_pos, all_neg, coalesce(lead(pos) OVER w, later_pos) AS next_pos, coalesce(lead(neg) OVER w, later_neg) AS next_neg
+FROM {roc_scores} s JOIN {roc_base} t ON s.b = t.b WINDOW w AS (PARTITION BY s.b ORDER BY thr DESC)""")
     r.add("ev12_roc", """
-SELECT thr, round(tp / CAST(all_pos AS DOUBLE), 6) AS tpr, round(fp / CAST(all_neg AS DOUBLE), 6) AS fpr FROM (
-  SELECT *, lead(pos) OVER (ORDER BY thr DESC) AS next_pos, lead(neg) OVER (ORDER BY thr DESC) AS next_neg, max(tp) OVER () AS all_pos, max(fp) OVER () AS all_neg FROM {roc_points})
-WHERE next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""")
+SELECT thr, round(tp / CAST(all_pos AS DOUBLE), 6) AS tpr, round(fp / CAST(all_neg AS DOUBLE), 6) AS fpr FROM {roc_points}
+WHERE next_pos IS NULL OR next_pos <> pos OR next_neg <> neg OR (tp = pos AND fp = neg)
+UNION ALL SELECT CAST(NULL AS DOUBLE), 0.0E0, 0.0E0 FROM (SELECT count(*) AS n FROM {roc_scores}) c WHERE n > 0""")
     r.add("ev13_auc", "SELECT round(CAST(sum(CAST(neg * (2 * tp - pos) AS DOUBLE)) AS DOUBLE) / (2.0E0 * sum(pos) * sum(neg)), 6) AS auc FROM {roc_points}")
-    r.add("ev14_youden", "SELECT coalesce(max_by(thr, round(tpr - fpr, 6) + thr * 1e-9), 0.5) AS threshold FROM {ev12_roc} WHERE thr BETWEEN 0 AND 1")
+    r.add("ev14_youden", "SELECT coalesce(max_by(thr, @pair(round(tpr - fpr, 6), thr)), 0.5) AS threshold FROM {ev12_roc} WHERE thr BETWEEN 0 AND 1")
     r.add("ev15_evaluate_rule", "SELECT threshold, count(*) AS n, round(avg(CASE WHEN (CASE WHEN p_invalid >= threshold THEN 0 ELSE 1 END) = valid THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy FROM {clf} CROSS JOIN {ev14_youden} GROUP BY threshold")
     r.add("ev16_threshold_sweep", """
 SELECT thr, round(avg(CASE WHEN valid = 0 THEN CASE WHEN p_invalid < thr THEN 1.0E0 ELSE 0.0E0 END END), 6) AS miss_rate, round(avg(CASE WHEN valid = 1 THEN CASE WHEN p_invalid >= thr THEN 1.0E0 ELSE 0.0E0 END END), 6) AS rejection_rate
 FROM {clf} CROSS JOIN (SELECT * FROM (VALUES (0.1E0), (0.25E0), (0.5E0), (0.75E0), (0.9E0)) AS v(thr)) s GROUP BY thr""")
-    r.add("ev17_gates", "SELECT CASE WHEN mae <= 0.1 * med THEN 1 ELSE 0 END AS mae_ok, CASE WHEN r2 >= 0.8 THEN 1 ELSE 0 END AS r2_ok, CASE WHEN rmse <= 0.12 * med THEN 1 ELSE 0 END AS rmse_ok, CASE WHEN auc >= 0.8 THEN 1 ELSE 0 END AS auc_ok FROM {ev1_regression_metrics} CROSS JOIN (SELECT @pctl(y, 0.5) AS med FROM {reg}) m CROSS JOIN {ev13_auc}")
+    r.add("ev17_gates", "SELECT CASE WHEN mae <= 0.1 * med THEN 1 ELSE 0 END AS mae_ok, CASE WHEN r2 >= 0.8 THEN 1 ELSE 0 END AS r2_ok, CASE WHEN rmse <= 0.12 * med THEN 1 ELSE 0 END AS rmse_ok, CASE WHEN auc >= 0.8 THEN 1 ELSE 0 END AS auc_ok, CASE WHEN recall_invalid >= 0.8 THEN 1 ELSE 0 END AS recall_ok, CASE WHEN precision_invalid >= 0.6 THEN 1 ELSE 0 END AS precision_ok FROM {ev1_regression_metrics} CROSS JOIN (SELECT @pctl(y, 0.5) AS med FROM {reg}) m CROSS JOIN {ev13_auc} CROSS JOIN {ev11_confusion}")
     r.add("ev18_bias_variance", """
 SELECT round(avg(power(m - y, 2)), 2) AS mean_sq_bias, round(avg(v), 2) AS mean_variance, round(avg(e), 2) AS expected_mse, round(abs(avg(e) - avg(power(m - y, 2)) - avg(v)), 2) + 0.0E0 AS identity_error FROM (
   SELECT idx, y, avg(p) AS m, var_pop(p) AS v, avg(power(p - y, 2)) AS e FROM (SELECT idx, y, seed, yhat * (1 + 0.01E0 * (seed - 1)) AS p FROM {reg} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(seed)) s) GROUP BY idx, y)""")
     r.add("dg3_residual_bands", "SELECT round(avg(CASE WHEN abs(yhat - y) <= 0.1E0 * y THEN 1.0E0 ELSE 0.0E0 END), 6) AS within_10, round(avg(CASE WHEN abs(yhat - y) <= 0.05E0 * y THEN 1.0E0 ELSE 0.0E0 END), 6) AS within_5, round(avg(CASE WHEN yhat < y THEN 1.0E0 ELSE 0.0E0 END), 6) AS share_negative FROM {reg}")
     r.add("dg6_confusion_percent", "SELECT valid, predicted, round(100.0E0 * n / sum(n) OVER (PARTITION BY valid), 4) AS percent FROM (SELECT valid, predicted, count(*) AS n FROM {fn14_label} GROUP BY valid, predicted)")
     r.add("dg7_correlation", "SELECT round(corr(q, p), 4) AS q_p, round(corr(q, score), 4) AS q_score, round(corr(p, score), 4) AS p_score, CASE WHEN abs(corr(p, score)) > 0.9 THEN 1 ELSE 0 END AS p_score_flag FROM {mat}")
-    r.add("tk1_extremes", "SELECT min_by(idx, struct_key) AS low_idx, max_by(idx, struct_key) AS high_idx, min(idx) AS first_idx FROM (SELECT idx, y + idx * 1e-9 AS struct_key FROM {reg})")
+    r.add("tk1_extremes", "SELECT min_by(idx, @pair(y, idx)) AS low_idx, max_by(idx, @pair(y, -idx)) AS high_idx, min(idx) AS first_idx FROM {reg}")

@@ -19,8 +19,8 @@ SELECT run_id, iteration, cost, best, improved, CAST(row_number() OVER (PARTITIO
 SELECT worker, event_id, CAST(sum(failed) OVER (PARTITION BY worker, island ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS streak FROM (
   SELECT *, sum(1 - failed) OVER (PARTITION BY worker ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM {health})""")
     r.add("ss4_circuit_breaker", "SELECT worker, min(event_id) AS tripped_at FROM {wn6_failure_streak} WHERE streak >= 3 GROUP BY worker")
-    r.add("wn7_early_stop", "SELECT run_id, min(CASE WHEN stale >= 10 THEN iteration END) AS stop_iteration, min_by(iteration, cost + iteration * 1e-9) AS best_iteration FROM {wn4_best_so_far} GROUP BY run_id")
-    r.add("tk5_best_epoch", "SELECT run_id, min(cost) AS best_cost, min_by(iteration, cost + iteration * 1e-9) AS best_epoch, count(*) AS epochs FROM {log} GROUP BY run_id")
+    r.add("wn7_early_stop", "SELECT run_id, min(CASE WHEN stale >= 10 THEN iteration END) AS stop_iteration, min_by(iteration, @pair(cost, iteration)) AS best_iteration FROM {wn4_best_so_far} GROUP BY run_id")
+    r.add("tk5_best_epoch", "SELECT run_id, min(cost) AS best_cost, min_by(iteration, @pair(cost, iteration)) AS best_epoch, count(*) AS epochs FROM {log} GROUP BY run_id")
     r.add("dg12_convergence", "SELECT run_id, count(CASE WHEN improved = 1 THEN 1 END) AS improvements, min(best) AS final_best, max(stale) AS longest_stale FROM {wn4_best_so_far} GROUP BY run_id")
     r.add("ag12_error_frequency", "SELECT header, element, count(*) AS n FROM {errs} GROUP BY header, element")
     r.add("ag16_error_rollup", "SELECT run_id, header, count(*) AS n FROM {errs} GROUP BY ROLLUP (run_id, header)")

@@ -31,7 +31,7 @@ SELECT case_id, group_key, draw, lower + floor((stratum + @u('21:' || CAST(case_
 SELECT case_id, round(12 * steel + 450 * concrete_m3 + 70 * formwork_m2 + CASE WHEN p_invalid >= 0.5 THEN 1e6 ELSE 0 END + CASE WHEN least(steel, concrete_m3, formwork_m2) < 0 THEN 1e6 ELSE 0 END, 4) AS cost FROM (
   SELECT case_id, concrete_m3, formwork_m2, 40 * concrete_m3 + 3 * formwork_m2 AS steel, @u('41:' || CAST(case_id AS STRING)) AS p_invalid FROM {ag6_concrete_total})""")
     r.add("sm13_sweep", "SELECT case_id, cost FROM {sm12_cost} ORDER BY cost, case_id LIMIT 100")
-    r.add("tk4_cheapest", "SELECT min(cost) AS cost, min_by(case_id, cost + case_id * 1e-9) AS case_id FROM {sm12_cost}")
+    r.add("tk4_cheapest", "SELECT min(cost) AS cost, min_by(case_id, @pair(cost, case_id)) AS case_id FROM {sm12_cost}")
     r.add("tk3_top_n", "SELECT idx, abs(yhat - y) AS err FROM {reg} ORDER BY abs(yhat - y) DESC, idx LIMIT 20")
     r.add("attempts", "SELECT o_orderkey AS candidate_id, o_orderkey AS sequence, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'protected' ELSE 'development' END AS role, o_totalprice AS steel FROM {orders}")
     r.add("jn6_pending", "SELECT c.candidate_id, c.sequence FROM {attempts} c LEFT ANTI JOIN (SELECT candidate_id FROM {attempts} WHERE status IN ('completed', 'failed')) d ON c.candidate_id = d.candidate_id WHERE role <> 'protected'".replace("LEFT ANTI JOIN", "ANTI JOIN"))

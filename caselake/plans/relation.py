@@ -24,6 +24,7 @@ FORMS: dict[str, tuple[str, str]] = {
     "double": ("try_cast({} AS DOUBLE)", "TRY_CAST({} AS DOUBLE)"),
     "series": ("explode(sequence({}))", "unnest(generate_series({}))"),
     "fold": ("trim(regexp_replace(lower(translate({}, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÉÊÍÓÔÕÚÇ', 'aaaaaeeeeiiiiooooouuuucnaaaaeeiooouc')), '\\\\s+', ' '))", "trim(regexp_replace(lower(translate({}, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÉÊÍÓÔÕÚÇ', 'aaaaaeeeeiiiiooooouuuucnaaaaeeiooouc')), '\\s+', ' ', 'g'))"),
+    "pair": ("struct({})", "row({})"),
     "joined": ("array_join(array_sort(collect_list({})), '|')", "string_agg({0}, '|' ORDER BY {0})"),
     "sha256": ("sha2({}, 256)", "sha256({})"),
     "replace_all": ("regexp_replace({})", "regexp_replace({}, 'g')"),
