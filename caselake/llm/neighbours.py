@@ -157,7 +157,7 @@ def build_graph(nodes: DataFrame, n: int, largest: float, degree: int = 40, tree
     return graph
 
 
-def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 40, beam: int = 60) -> DataFrame:
+def search(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, degree: int = 40, beam: int = 90) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id ``every`` divides, the k others of largest inner product.
 
     A query walks until no node of its best ``beam`` is left unvisited. Ties go to the smaller id. Vectors that are null, zero, or hold null or
