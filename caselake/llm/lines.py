@@ -57,7 +57,7 @@ def packed(a: np.ndarray, rising: bool = False) -> bytes:
     """Numbers as compressed planes of bytes; ``rising`` ones as differences."""
     if rising and len(a):
         a = np.r_[a[:1], np.diff(a)]
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1) if len(a) else b""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T), 1) if len(a) else b""
 
 
 def unpacked(x: bytes, kind, rising: bool = False) -> np.ndarray:
@@ -70,7 +70,8 @@ def unpacked(x: bytes, kind, rising: bool = False) -> np.ndarray:
 
 def finer(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words, in which runs of spaceless characters are their pairs of neighbours, or the one character of a run."""
-    hit = np.flatnonzero(LEADS[data])
+    hit = np.flatnonzero(data >= 0xE0)
+    hit = hit[LEADS[data[hit]]]
     if not len(hit):
         return first, last
     b = [np.r_[data, np.zeros(3, np.uint8)][hit + k].astype(np.int64) & 63 for k in range(4)]
@@ -130,36 +131,61 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def split_lines(cell: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All lines of a cell's documents in order of id and text, the row of each, and the order of rows."""
-    data, offs = bytes_and_offsets(cell.column("_text"))
-    raw, ids = data.tobytes(), cell.column("_id").to_pylist()
-    texts = [raw[offs[k] : offs[k + 1]] for k in range(len(ids))]
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-    lines, row = [], []
-    for k in order:
-        some = texts[k].split(b"\n")
-        lines += some
-        row.append(np.full(len(some), k))
-    return lines, np.concatenate(row) if row else np.zeros(0, np.int64), np.array(order, np.int64)
+class Lines:
+    """All lines of a cell's documents in order of id and text: line k is ``raw[first[k] : last[k]]``, of row ``row[k]``."""
+
+    def __init__(self, cell: pa.Table) -> None:
+        data, offs = bytes_and_offsets(cell.column("_text"))
+        whole, ids = data.tobytes(), cell.column("_id").to_pylist()
+        texts = [whole[a:z] for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+        self.texts, self.raw = texts, b"\n".join([texts[k] for k in order])
+        self.last = _ends(self.raw) if texts else np.zeros(0, np.int64)
+        self.first = np.r_[np.zeros(min(1, len(self.last)), np.int64), self.last[:-1] + 1]
+        ends = np.cumsum(np.fromiter((len(texts[k]) + 1 for k in order), np.int64, len(order))) - 1
+        self.row = np.array(order, np.int64)[np.searchsorted(ends, self.last)]
+
+    def __len__(self) -> int:
+        return len(self.last)
+
+    def of(self, some: np.ndarray) -> bytes:
+        """The chosen lines, one after the other."""
+        return b"\n".join([self.raw[a:z] for a, z in zip(self.first[some].tolist(), self.last[some].tolist(), strict=True)])
+
+
+def _ends(raw: bytes) -> np.ndarray:
+    """Where each line of a text ends."""
+    return np.r_[np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw)]
+
+
+def _own(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The line of each word, of rising starts of words and ends of lines."""
+    return np.repeat(np.arange(len(ends)), np.diff(np.r_[0, np.searchsorted(at, ends)]))
+
+
+def grouped(key: np.ndarray) -> np.ndarray:
+    """An order that brings equal keys together, each group in its order before; keys count by the bits that the places leave, at least the lower 32."""
+    width = np.uint64(len(key).bit_length())
+    both = np.sort(key << width | np.arange(len(key), dtype=np.uint64))
+    return (both & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
 
 
 class Sets:
-    """Distinct words of some lines: ``n`` of each, its words in ``words`` from ``first``."""
+    """Distinct words of the ``count`` lines of a text: ``n`` of each, its words in ``words`` from ``first``."""
 
-    def __init__(self, lines: list[bytes]) -> None:
+    def __init__(self, raw: bytes, count: int) -> None:
         words, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k in range(0, len(lines), BLOCK):
-            some = lines[k : k + BLOCK]
-            at, h = word_hashes(b"\n".join(some))
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            line = np.searchsorted(ends, at, side="right").astype(np.uint64)
+        lasts = _ends(raw) if count else np.zeros(0, np.int64)
+        for k in range(0, count, BLOCK):
+            begin, ends = int(lasts[k - 1]) + 1 if k else 0, lasts[k : k + BLOCK]
+            at, h = word_hashes(raw[begin : int(ends[-1])])
+            line = _own(at, ends - begin).astype(np.uint64)
             both = np.sort(line << np.uint64(44) | h)
             both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
             words.append(both & MASK)
             own.append((both >> np.uint64(44)).astype(np.int64) + k)
         self.words, self.own = np.concatenate(words), np.concatenate(own)
-        self.n = np.bincount(self.own, minlength=len(lines))
+        self.n = np.bincount(self.own, minlength=count)
         self.first = np.cumsum(self.n) - self.n
 
     def by_rarity(self, chosen: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,10 +220,15 @@ def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarra
         ok = a < live
         live, a = live[ok], a[ok]
         na, nb = n[a], n[live]
-        both = na + nb
-        ub = np.minimum(at[a], at[live]) + 1 + np.minimum(na - at[a] - 1, nb - at[live] - 1)
-        fit = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * ub >= percent * both)
-        a, b, both = a[fit], live[fit], both[fit]
+        fit = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        a, b, na, nb = a[fit], live[fit], na[fit], nb[fit]
+        both, pa_, pb = na + nb, at[a], at[b]
+        ub = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
+        fit = np.flatnonzero((100 + percent) * ub >= percent * both)
+        a, b, both = a[fit], b[fit], both[fit]
+        if not len(b):
+            k += 1
+            continue
         differ, halves = bits[a] ^ bits[b], (half[a] ^ half[b]) * ((n[a] >= WIDE) & (n[b] >= WIDE))
         differing = np.bitwise_count(differ ^ halves).astype(np.int64) + np.bitwise_count(halves)
         alike = (100 + percent) * (both - differing) >= 2 * percent * both
@@ -206,13 +237,15 @@ def _proposals(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarra
         now = (got[b] > skip[b]) & (got[b] <= skip[b] + take)
         out_a.append(a[now])
         out_b.append(b[now])
-        more[b[got[b] > skip[b] + take]] = True
-        live = live[~more[live]]
+        full = b[got[b] > skip[b] + take]
+        if len(full):
+            more[full] = True
+            live = live[~more[live]]
         k += 1
     return np.concatenate(out_a) if out_a else np.zeros(0, np.int64), np.concatenate(out_b) if out_b else np.zeros(0, np.int64), more
 
 
-def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1, take: int = 32, cell_bytes: int = 3_000_000) -> DataFrame:
+def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1, take: int = 32, cell_bytes: int = 6_000_000) -> DataFrame:
     """``docs`` with ``text`` rid of lines like an earlier line, of the same document or one of a smaller id.
 
     Lines link when 100 * intersection >= percent * union of their sets of words; similarity is judged on the input, so a
@@ -226,7 +259,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     whole = docs.select(F.struct(*[docs[c] for c in others]).alias("_row"), docs[id].cast("long").alias("_id"), docs[text].cast("string").cast("binary").alias("_text"))
     total = whole.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     cells = count_for(total, cell_bytes)
-    buckets, p = cells, parts(spark)
+    buckets, p = count_for(total, 2 * cell_bytes), parts(spark)
     nb = np.uint64(buckets)
     table = word_counts(whole.select("_text"))
     rank = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8))
@@ -234,13 +267,14 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     thin = dealt.groupBy("_cell")  # always all columns, so that one exchange serves every step
 
     def post(cell: pa.Table, skips: dict[int, int] | None, asked: np.ndarray | None = None) -> pa.Table:
-        lines, row, _ = split_lines(cell)
+        lines = Lines(cell)
+        raw = lines.raw
         if asked is not None:  # lines without an asked word can't be an answer
-            start, h = word_hashes(b"\n".join(lines))
+            start, h = word_hashes(raw)
             hit = np.zeros(len(lines), bool)
-            hit[np.searchsorted(np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1), start[asked[_slot(h >> np.uint64(4))]], side="right")] = True
-            lines = [x if yes else b"" for x, yes in zip(lines, hit.tolist(), strict=True)]
-        s = Sets(lines)
+            hit[_own(start, lines.last)[asked[_slot(h >> np.uint64(4))]]] = True
+            raw = b"\n".join([raw[a:z] if yes else b"" for a, z, yes in zip(lines.first.tolist(), lines.last.tolist(), hit.tolist(), strict=True)])
+        s = Sets(raw, len(lines))
         number = cell.column("_cell")[0].as_py()
         with np.errstate(over="ignore"):
             total_ = np.add.reduceat(np.r_[mixed(s.words * A), np.uint64(0)], np.minimum(s.first, len(s.words))) if len(lines) else np.zeros(0, np.uint64)
@@ -258,7 +292,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         if asked is not None:
             keep &= asked[_slot(words)]
         own, words, at = own[keep], words[keep], at[keep]
-        ids = np.array(cell.column("_id").to_pylist(), np.int64)[row]
+        ids = np.array(cell.column("_id").to_pylist(), np.int64)[lines.row]
         ask = np.ones(len(lines), np.int32)
         if skips is not None:
             ask[:] = 0
@@ -304,8 +338,9 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             half = np.zeros(len(n), np.uint64)
             half[n >= WIDE] = plain("halves", np.uint64)
             cell = np.repeat(np.array(bucket.column("cell").to_pylist(), np.int64), [len(x) // 4 for x in bucket.column("tags").to_pylist()])
-            # Equal lines are equal in all of this; the earliest stands for them, the others go.
-            order = np.lexsort((line, ids, n, sums, bits, tags))
+            # Equal lines are equal in all of this; the earliest stands for them, the others go. One that a rare clash of keys parts from its equals meets them below.
+            age = np.argsort(ids, kind="stable")  # the lines of one id come from one cell, in their order
+            order = age[grouped(mixed(tags.astype(np.uint64)[age] << np.uint64(32) | sums[age]))]
             again = np.zeros(len(order), bool)
             again[1:] = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (tags, bits, sums, n)])
             twins = order[again]
@@ -313,8 +348,10 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
             twins = twins[np.argsort(cell[twins], kind="stable")]
             cuts = np.flatnonzero(np.r_[True, cell[twins][1:] != cell[twins][:-1]]) if len(twins) else []
             out = [(int(cell[twins[x]]), b"", b"", blob_of(line[twins[x:z]]), b"") for x, z in zip(cuts, [*cuts[1:], len(twins)], strict=False)]
-            order = order[~again]
-            order = order[np.lexsort((line[order], ids[order], tags[order]))]
+            stays = np.ones(len(order), bool)
+            stays[order[again]] = False
+            order = age[stays[age]]
+            order = order[grouped(tags[order].astype(np.uint64))]
             a, b, more = _proposals(tags[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], half[order], ask[order], percent, most)
             a, b, more_b = order[a], order[b], more[b]
             # One proposal of a pair is enough.
@@ -333,7 +370,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def fetch(cell: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(asked):
             return _rows([], WORDS)
-        lines, _, _ = split_lines(cell)
+        lines = Lines(cell)
         routes = asked.to_pylist()
         out, gone, routes = [], [r for r in routes if not r["a"]], [r for r in routes if r["a"]]
         col = lambda name, kind, rising=False: np.concatenate([np.zeros(0, kind), *(unpacked(r[name], kind, rising) for r in routes)])
@@ -345,7 +382,7 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
         more = np.maximum.reduceat(more, new) if len(a) else more
         a, b, to = a[new], b[new], to[new]
         used = np.unique(a)
-        s = Sets([lines[k] for k in used])
+        s = Sets(lines.of(used), len(used))
         cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
         for x, z in zip(cuts, [*cuts[1:], len(to)], strict=False):
             one, which = np.unique(a[x:z], return_inverse=True)
@@ -357,12 +394,12 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def judge(cell: pa.Table, sent: pa.Table) -> pa.Table:
         if not len(sent):
             return _rows([], VERDICT)
-        lines, _, _ = split_lines(cell)
+        lines = Lines(cell)
         rows = sent.to_pylist()
         state: dict[int, int] = {}
         asks = [np.frombuffer(r["b"], np.int32) for r in rows]
         used = np.unique(np.concatenate(asks))
-        s = Sets([lines[k] for k in used])
+        s = Sets(lines.of(used), len(used))
         for r, b in zip(rows, asks, strict=True):
             if not r["n"]:
                 state.update((k, GONE) for k in b.tolist())
@@ -410,14 +447,15 @@ def drop_similar_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def clear(cell: pa.Table, found: pa.Table) -> pa.Table:
         if not len(cell):
             return pa.table({"_row": pa.array([], cell.schema.field("_row").type), "_kept": pa.array([], pa.string())})
-        lines, row, order = split_lines(cell)
+        lines = Lines(cell)
         gone = np.zeros(len(lines), bool)
         for line, state in zip(found.column("line").to_pylist(), found.column("state").to_pylist(), strict=True):
             gone[np.frombuffer(line, np.int32)[np.frombuffer(state, np.int32) == GONE]] = True
-        kept: list[bytes] = [b""] * len(cell)
+        kept, row = lines.texts, lines.row
         cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for x, z in zip(cuts, [*cuts[1:], len(row)], strict=False):
-            kept[row[x]] = b"\n".join([lines[k] for k in range(x, z) if not gone[k]])
+        for x, z, some in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], np.logical_or.reduceat(gone, cuts).tolist(), strict=True):
+            if some:
+                kept[row[x]] = lines.of(np.flatnonzero(~gone[x:z]) + x)
         return pa.table({"_row": cell.column("_row"), "_kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())})
 
     shape = dealt.select("_row", F.lit("").alias("_kept")).schema
