@@ -117,5 +117,9 @@ SELECT round(avg(power(m - y, 2)), 2) AS mean_sq_bias, round(avg(v), 2) AS mean_
   SELECT idx, y, avg(p) AS m, var_pop(p) AS v, avg(power(p - y, 2)) AS e FROM (SELECT idx, y, seed, yhat * (1 + 0.01E0 * (seed - 1)) AS p FROM {reg} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(seed)) s) GROUP BY idx, y)""")
     r.add("dg3_residual_bands", "SELECT round(avg(CASE WHEN abs(yhat - y) <= 0.1E0 * y THEN 1.0E0 ELSE 0.0E0 END), 6) AS within_10, round(avg(CASE WHEN abs(yhat - y) <= 0.05E0 * y THEN 1.0E0 ELSE 0.0E0 END), 6) AS within_5, round(avg(CASE WHEN yhat < y THEN 1.0E0 ELSE 0.0E0 END), 6) AS share_negative FROM {reg}")
     r.add("dg6_confusion_percent", "SELECT valid, predicted, round(100.0E0 * n / sum(n) OVER (PARTITION BY valid), 4) AS percent FROM (SELECT valid, predicted, count(*) AS n FROM {fn14_label} GROUP BY valid, predicted)")
+    names = ("q", "p", "d", "t", "score")
+    both = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    r.add("dg7_matrix", "SELECT a, b, round(r, 4) AS r, CASE WHEN abs(r) > 0.9E0 THEN 1 ELSE 0 END AS strong FROM (SELECT a, b, CASE a || ' ' || b " + " ".join(f"WHEN '{a} {b}' THEN {a}_{b}" for a, b in both)
+          + " END AS r FROM (SELECT " + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a, b in both) + " FROM {mat}) m CROSS JOIN (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in both) + ") AS v(a, b)) n)")
     r.add("dg7_correlation", "SELECT round(corr(q, p), 4) AS q_p, round(corr(q, score), 4) AS q_score, round(corr(p, score), 4) AS p_score, CASE WHEN abs(corr(p, score)) > 0.9 THEN 1 ELSE 0 END AS p_score_flag FROM {mat}")
     r.add("tk1_extremes", "SELECT min_by(idx, @pair(y, idx)) AS low_idx, max_by(idx, @pair(y, -idx)) AS high_idx, min(idx) AS first_idx FROM {reg}")

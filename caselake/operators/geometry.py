@@ -150,6 +150,8 @@ SELECT case_id, count(CASE WHEN axis = 'x' THEN 1 END) AS clear_span_count_x, co
   coalesce(sum(CASE WHEN axis = 'x' THEN span END), 0) AS beams_total_clear_length_x_cm, coalesce(sum(CASE WHEN axis = 'y' THEN span END), 0) AS beams_total_clear_length_y_cm,
   round(coalesce(avg(CASE WHEN axis = 'x' THEN span END), 0), 6) AS beams_mean_clear_span_x_cm, round(coalesce(avg(CASE WHEN axis = 'y' THEN span END), 0), 6) AS beams_mean_clear_span_y_cm,
   round(sum(span) * 0.01 * 0.2 * 0.4, 6) AS vol_beams_m3 FROM {wn3_clear_spans} GROUP BY case_id""")
+    r.add("fd21_span_p95", "SELECT case_id, coalesce(@pctl(CASE WHEN axis = 'x' THEN span END, 0.95), 0) AS beams_p95_clear_span_x_cm, coalesce(@pctl(CASE WHEN axis = 'y' THEN span END, 0.95), 0) AS beams_p95_clear_span_y_cm FROM {wn3_clear_spans} GROUP BY case_id")
+    r.add("fe_gate", "SELECT case_id, columns_count FROM {fd_columns} WHERE columns_count > 0 AND " + " AND ".join(f"{c} - {c} = 0" for c in ("columns_mean_area_cm2", "columns_total_perimeter_cm", "inertia_mean_ix", "inertia_mean_iy", "stiffness_ecc_x_norm", "stiffness_ecc_y_norm", "mean_radius_gyration_min")))
     r.add("fd4_quadrants", """
 SELECT case_id, round(greatest(sum(a00), sum(a01), sum(a10), sum(a11)) / sum((xb - xa) * (yb - ya)), 6) AS max_quadrant_area_ratio_fixed FROM (
   SELECT *, greatest(least(xb, 360) - xa, 0) * greatest(least(yb, 410) - ya, 0) AS a00, greatest(least(xb, 360) - xa, 0) * greatest(yb - greatest(ya, 410), 0) AS a01,

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselake.operators import diagnose, evaluate, geometry, reports, runs, search
+from caselake.operators import diagnose, evaluate, geometry, nearest, reports, runs, search
 from caselake.plans import tables
 from caselake.plans.relation import Relations
 
 RELATIONS = Relations()
-for _module in (geometry, evaluate, search, runs, diagnose, reports):
+for _module in (geometry, evaluate, search, runs, diagnose, reports, nearest):
     _module.define(RELATIONS)
 RELATIONS.share(*geometry.SHARED, *evaluate.SHARED)
 
 #: Inputs and helpers of other relations; everything else is a query.
-HELPERS = {"seg", "walls", "group_axis", "comp_rects", "x_cuts", "y_cuts", "cells", "cell_edges", "wall_order", "col_shape", "reg", "clf", "mat", "errs", "log", "health", "cand", "attempts", "strata", "vectors", "report_html", "report_rows", "pairs", "roc_points", "hits", "vec"} | {
+HELPERS = {"seg", "walls", "group_axis", "comp_rects", "x_cuts", "y_cuts", "cells", "cell_edges", "wall_order", "col_shape", "reg", "clf", "mat", "errs", "log", "health", "cand", "attempts", "strata", "vectors", "report_html", "report_rows", "pairs", "roc_points", "hits", "vec", "vec_train", "vec_test"} | {
     "resid", "resid_rank", "wn9_global_rank_base", "resid_rank_base", "by_idx", "by_idx_base", "by_draw", "by_draw_base", "mat_rows", "replicates", "breakdown", "report_labels", "report_heads", "ring_points", "ring_edges", "roc_scores", "roc_base", "by_position", "by_position_base", "development"} | {
     f"{d}_{x}" for d in ("test", "validation") for x in ("source", "pool", "ranked", "ranked_base", "strata", "quota", "before", "drawn")}
 

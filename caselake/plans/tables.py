@@ -84,7 +84,21 @@ def make(r: Relations) -> tuple[dict, dict[str, str]]:
     def ml7(spark: SparkSession, sf_dir: str) -> DataFrame:
         return models.coefficients(*validity(spark, sf_dir))
 
-    made = {"src1_segments": src1, "src2_design_space": src2, "src3_grid": src3, "src4_reports": src4, "snk3_solution": snk3, "snk5_section": snk5, "snk6_regression_table": snk6, "ss6_ledger": ss6, "ml4_regressor": fitted, "ml7_coefficients": ml7, "ml8_p_invalid": ml8}
+    def dg8(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, vec = (r.frame(spark, sf_dir, n) for n in ("vec_train", "vec"))
+        return models.principal_components(train, vec).select("vec_id", "pc1", "pc2", "explained")
+
+    def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return r.frame(spark, sf_dir, "mat").withColumn("fold", F.pmod(F.xxhash64("k1"), F.lit(3)).cast("int"))
+
+    def ml10(spark: SparkSession, sf_dir: str) -> DataFrame:
+        every = ["q", "p", "d", "t"]
+        return models.ranked_candidates(models.cross_validate(folds(spark, sf_dir), "score", {"linear": ("linear", every, {}), "ridge": ("linear", every, {"regParam": 1.0}), "forest": ("forest", every, {"numTrees": 10})}))
+
+    def ml12(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return models.ablation(folds(spark, sf_dir), "score", {"amount": ["q", "p"], "discount": ["d"], "tax": ["t"]})
+
+    made = {"dg8_components": dg8, "ml10_cross_validation": ml10, "ml12_ablation": ml12, "src1_segments": src1, "src2_design_space": src2, "src3_grid": src3, "src4_reports": src4, "snk3_solution": snk3, "snk5_section": snk5, "snk6_regression_table": snk6, "ss6_ledger": ss6, "ml4_regressor": fitted, "ml7_coefficients": ml7, "ml8_p_invalid": ml8}
     with_seg = lambda sql, name="seg": r.duckdb(name).rsplit("\n", 1)[0] + "\n" + sql
     sql = {
         "src1_segments": with_seg("SELECT case_id, seg_idx, x, y, x + dx * length AS x1, y + dy * length AS y1, length, maxlength, group_id FROM seg"),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
 from caselake import plans
+from caselake.operators import models
 
 SF = "/root/testdata/sf0.001"
 R = plans.RELATIONS
@@ -50,12 +52,49 @@ def test_no_rows(spark):
     assert columns_of(spark, []).count() == 0
 
 
-@pytest.mark.parametrize("name", ["fn4_rectangles", "jn2_conflict_pairs", "ag8_group_bounds", "sp1_split_regression", "ev12_roc", "ev13_auc", "wn4_best_so_far", "sm5_latin_hypercube", "fn10_parse_locale_number", "ev10_paired_folds", "jn10_permute", "dg4_residual_histogram", "rv3_report_breakdown", "fn7_ring_inertia", "src1_segments", "src3_grid", "snk5_section", "ss6_ledger"])
+@pytest.mark.parametrize("name", ["fn4_rectangles", "jn2_conflict_pairs", "ag8_group_bounds", "sp1_split_regression", "ev12_roc", "ev13_auc", "wn4_best_so_far", "sm5_latin_hypercube", "fn10_parse_locale_number", "ev10_paired_folds", "jn10_permute", "dg4_residual_histogram", "rv3_report_breakdown", "fn7_ring_inertia", "fd21_span_p95", "fe_gate", "dg7_matrix", "jn9_nearest", "sm7_nearest_train", "dg10_coverage", "src1_segments", "src3_grid", "snk5_section", "ss6_ledger"])
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "part"):
+    for t in ("lineitem", "orders", "events", "part", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = plans.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     norm = lambda rows: sorted(repr(tuple(f"{v:.9g}" if isinstance(v, float) else v for v in r)) for r in rows)
     assert norm(map(tuple, df.select(*cols).collect())) == norm(c.sql(f"select {', '.join(cols)} from ({plans.ORACLE_SQL[name]})").fetchall())
+
+
+def test_nearest_in_many_blocks(spark):
+    from caselake.operators.nearest import nearest
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 4, (90, 3)).astype(float)
+    rows = lambda ids: spark.createDataFrame([(i, v[i].tolist()) for i in ids] + [(None, [0.0] * 3), (900, None)], "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["rank"]): (r["near_id"], r["distance"]) for r in nearest(rows(range(20)), rows(range(10, 90)), block=7).collect()}
+    for i in range(20):
+        want = sorted((float(np.sqrt(((v[i] - v[j]) ** 2).sum())), j) for j in range(10, 90))[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, d) for d, j in want]
+    assert len(got) == 100
+    assert nearest(rows(range(20)), rows([])).count() == 0
+    assert nearest(rows([3]), rows([3, 4])).count() == 1
+
+
+def test_components_of_vectors(spark):
+    v = np.random.default_rng(2).normal(size=(200, 4)) * [9, 3, 1, 0.1] + 5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = models.principal_components(df, df).orderBy("vec_id").collect()
+    _, s, axes = np.linalg.svd(v - v.mean(axis=0), full_matrices=False)
+    for j in range(2):
+        axis = axes[j] * np.sign(axes[j][np.abs(axes[j]).argmax()])
+        assert np.allclose([r[f"pc{j + 1}"] for r in got], v @ axis - v.mean(axis=0) @ axis, atol=1e-6)
+    assert np.allclose(got[0]["explained"], (s**2 / (s**2).sum())[:2])
+
+
+def test_cross_validation_and_ablation(spark):
+    x = np.random.default_rng(3).normal(size=(120, 3))
+    df = spark.createDataFrame([(*map(float, r), float(5 * r[0] + r[1]), i % 3) for i, r in enumerate(x)], "a double, b double, c double, y double, fold int")
+    ranked = models.ranked_candidates(models.cross_validate(df, "y", {"all": ("linear", ["a", "b", "c"], {}), "one": ("linear", ["b"], {})})).orderBy("mae_rank").collect()
+    assert [r["candidate"] for r in ranked] == ["all", "one"] and ranked[0]["mean_mae"] < 1e-6
+    rise = {r["left_out"]: r for r in models.ablation(df, "y", {"a": ["a"], "b": ["b"], "c": ["c"]}).collect()}
+    assert rise["a"]["mean"] > rise["b"]["lowest"] > 0.1 and rise["a"]["positive_share"] == 1 and abs(rise["c"]["mean"]) < 1e-6
+    with pytest.raises(ValueError, match="two folds"):
+        models.cross_validate(df.where("fold = 0"), "y", {"all": ("linear", ["a"], {})})
