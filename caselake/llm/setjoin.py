@@ -133,8 +133,8 @@ def _differing(bits: list[bytes], left: np.ndarray, right: np.ndarray) -> np.nda
     return out
 
 
-def open_pairs(lists: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, block: np.ndarray, crossed: np.ndarray, bits: list[bytes], percent: int, take: int, tried: set[tuple[int, int]], step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of many lists' pairs between groups that pass all filters and were not tried, up to ``take`` for each set, those of other groups first; and the lists that have more.
+def open_pairs(lists: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, block: np.ndarray, crossed: np.ndarray, bits: list[bytes], percent: int, take: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many lists' pairs between groups that pass all filters, up to ``take`` for each set, those of other groups first; and the lists that have more.
 
     Where ``crossed``, pairs of one block are left out.
     """
@@ -156,10 +156,6 @@ def open_pairs(lists: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray,
         both = n[left] + n[right]
         ok = (100 + percent) * (both - _differing(bits, left, right)) >= 2 * percent * both
         left, right = left[ok], right[ok]
-        if tried:
-            a, b = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
-            ok = np.array([p not in tried for p in zip(a.tolist(), b.tolist(), strict=True)], bool)
-            left, right = left[ok], right[ok]
         # The first of each other group, then the second of each, and so on.
         turn = np.lexsort((right, group[right], left))
         left, right = left[turn], right[turn]
@@ -382,11 +378,10 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     wide = entries.groupBy("key").agg(F.ceil(F.count("*") / list_rows).alias("m")).where("m > 1")
 
     def joining(most: int):
-        def join(rows: pa.Table, known: pa.Table) -> pa.Table:
+        def join(rows: pa.Table) -> pa.Table:
             key, i, j, s, n, at, g, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "s", "n", "at", "g", "block"))
-            done = set(zip(known.column("a").to_pylist(), known.column("b").to_pylist(), strict=True))
             lists = np.unique(np.stack([key, i, j]), axis=1, return_inverse=True)[1].ravel() if len(key) else key
-            left, right, more = open_pairs(lists, s, n, at, g, block, i != j, rows.column("bits").to_pylist(), percent, most, done)
+            left, right, more = open_pairs(lists, s, n, at, g, block, i != j, rows.column("bits").to_pylist(), percent, most)
             pairs = np.unique(np.stack([np.minimum(s[left], s[right]), np.maximum(s[left], s[right])]), axis=1)
             again = np.unique(key[np.isin(lists, more)])
             none = pa.nulls(len(again), pa.int64())
@@ -404,13 +399,12 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         blocks = open_.withColumn("block", part("s")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
         grouped = F.pmod(F.xxhash64("key", "i", "j"), F.lit(count_for(open_.count(), list_rows)))
         blocks = blocks.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(reps.select("s", "bits"), "s").withColumn("_g", grouped)
-        unlike = tried.where("not linked").join(open_.select("key", "m", F.col("s").alias("a")), "a").withColumns({"i": F.least(part("a"), part("b")), "j": F.greatest(part("a"), part("b"))}).select(grouped.alias("g2"), "a", "b").distinct()
-        met = stored(blocks.groupBy("_g").cogroup(unlike.groupBy("g2")).applyInArrow(joining(take), "key long, a long, b long"))
-        pairs = met.where("a is not null").select("a", "b").distinct()
-        if pairs.isEmpty():
-            break
-        tried = tried.union(verified(pairs))
-        groups = components(tried.where("linked").select("a", "b"))
+        met = stored(blocks.groupBy("_g").applyInArrow(joining(take), "key long, a long, b long"))
+        # A pair that failed before is proposed again; it isn't verified again, and the larger ``take`` of the next round goes past it.
+        pairs = stored(met.where("a is not null").select("a", "b").distinct().join(tried.where("not linked").select("a", "b"), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tried = tried.union(verified(pairs))
+            groups = components(tried.where("linked").select("a", "b"))
         tidy(spark)
         again = met.where("key is not null").select("key").distinct()
         if again.isEmpty():
