@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, media, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity
+from . import language, lines, media, mixing, neighbours, packing, pieces, setjoin, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -93,6 +93,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_report(tokens.length_histogram(lengths))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 11 over every document, sorted by the time of a document's first visit."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("first_position").alias("position"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS k FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (SELECT *, [3, 1, 2][place % 3 + 1] AS w FROM s
+), r AS (
+  SELECT *, sum(source_size) OVER () AS all_size, sum(w) OVER () AS all_w, coalesce(sum(source_size) OVER before, 0) AS size_before, coalesce(sum(w) OVER before, 0) AS w_before FROM w
+  WINDOW before AS (ORDER BY source_size * 6 / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (SELECT *, 200 * source_size * (all_w - w_before) <= w * (150 * all_size - 200 * size_before) AS full_ FROM r
+), t AS (
+  SELECT source, source_size, place, CASE WHEN full_ THEN CAST(2 * source_size AS DOUBLE)
+    ELSE w * CAST(150 * all_size - 200 * coalesce(sum(source_size) FILTER (full_) OVER (), 0) AS DOUBLE) / CAST(100 * coalesce(sum(w) FILTER (NOT full_) OVER (), 1) AS DOUBLE) END AS target FROM f
+), o AS (
+  SELECT doc_id, size, source_size, target, place, CAST(floor(target + 0.5) AS BIGINT) AS ask,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), v AS (SELECT *, CASE WHEN size > 0 AND o < ask THEN CAST(o AS DOUBLE) / CAST(ask AS DOUBLE) END AS u FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(greatest(0, least(size, ask - o)) + greatest(0, least(size, ask - o - source_size)) AS BIGINT) AS taken,
+  CASE place % 3 WHEN 0 THEN 2 * u / (1.5 + sqrt(2.25 - 2 * u)) WHEN 1 THEN 2 * u / (0.5 + sqrt(0.25 + 2 * u))
+    ELSE CASE WHEN u >= 0.5 THEN 0.5 + 2 * (u - 0.5) / (1.5 + sqrt(2.25 - 4 * (u - 0.5))) ELSE 2 * u / (0.5 + sqrt(0.25 + 4 * u)) END END AS position FROM v
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_sentencepiece": op2_sentencepiece,
@@ -104,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
+    "op11_mixing": op11_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op11_mixing": OP11_SQL}
