@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, media, mixing, neighbours, packing, pieces, ranking, setjoin, suffixes, tokens, toxicity
+from . import language, lines, media, mixing, neighbours, packing, phrases, pieces, ranking, setjoin, suffixes, tokens, toxicity
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -141,6 +141,31 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 13 over every document."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(0, len(w) - k + 1) + 1), lambda i: w[i:i+k-1])) AS g FROM w, (SELECT unnest([1, 2, 3]) AS k)
+), f AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, k, g
+), n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT a.lang, a.k, a.g, a.f AS a, l.f AS l, r.f AS r, cut, (1000000 * a.f * a.f) // (l.f * r.f) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= 10) a
+  JOIN f l ON l.lang = a.lang AND l.k = cut AND l.g = a.g[1:cut] JOIN f r ON r.lang = a.lang AND r.k = a.k - cut AND r.g = a.g[cut+1:]
+), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS o FROM c) WHERE o = 1
+), inside AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, g[1:2] AS g, f FROM f WHERE k = 3 AND f >= 10 UNION ALL SELECT lang, g[2:3], f FROM f WHERE k = 3 AND f >= 10) GROUP BY lang, g
+), kept AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN inside i ON b.k = 2 AND i.lang = b.lang AND i.g = b.g WHERE i.f IS NULL OR 100 * i.f < 50 * a
+), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_sentencepiece": op2_sentencepiece,
@@ -154,5 +179,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_mixing": op11_mixing,
     "op12_ranking": op12_ranking,
+    "op13_phrases": op13_phrases,
 }
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op11_mixing": OP11_SQL, "op12_ranking": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op11_mixing": OP11_SQL, "op12_ranking": OP12_SQL, "op13_phrases": OP13_SQL}
