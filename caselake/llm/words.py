@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 
 A = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -12,6 +13,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 16
 #: A word's hash is the sum of its bytes' values times powers of an odd base, so that running sums give those of all words.
 BASE = 0x5851F42D4C957F2D
+#: Longer spans are hashed by themselves: sums of powers modulo 2**64 agree for some pairs of long words, whatever the base.
+LONG = 128
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -33,10 +36,13 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of a sequence of values, from running sums."""
+    """A 64-bit hash of each span of a sequence of values: from running sums, and by xxh3 for those over ``LONG``."""
     total = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(value * _powers_of(BASE, len(value)), out=total[1:])
-    return mixed((total[last] - total[first]) * _powers_of(pow(BASE, -1, 1 << 64), len(value))[first])
+    h = mixed((total[last] - total[first]) * _powers_of(pow(BASE, -1, 1 << 64), len(value))[first])
+    for k in np.flatnonzero(last - first > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(value[first[k] : last[k]].tobytes())
+    return h
 
 
 def word_spans(raw: bytes, finer: Callable | None = None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
