@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Codes, Grown, small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: Python's words without digits, the underscore and the numbers that aren't digits, such as fractions and Roman numerals.
+LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
 MARK = "▁"
 #: In learning, and only there, longer words teach in parts of this size.
 PART = 32
