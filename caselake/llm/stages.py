@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselake.operators.ranks import in_order
+
 from . import language, lines, packing, setjoin, suffixes
+from .common import stored
 from .queries import HELD_OUT, PIECE_BPE, WORD_BPE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,9 +29,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id. Five words a shingle, similarity 0.8."""
-    near = setjoin.jaccard_components(docs, words=5, percent=80).where("component_id < _id").select(F.col("_id").alias("doc_id")).distinct()
-    return docs.join(near, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies stays: that of the smallest id. Five words a shingle, similarity 0.8.
+
+    Rows are judged one by one: where ids repeat, which is rare, rows get numbers by id and text of their own, and of rows alike in both the
+    first stays. Rows of a null id stay, and so do null and empty texts; columns but those of ``documents`` go; an empty table stays empty.
+    """
+    near = lambda rows, id: setjoin.jaccard_components(rows, id=id, words=5, percent=80).where("component_id < _id").select(F.col("_id").alias(id)).distinct()
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(near(docs, "doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = stored(in_order(docs.select(*COLUMNS), [F.col(c) for c in COLUMNS]))
+    numbered = rows.where("doc_id is not null")
+    return rows.join(near(numbered, "_rank"), "_rank", "left_anti").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
