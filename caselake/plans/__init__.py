@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caselake.operators import diagnose, evaluate, geometry, nearest, reports, runs, search
-from caselake.plans import tables
+from caselake.plans import designs, tables
 from caselake.plans.relation import Relations
 
 RELATIONS = Relations()
@@ -28,6 +28,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in RELATIONS.text if n not in HELPERS}
 ORACLE_SQL: dict[str, str] = {n: RELATIONS.duckdb(n) for n in QUERIES}
 
-_made, _made_sql = tables.make(RELATIONS)
-QUERIES |= _made
-ORACLE_SQL |= _made_sql
+for _source in (tables, designs):
+    _made, _made_sql = _source.make(RELATIONS)
+    QUERIES |= _made
+    ORACLE_SQL |= _made_sql

@@ -88,6 +88,21 @@ class Relations:
             made[name] = self._kept(spark, sf_dir, name, made) if name in self.shared else self._made(spark, sf_dir, name, made)
         return made[name]
 
+    def over(self, spark: SparkSession, **given: DataFrame) -> Callable[[str], DataFrame]:
+        """A function from a name to that relation over the given relations and tables; shared relations are written once for it."""
+        made = dict(given)
+
+        def of(name: str) -> DataFrame:
+            if name not in made:
+                if name not in self.text:
+                    raise KeyError(f"no input {name} is given")
+                got = {i: of(i) for i in self.inputs(name)}
+                df = self.made_by[name](**got) if name in self.made_by else spark.sql(_forms(self.text[name], 0), **got)
+                made[name] = written(df) if name in self.shared else df
+            return made[name]
+
+        return of
+
     def _made(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
         if name not in self.text:
             return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -107,9 +122,30 @@ class Relations:
             self._written[key] = written(self._made(spark, sf_dir, name, made))
         return self._written[key]
 
-    def duckdb(self, name: str) -> str:
-        """One SQL text for the check, with the relations that it builds on."""
-        order: list[str] = []
+    def duckdb(self, name: str, apart: dict[str, str] | None = None, final: str | None = None) -> str:
+        """One SQL text for the check, with the relations that it builds on; ``final`` is its last part.
+
+        ``apart`` gives other texts for some relations: what builds on them is made a second time, under names that end in ``_c``.
+        """
+        apart, order = apart or {}, []
+        if apart:
+            twice: list[str] = []
+
+            def second(n: str) -> bool:
+                if n in apart:
+                    return True
+                hit = n in self.text and any([second(i) for i in self.inputs(n)])
+                if hit and n not in twice:
+                    twice.append(n)
+                return hit
+
+            for n in re.findall(r"\{(\w+)_c\}", final or "") or [name]:
+                second(n)
+            copy = Relations()
+            copy.text = dict(self.text)
+            moved = lambda text: re.sub(r"\{(\w+)\}", lambda m: "{%s_c}" % m[1] if m[1] in apart or m[1] in twice else m[0], text)
+            copy.text |= {f"{n}_c": moved(self.text[n]) for n in twice} | {f"{n}_c": text for n, text in apart.items()}
+            return copy.duckdb(f"{name}_c" if name in twice or name in apart else name, None, final)
 
         def visit(n: str) -> None:
             if n in self.text and n not in order:
@@ -117,7 +153,8 @@ class Relations:
                     visit(i)
                 order.append(n)
 
-        visit(name)
+        for n in re.findall(r"\{(\w+)\}", final) if final else [name]:
+            visit(n)
         plain = lambda n: re.sub(r"\{(\w+)\}", r"\1", _forms(self.text[n], 1))
         recursive = "RECURSIVE " if any("RECURSIVE" in self.text[n] for n in order) else ""
-        return f"WITH {recursive}" + ",\n".join(f"{n} AS ({plain(n)})" for n in order) + f"\nSELECT * FROM {name}"
+        return f"WITH {recursive}" + ",\n".join(f"{n} AS ({plain(n)})" for n in order) + "\n" + (re.sub(r"\{(\w+)\}", r"\1", _forms(final, 1)) if final else f"SELECT * FROM {name}")
