@@ -62,3 +62,12 @@ def require_contract(df: DataFrame, artifact: DataFrame, contract: Contract, lab
 def resume_guard(pending: DataFrame, ledger: DataFrame, seed_hash: str, schema_version: int, names: Sequence[str]) -> DataFrame:
     """``pending`` of a collection whose ``ledger`` (seed_hash, schema_version, feature_names) began under the same seed, schema and names; else it fails when run."""
     return require_contract(pending, ledger.select(*[c for c in ("seed_hash", "schema_version", "feature_names") if c in ledger.columns]).distinct(), {"seed_hash": seed_hash, "schema_version": schema_version, "feature_names": list(names)}, "ledger")
+
+
+def require_isolation(df: DataFrame, part: str, features: Sequence[str]) -> DataFrame:
+    """``df``, which fails when run if a row of features (equal in all of them, nulls too) stands in two parts: split leakage."""
+    row = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(features)])
+    shared = df.groupBy(row.alias("_f")).agg(F.count_distinct(part).alias("_parts")).where("_parts > 1").agg(F.count("*").alias("_shared"))
+    kept = df.join(F.broadcast(shared))  # one row
+    fails = F.raise_error(F.concat(F.lit("split leakage: feature rows in several parts: "), F.col("_shared").cast("string"))).cast("boolean")
+    return kept.where(F.when(F.col("_shared") == 0, True).otherwise(fails)).drop("_shared")

@@ -42,11 +42,11 @@ def weight(u: str) -> str:
 
 def define(r: Relations) -> None:
     r.add("resid", "SELECT idx, y, yhat, round(y - yhat, 2) AS e FROM {reg}")
-    add_rank(r, "wn9_global_rank", "reg", "floor(y / 1000)", "y, idx", "idx, y")
-    add_rank(r, "resid_rank", "resid", "floor(e / 250)", "e, idx", "idx, e")
-    add_rank(r, "by_idx", "mat_rows", "floor(k1 / 256)", "k1, k2, k3, k4, p", "k1, k2, k3, k4, q, p, score")
+    add_rank(r, "wn9_global_rank", "reg", "y, idx", "idx, y")
+    add_rank(r, "resid_rank", "resid", "e, idx", "idx, e")
+    add_rank(r, "by_idx", "mat_rows", "k1, k2, k3, k4, p", "k1, k2, k3, k4, q, p, score")
     r.add("mat_rows", "SELECT *, @u('61:' || CAST(k1 AS STRING) || ':' || CAST(k2 AS STRING) || ':' || CAST(k3 AS STRING) || ':' || CAST(k4 AS STRING) || ':' || CAST(CAST(round(p * 100) AS BIGINT) AS STRING)) AS u FROM {mat}")
-    add_rank(r, "by_draw", "mat_rows", "floor(u * 1024)", "u, k1, k2, k3, k4, p", "q")
+    add_rank(r, "by_draw", "mat_rows", "u, k1, k2, k3, k4, p", "q")
     r.add("wn8_rank_strata", "SELECT idx, y, CAST(floor((rk - 1) * 10 / total) AS BIGINT) AS stratum FROM {wn9_global_rank}")
     r.add("wn10_ecdf", "SELECT y, round(upto / CAST(total AS DOUBLE), 9) AS share FROM (SELECT y, max(rk) AS upto, max(total) AS total FROM {wn9_global_rank} GROUP BY y)")
     r.add("wn12_interleave", "SELECT o_orderkey AS case_id, repeat, CAST((repeat - 1) * (SELECT count(*) FROM {orders}) AS BIGINT) + rk AS sequence FROM (SELECT idx AS o_orderkey, rk FROM {wn9_global_rank}) c CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(repeat)) s")
@@ -87,7 +87,7 @@ SELECT CAST(least(floor((e - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) AS
 CROSS JOIN (SELECT min(e) AS lo, max(e) AS hi, avg(e) AS mean, stddev_samp(e) AS std, count(*) AS total, greatest(20, least(60, floor(sqrt(CAST(count(*) AS DOUBLE))))) AS bins FROM {resid}) b
 WHERE hi > lo GROUP BY CAST(least(floor((e - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT)""")
     position = "(CASE WHEN rk = total THEN power(0.5E0, 1.0E0 / total) WHEN rk = 1 THEN 1 - power(0.5E0, 1.0E0 / total) ELSE (rk - 0.3175E0) / (total + 0.365E0) END)"
-    r.add("dg5_qq", f"SELECT idx, e, round({normal_quantile('p')}, 6) AS quantile FROM (SELECT idx, e, {position} AS p FROM {{resid_rank}})")
+    r.add("dg5_qq", f"SELECT idx, e, round({normal_quantile('p')}, 10) AS quantile FROM (SELECT idx, e, {position} AS p FROM {{resid_rank}})")
     r.add("dg5_line", "SELECT round(regr_slope(e, quantile), 2) AS slope, round(regr_intercept(e, quantile), 2) AS intercept FROM {dg5_qq}")
     r.add("dg9_mahalanobis", f"""
 SELECT round(avg(CASE WHEN d2 > {CHI2_975_2}E0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS beyond, round(avg(sqrt(d2)), 4) AS mean_distance FROM (

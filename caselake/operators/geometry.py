@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caselake.operators.graph import touching_components
+from caselake.operators.graph import conflict_pairs, touching_components, touching_pairs
 from caselake.plans.relation import Relations
 
 
@@ -37,7 +37,7 @@ FROM {fn3_group_key} WHERE abs(y1 - y) < 1e-6 OR abs(x1 - x) < 1e-6""")
     r.add("fn5_axis_class", "SELECT case_id, seg_idx, CASE WHEN abs(y1 - y) < 1e-9 THEN 'x' WHEN abs(x1 - x) < 1e-9 THEN 'y' ELSE 'mixed' END AS axis FROM {fn1_endpoints}")
     r.add("jn1_touching_pairs", """
 SELECT a.case_id, a.seg_idx AS a, b.seg_idx AS b FROM {fn4_rectangles} a JOIN {fn4_rectangles} b
-ON a.case_id = b.case_id AND a.seg_idx < b.seg_idx AND a.rx0 <= b.rx1 AND b.rx0 <= a.rx1 AND a.ry0 <= b.ry1 AND b.ry0 <= a.ry1""")
+ON a.case_id = b.case_id AND a.seg_idx < b.seg_idx AND a.rx0 <= b.rx1 AND b.rx0 <= a.rx1 AND a.ry0 <= b.ry1 AND b.ry0 <= a.ry1""", touching_pairs)
     r.add("group_axis", """
 SELECT r.case_id, r.group_key, min(a.axis) AS axis, min(rx0) AS gx0, max(rx1) AS gx1, min(ry0) AS gy0, max(ry1) AS gy1
 FROM {fn4_rectangles} r JOIN {fn5_axis_class} a ON r.case_id = a.case_id AND r.seg_idx = a.seg_idx
@@ -47,7 +47,7 @@ SELECT DISTINCT p.case_id, p.group_key AS x_group, q.group_key AS y_group
 FROM (SELECT r.*, g.axis FROM {fn4_rectangles} r JOIN {group_axis} g ON r.case_id = g.case_id AND r.group_key = g.group_key) p
 JOIN (SELECT r.*, g.axis FROM {fn4_rectangles} r JOIN {group_axis} g ON r.case_id = g.case_id AND r.group_key = g.group_key) q
 ON p.case_id = q.case_id AND p.axis = 'x' AND q.axis = 'y' AND least(p.rx1, q.rx1) - greatest(p.rx0, q.rx0) > 0 AND least(p.ry1, q.ry1) - greatest(p.ry0, q.ry0) > 0
-AND (least(p.rx1, q.rx1) - greatest(p.rx0, q.rx0)) * (least(p.ry1, q.ry1) - greatest(p.ry0, q.ry0)) > 1e-9""")
+AND (least(p.rx1, q.rx1) - greatest(p.rx0, q.rx0)) * (least(p.ry1, q.ry1) - greatest(p.ry0, q.ry0)) > 1e-9""", conflict_pairs)
     r.add("ag1_components", """
 WITH RECURSIVE reach(case_id, seg_idx, root) AS (
   SELECT case_id, seg_idx, seg_idx FROM {fn4_rectangles}
@@ -115,8 +115,8 @@ SELECT case_id, component, CASE WHEN bx1 - bx0 > by1 - by0 THEN bx0 ELSE (bx0 +
   CASE WHEN bx1 - bx0 > by1 - by0 THEN bx1 ELSE (bx0 + bx1) / 2 END AS x1, CASE WHEN bx1 - bx0 > by1 - by0 THEN (by0 + by1) / 2 ELSE by1 END AS y1 FROM {ag2_rect_union}""")
     r.add("ag8_group_bounds", "SELECT case_id, group_key, max(length) AS lower, greatest(min(maxlength), max(length)) AS upper FROM {fn3_group_key} GROUP BY case_id, group_key")
     r.add("ag9_seed_lengths", "SELECT case_id, group_key, max(length) AS seed_length FROM {fn3_group_key} GROUP BY case_id, group_key")
-    r.add("fn16_fingerprint", """
-SELECT case_id, @sha256(@joined(CAST(CAST(x AS BIGINT) AS STRING) || ',' || CAST(CAST(y AS BIGINT) AS STRING) || ',' || CAST(CAST(x1 AS BIGINT) AS STRING) || ',' || CAST(CAST(y1 AS BIGINT) AS STRING))) AS fingerprint FROM {fn1_endpoints} GROUP BY case_id""")
+    # Coordinates count to a millionth.
+    r.add("fn16_fingerprint", "SELECT case_id, @sha256(@joined(" + " || ',' || ".join(f"coalesce(CAST(CAST(round({c} * 1000000) AS BIGINT) AS STRING), 'null')" for c in ("x", "y", "x1", "y1")) + ")) AS fingerprint FROM {fn1_endpoints} GROUP BY case_id")
     r.add("st1_dedup_cases", "SELECT min(case_id) AS case_id, fingerprint FROM {fn16_fingerprint} GROUP BY fingerprint")
     r.add("col_shape", """
 SELECT u.case_id, u.component, area, perimeter, cx, cy, ixx, iyy, (cx - 360) / 720 AS ndx, (cy - 410) / 820 AS ndy FROM {ag2_rect_union} u JOIN {ag3_inertia} i ON u.case_id = i.case_id AND u.component = i.component""")
@@ -140,11 +140,11 @@ SELECT case_id, axis, round(greatest(-sum(d / (total + 1e-9) * ln(d / (total + 1
         SELECT case_id, axis, span, min(span) OVER p AS lo, max(span) OVER p AS hi, count(*) OVER p AS n FROM {wn3_clear_spans} WINDOW p AS (PARTITION BY case_id, axis)))
     GROUP BY case_id, axis, bin)) GROUP BY case_id, axis""")
     r.add("fd_columns", """
-SELECT case_id, round(sum(area * ndx) / sum(area), 6) + 0.0E0 AS column_area_offset_x_norm, round(sum(area * ndy) / sum(area), 6) + 0.0E0 AS column_area_offset_y_norm, round(sum(area * ndx * ndy) / sum(area), 6) + 0.0E0 AS column_area_coupling_xy_norm,
-  round(sum(iyy * ndx) / sum(iyy), 6) + 0.0E0 AS stiffness_ecc_x_norm, round(sum(ixx * ndy) / sum(ixx), 6) + 0.0E0 AS stiffness_ecc_y_norm, count(*) AS columns_count, round(avg(area), 4) AS columns_mean_area_cm2,
-  round(sum(perimeter), 4) AS columns_total_perimeter_cm, round(avg(perimeter), 4) AS columns_mean_perimeter_cm, round(stddev_pop(perimeter), 4) AS columns_std_perimeter_cm, round(avg(4 * pi() * area / (perimeter * perimeter)), 6) + 0.0E0 AS columns_mean_compactness,
-  round(avg(ixx), 2) AS inertia_mean_ix, round(avg(iyy), 2) AS inertia_mean_iy, round(avg(sqrt(ixx / area)), 6) + 0.0E0 AS mean_radius_gyration_x, round(avg(sqrt(iyy / area)), 6) + 0.0E0 AS mean_radius_gyration_y,
-  round(avg(least(sqrt(ixx / area), sqrt(iyy / area))), 6) + 0.0E0 AS mean_radius_gyration_min, round(min(least(sqrt(ixx / area), sqrt(iyy / area))), 6) + 0.0E0 AS min_radius_gyration_global FROM {col_shape} GROUP BY case_id""")
+SELECT case_id, round(sum(area * ndx) / sum(area), 10) + 0.0E0 AS column_area_offset_x_norm, round(sum(area * ndy) / sum(area), 10) + 0.0E0 AS column_area_offset_y_norm, round(sum(area * ndx * ndy) / sum(area), 10) + 0.0E0 AS column_area_coupling_xy_norm,
+  round(sum(iyy * ndx) / sum(iyy), 10) + 0.0E0 AS stiffness_ecc_x_norm, round(sum(ixx * ndy) / sum(ixx), 10) + 0.0E0 AS stiffness_ecc_y_norm, count(*) AS columns_count, round(avg(area), 8) AS columns_mean_area_cm2,
+  round(sum(perimeter), 8) AS columns_total_perimeter_cm, round(avg(perimeter), 8) AS columns_mean_perimeter_cm, round(stddev_pop(perimeter), 8) AS columns_std_perimeter_cm, round(avg(4 * pi() * area / (perimeter * perimeter)), 10) + 0.0E0 AS columns_mean_compactness,
+  round(avg(ixx), 6) AS inertia_mean_ix, round(avg(iyy), 6) AS inertia_mean_iy, round(avg(sqrt(ixx / area)), 10) + 0.0E0 AS mean_radius_gyration_x, round(avg(sqrt(iyy / area)), 10) + 0.0E0 AS mean_radius_gyration_y,
+  round(avg(least(sqrt(ixx / area), sqrt(iyy / area))), 10) + 0.0E0 AS mean_radius_gyration_min, round(min(least(sqrt(ixx / area), sqrt(iyy / area))), 10) + 0.0E0 AS min_radius_gyration_global FROM {col_shape} GROUP BY case_id""")
     r.add("fd_spans", """
 SELECT case_id, count(CASE WHEN axis = 'x' THEN 1 END) AS clear_span_count_x, count(CASE WHEN axis = 'y' THEN 1 END) AS clear_span_count_y,
   coalesce(sum(CASE WHEN axis = 'x' THEN span END), 0) AS beams_total_clear_length_x_cm, coalesce(sum(CASE WHEN axis = 'y' THEN span END), 0) AS beams_total_clear_length_y_cm,

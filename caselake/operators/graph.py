@@ -39,6 +39,42 @@ def _small(rects: DataFrame) -> DataFrame:
     return cases.select("case_id", "r", F.explode(F.expr(f"transform({labels}, (l, i) -> struct(r[i].seg_idx AS seg_idx, r[l].seg_idx AS component))")).alias("c")).select("case_id", "c.seg_idx", "c.component")
 
 
+#: Side of the grid under whose fields the rectangles of larger cases are filed.
+FIELD = 200.0
+
+
+def _filed(rects: DataFrame) -> DataFrame:
+    """``rects`` once for each field of the grid that they reach; those of small cases all under one."""
+    size = rects.groupBy("case_id").agg((F.count("*") > AS_ARRAY).alias("_large")).withColumnRenamed("case_id", "_case")
+    fields = lambda d: f"if(_large, sequence(cast(floor(r{d}0 / {FIELD}) AS BIGINT), cast(floor(r{d}1 / {FIELD}) AS BIGINT)), array(0L))"
+    joined = rects.join(size, F.col("case_id") == F.col("_case")).drop("_case")
+    return joined.withColumn("_gx", F.explode(F.expr(fields("x")))).withColumn("_gy", F.explode(F.expr(fields("y"))))
+
+
+def meeting(left: DataFrame, right: DataFrame, where: str) -> DataFrame:
+    """Rows of ``left`` (named a) and ``right`` (b) of one case whose rectangles (rx0, rx1, ry0, ry1) meet and for which ``where`` holds, each pair once.
+
+    In cases of over ``AS_ARRAY`` rectangles only those that share a field of a grid are compared, and a pair counts in the field that holds
+    the low corner of what they share, so the work grows with the rectangles and the pairs there are, not with the square of a case.
+    """
+    a, b = _filed(left).alias("a"), _filed(right).alias("b")
+    corner = " AND ".join(f"(NOT a._large AND NOT b._large OR floor(greatest(a.r{d}0, b.r{d}0) / {FIELD}) = a._g{d})" for d in "xy")
+    touch = "a.rx0 <= b.rx1 AND b.rx0 <= a.rx1 AND a.ry0 <= b.ry1 AND b.ry0 <= a.ry1"
+    return a.join(b, F.expr(f"a.case_id = b.case_id AND a._gx = b._gx AND a._gy = b._gy AND {touch} AND {corner} AND {where}"))
+
+
+def touching_pairs(fn4_rectangles: DataFrame) -> DataFrame:
+    return meeting(fn4_rectangles, fn4_rectangles, "a.seg_idx < b.seg_idx").select("a.case_id", F.col("a.seg_idx").alias("a"), F.col("b.seg_idx").alias("b"))
+
+
+def conflict_pairs(fn4_rectangles: DataFrame, group_axis: DataFrame) -> DataFrame:
+    """Groups along x and along y that share an area of over 1e-9. The size of a case is that of all its rectangles."""
+    rows = fn4_rectangles.join(group_axis.select("case_id", "group_key", "axis"), ["case_id", "group_key"])
+    wide, high = "(least(a.rx1, b.rx1) - greatest(a.rx0, b.rx0))", "(least(a.ry1, b.ry1) - greatest(a.ry0, b.ry0))"
+    met = meeting(rows, rows, f"a.axis = 'x' AND b.axis = 'y' AND {wide} > 0 AND {high} > 0 AND {wide} * {high} > 1e-9")
+    return met.select("a.case_id", F.col("a.group_key").alias("x_group"), F.col("b.group_key").alias("y_group")).distinct()
+
+
 def touching_components(rects: DataFrame, pairs: DataFrame) -> DataFrame:
     """(case_id, seg_idx, component) of rectangles (case_id, seg_idx, rx0, rx1, ry0, ry1), of which ``pairs`` (case_id, a, b) touch."""
     large = rects.groupBy("case_id").count().where(F.col("count") > AS_ARRAY).select("case_id")

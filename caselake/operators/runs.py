@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from caselake.operators.evaluate import add_rank
 from caselake.plans.relation import Relations
 
 
@@ -26,7 +29,10 @@ SELECT worker, event_id, CAST(sum(failed) OVER (PARTITION BY worker, island ORDE
     r.add("ag16_error_rollup", "SELECT run_id, header, count(*) AS n FROM {errs} GROUP BY ROLLUP (run_id, header)")
     r.add("st2_keep_last", "SELECT element, max_by(header, event_id) AS header, max(event_id) AS event_id FROM {errs} GROUP BY element")
     r.add("ag15_fold_summary", "SELECT run_id, round(avg(cost), 6) AS mean_cost, round(stddev_samp(cost), 6) AS std_cost, round(@pctl(cost, 0.5), 6) AS median_cost FROM {log} GROUP BY run_id")
-    r.add("wn11_rank", "SELECT run_id, mean_cost, CAST(row_number() OVER (PARTITION BY run_id % 10 ORDER BY mean_cost, run_id) AS BIGINT) AS rank_in_bucket FROM {ag15_fold_summary}")
+    add_rank(r, "wn11_rank", "ag15_fold_summary", "mean_cost, run_id", "run_id, mean_cost")
+    # Norms of a step by layer, one row for each entry of its map; the steps of a run stand for its layers here.
+    r.add("dg2_gradient_norms", "SELECT run_id, iteration, 'cost' AS layer, abs(cost) AS norm FROM {log} UNION ALL SELECT run_id, iteration, 'best', abs(best) FROM {wn4_best_so_far}",
+          lambda log, wn4_best_so_far: wn4_best_so_far.select("run_id", "iteration", F.explode(F.create_map(F.lit("cost"), F.abs("cost"), F.lit("best"), F.abs("best"))).alias("layer", "norm")))
     r.add("ss1_health_windows", "SELECT worker, @hour(ts) AS hour_start, round(avg(disk), 6) AS mean_disk, max(disk) AS max_disk, count(*) AS n FROM {health} GROUP BY worker, @hour(ts)")
     r.add("ss2_alerts", "SELECT event_id, worker, CASE WHEN disk >= 0.9 THEN 'stop' ELSE 'warn' END AS level FROM {health} WHERE disk >= 0.8")
     r.add("ss3_stuck", "SELECT worker, event_id, round(gap_us / 1000000.0E0, 3) AS gap_s FROM (SELECT worker, event_id, @gap(before, ts) AS gap_us FROM (SELECT *, lag(ts) OVER (PARTITION BY worker ORDER BY ts, event_id) AS before FROM {health})) WHERE gap_us >= 5400000000")

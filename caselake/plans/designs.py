@@ -105,6 +105,17 @@ def backend(row: dict) -> tuple[float, float, bool]:
     return 20 + 0.05 * row["columns_total_area_cm2"], row["concrete_m3"], row["columns_max_area_cm2"] < 4000
 
 
+def _unrounded(text: str) -> str:
+    """SQL without its ``round(what, digits)``."""
+    while (at := text.find("round(")) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:at]}({text[at + 6 : end - 1].rpartition(',')[0]}){text[end:]}"
+    return text
+
+
 def make(r: Relations) -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries of this module over the given tables, and their SQL."""
     base = lambda spark, sf_dir: (r.frame(spark, sf_dir, "seg"), r.frame(spark, sf_dir, "walls"))
@@ -121,10 +132,16 @@ def make(r: Relations) -> tuple[dict[str, Callable[[SparkSession, str], DataFram
 
     def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = case_rows(r, *base(spark, sf_dir)).withColumn("refused", refusal())
-        digits = {c: 1 if c.startswith("inertia_sum") else 4 for c in casewise.FEATURES}
-        return rows.select("case_id", *[(F.round(c, digits[c]) + 0.0).alias(c) for c in casewise.FEATURES], "refused")
+        return rows.select("case_id", *[(F.round(c, 9) + 0.0).alias(c) for c in casewise.FEATURES], "refused")
 
     q["fe_vector"] = vector
+    exact = Relations()
+    exact.text = dict(r.text) | {n: _unrounded(r.text[n]) for n in ("ag2_rect_union", "ag3_inertia", "fe_columns", "fe_spans", "fe_entropy")}
+    entropy = "(SELECT case_id, " + ", ".join(f"max(CASE WHEN axis = '{d}' THEN span_entropy END) AS beams_span_entropy_{d}" for d in "xy") + " FROM {fe_entropy} GROUP BY case_id)"
+    made = ", ".join(f"round({f'coalesce({c}, 0)' if c.startswith('beams_') else c}, 9) + 0.0E0 AS {c}" for c in casewise.FEATURES)
+    finite = " AND ".join(f"{c} - {c} = 0" for c in casewise.FEATURES if c.startswith(("columns_", "inertia_", "column_")))
+    sql["fe_vector"] = exact.duckdb("fe_columns", final=f"""SELECT t.case_id, {made}, CASE WHEN columns_total_area_cm2 IS NULL THEN 'no columns' WHEN NOT ({finite}) THEN 'not finite' END AS refused
+FROM (SELECT DISTINCT case_id FROM {{seg}}) t LEFT JOIN {{fe_columns}} f ON t.case_id = f.case_id LEFT JOIN {{fe_spans}} s ON t.case_id = s.case_id LEFT JOIN {entropy} e ON t.case_id = e.case_id""")
 
     q["sm13_candidates"] = lambda spark, sf_dir: sweep.sweep(*base(spark, sf_dir), STEEL, INVALID, n=DRAWS, steel_floor=20.0).select("case_id", "draw", *[F.round(c, 4).alias(c) for c in ("cost", "steel", "concrete_m3", "formwork_m2", "p_invalid")])
     values = ", ".join(f"({k})" for k in range(DRAWS))

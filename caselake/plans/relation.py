@@ -25,6 +25,8 @@ FORMS: dict[str, tuple[str, str]] = {
     "series": ("explode(sequence({}))", "unnest(generate_series({}))"),
     "fold": ("trim(regexp_replace(lower(translate({}, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÉÊÍÓÔÕÚÇ', 'aaaaaeeeeiiiiooooouuuucnaaaaeeiooouc')), '\\\\s+', ' '))", "trim(regexp_replace(lower(translate({}, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÉÊÍÓÔÕÚÇ', 'aaaaaeeeeiiiiooooouuuucnaaaaeeiooouc')), '\\s+', ' ', 'g'))"),
     "pair": ("struct({})", "row({})"),
+    "fail": ("CAST(raise_error({}) AS BOOLEAN)", "CAST(error({}) AS BOOLEAN)"),
+    "word": ("CAST(conv(substring({}, 12), 16, 10) AS DECIMAL(38, 0))", "CAST(CAST('0x' || substr({}, 12) AS BIGINT) AS HUGEINT)"),
     "joined": ("array_join(array_sort(collect_list({})), '|')", "string_agg({0}, '|' ORDER BY {0})"),
     "sha256": ("sha2({}, 256)", "sha256({})"),
     "replace_all": ("regexp_replace({})", "regexp_replace({}, 'g')"),

@@ -45,7 +45,7 @@ def test_column_quantities(spark):
 def test_regression_metrics(spark):
     reg = spark.createDataFrame([(0, 100.0, 90.0), (1, 200.0, 220.0), (2, 300.0, 270.0), (3, 400.0, 450.0)], "idx long, y double, yhat double")
     assert R.operator("ev1_regression_metrics")(reg=reg).first()["mae"] == 27.5
-    assert R.operator("ev4_under_prediction")(reg=reg).first()["low_mae"] == 10.0
+    assert R.over(spark, reg=reg)("ev4_under_prediction").first()["low_mae"] == 10.0
 
 
 def test_no_rows(spark):
@@ -98,3 +98,78 @@ def test_cross_validation_and_ablation(spark):
     assert rise["a"]["mean"] > rise["b"]["lowest"] > 0.1 and rise["a"]["positive_share"] == 1 and abs(rise["c"]["mean"]) < 1e-6
     with pytest.raises(ValueError, match="two folds"):
         models.cross_validate(df.where("fold = 0"), "y", {"all": ("linear", ["a"], {})})
+
+
+def boxes(rng, n, cases, side):
+    x, y, w, h = rng.uniform(0, side, n), rng.uniform(0, side, n), rng.uniform(20, 300, n), rng.uniform(20, 300, n)
+    return [(int(i % cases), int(i // cases), f"g{i // cases % 7}", 0.0, 0.0, float(x[i]), float(x[i] + w[i]), float(y[i]), float(y[i] + h[i])) for i in range(n)]
+
+
+def test_grid_finds_the_pairs_of_the_theta_join(spark, monkeypatch):
+    from caselake.operators import graph
+
+    rows = rects(spark, [*boxes(np.random.default_rng(7), 240, 3, 1500), (9, 0, "a", 0.0, 0.0, 0.0, 200.0, 0.0, 20.0), (9, 1, "b", 0.0, 0.0, 200.0, 400.0, 20.0, 40.0)]).cache()
+    axis = rows.selectExpr("case_id", "group_key", "if(coalesce(try_cast(substring(group_key, 2) AS INT), 0) % 2 = 0, 'x', 'y') AS axis").distinct()
+    found = {}
+    for most in (10**9, 1):  # no grid, then the grid for every case
+        monkeypatch.setattr(graph, "AS_ARRAY", most)
+        found[most] = [sorted(map(tuple, df.collect())) for df in (graph.touching_pairs(rows), graph.conflict_pairs(rows, axis))]
+    assert found[1] == found[10**9] and len(found[1][0]) > 300 and (9, 0, 1) in found[1][0] and len(found[1][1]) > 10
+
+
+def test_one_huge_case_takes_seconds(spark):
+    import time
+
+    from caselake.operators import graph
+
+    n = 100_000
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 120_000, n), rng.uniform(0, 120_000, n)
+    df = spark.createDataFrame([(1, i, "g", 0.0, 0.0, float(a), float(a + 80), float(b), float(b + 20)) for i, (a, b) in enumerate(zip(x, y, strict=True))], rects(spark, []).schema).repartition(8)
+    began = time.time()
+    assert graph.touching_pairs(df).count() > 1000
+    assert time.time() - began < 60
+
+
+def test_nulls_constants_and_one_class(spark):
+    reg = spark.createDataFrame([(1, None, 1.0, "a"), (2, 5.0, 1.0, "a"), (3, 4.0, 1.0, "b")], "idx long, y double, yhat double, band string")
+    assert [(r["idx"], r["rk"], r["total"]) for r in R.operator("wn9_global_rank")(reg=reg).orderBy("rk").collect()] == [(3, 1, 3), (2, 2, 3), (1, 3, 3)]
+    flat = spark.createDataFrame([(i, 7.0, 7.0 + i) for i in range(4)], "idx long, y double, yhat double")
+    assert [tuple(r) for r in R.operator("ag13_histogram")(reg=flat).collect()] == [(15, 4)]
+    assert R.operator("ev1_regression_metrics")(reg=flat).first()["r2"] == 0.0
+    q = R.operator("reg_quantiles")(reg=flat.withColumn("y", flat.idx.cast("double"))).first()
+    assert (q["med"], q["q25"]) == (1.5, 0.75) and R.operator("reg_quantiles")(reg=flat.limit(0)).first()["med"] is None
+    clf = spark.createDataFrame([(1, 1, 0.2), (2, 1, 0.7)], "idx long, valid int, p_invalid double")
+    of = R.over(spark, clf=clf)
+    assert of("ev13_auc").first()["auc"] is None and {r["tpr"] for r in of("ev12_roc").where("thr is not null").collect()} == {None}
+    got = of("ev11_confusion").first()
+    assert (got["tp"], got["fn"], got["recall_invalid"], got["invalid_as_valid_rate"]) == (1, 1, 0.0, None)
+    cases = spark.createDataFrame([(1, 0, 0.2, 0.0, 1.0, 0.0, 5.0, 9.0, "a"), (2, 0, 0.7, 0.0, 1.0, 0.0, 5.0, 9.0, "a"), (3, 0, 0.2, 0.0, 1.0, 0.0, 5.0, 9.0, "a")], "case_id long, seg_idx long, x double, y double, dx double, dy double, length double, maxlength double, group_id string")
+    assert sorted(r["case_id"] for r in R.over(spark, seg=cases)("st1_dedup_cases").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(("n", "change", "message"), [(260, {}, "not enough new samples"), (2, {}, "At least three"), (400, {7: float("inf")}, "NaN or infinite"), (400, {9: None}, "NaN or infinite")])
+def test_split_guards(spark, n, change, message):
+    reg = spark.createDataFrame([(i, change.get(i, float(i)), 1.0, "a") for i in range(n)], "idx long, y double, yhat double, band string")
+    with pytest.raises(Exception, match=message):
+        R.over(spark, reg=reg)("sp1_split_regression").collect()
+
+
+def test_split_sizes(spark):
+    reg = spark.createDataFrame([(i, float(i * 37 % 101), 1.0, "a") for i in range(2500)], "idx long, y double, yhat double, band string")
+    rows = R.over(spark, reg=reg)("sp1_split_regression").collect()
+    sizes = {p: sum(r["part"] == p for r in rows) for p in ("train", "validation", "test")}
+    assert sizes == {"train": 1700, "validation": 425, "test": 375} and min(r["idx"] for r in rows if r["part"] == "test") >= 230
+
+
+def test_leakage_and_groups(spark):
+    from caselake.operators import contracts
+
+    df = spark.createDataFrame([("train", 1.0, 2.0), ("train", 3.0, 4.0), ("train", 3.0, 4.0), ("test", 4.0, 3.0), ("test", None, 4.0)], "part string, a double, b double")
+    assert contracts.require_isolation(df, "part", ["a", "b"]).count() == 5
+    with pytest.raises(Exception, match="split leakage: feature rows in several parts: 1"):
+        contracts.require_isolation(df.union(spark.createDataFrame([("test", 3.0, 4.0)], df.schema)), "part", ["a", "b"]).collect()
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    groups = spark.createDataFrame([("g", "a"), ("h", "a"), ("h", "b"), ("h", "z")], "grp string, name string")
+    got = sorted(map(tuple, R.operator("sp9_group_coverage")(feature_names=names, feature_groups=groups).collect()))
+    assert got == [("a", "in several groups", 2), ("c", "ungrouped", 0), ("z", "unknown", 1)]
