@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Codes, Grown, small_batches
 
-#: Runs of letters: Python's words without digits, the underscore and the numbers that aren't digits, such as fractions and Roman numerals.
-LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: In learning, and only there, longer words teach in parts of this size.
 PART = 32
@@ -41,7 +40,11 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters; numbers that aren't digits, such as fractions and Roman numerals, are none."""
+    words = LETTERS.findall(text.lower()) if text else []
+    if "".join(words).isalpha() or not words:
+        return words
+    return [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 class Lattices:
