@@ -72,9 +72,9 @@ SELECT *, xb - xa AS w, yb - ya AS h,
   CASE WHEN lead(yi) OVER (PARTITION BY case_id, component, xi ORDER BY yi) = yi + 1 THEN 0 ELSE 1 END AS open_high FROM {cells}""")
     r.add("ag2_rect_union", """
 SELECT case_id, component, sum(w * h) AS area, sum(h * (open_left + open_right) + w * (open_low + open_high)) AS perimeter, min(xa) AS bx0, max(xb) AS bx1, min(ya) AS by0, max(yb) AS by1,
-  round(sum(w * h * (xa + xb) / 2) / sum(w * h), 6) AS cx, round(sum(w * h * (ya + yb) / 2) / sum(w * h), 6) AS cy FROM {cell_edges} GROUP BY case_id, component""")
+  round(sum(w * h * (xa + xb) / 2) / sum(w * h), 9) AS cx, round(sum(w * h * (ya + yb) / 2) / sum(w * h), 9) AS cy FROM {cell_edges} GROUP BY case_id, component""")
     r.add("ag3_inertia", """
-SELECT case_id, component, round(sum(w * h * h * h / 12 + w * h * (ym - yc) * (ym - yc)), 3) AS ixx, round(sum(h * w * w * w / 12 + w * h * (xm - xc) * (xm - xc)), 3) AS iyy FROM (
+SELECT case_id, component, round(sum(w * h * h * h / 12 + w * h * (ym - yc) * (ym - yc)), 6) AS ixx, round(sum(h * w * w * w / 12 + w * h * (xm - xc) * (xm - xc)), 6) AS iyy FROM (
   SELECT case_id, component, w, h, (xa + xb) / 2 AS xm, (ya + yb) / 2 AS ym, sum(w * h * (xa + xb) / 2) OVER p / sum(w * h) OVER p AS xc, sum(w * h * (ya + yb) / 2) OVER p / sum(w * h) OVER p AS yc
   FROM {cell_edges} WINDOW p AS (PARTITION BY case_id, component)) GROUP BY case_id, component""")
     r.add("ag4_column_quantities", "SELECT case_id, round(sum(area) / 10000 * 3.0, 6) AS volume_m3, round(sum(perimeter) * 0.01 * 3.0, 6) AS formwork_m2 FROM {ag2_rect_union} GROUP BY case_id")
@@ -121,19 +121,19 @@ SELECT case_id, component, CASE WHEN bx1 - bx0 > by1 - by0 THEN bx0 ELSE (bx0 +
     r.add("col_shape", """
 SELECT u.case_id, u.component, area, perimeter, cx, cy, ixx, iyy, (cx - 360) / 720 AS ndx, (cy - 410) / 820 AS ndy FROM {ag2_rect_union} u JOIN {ag3_inertia} i ON u.case_id = i.case_id AND u.component = i.component""")
     r.add("fe_columns", """
-SELECT case_id, round(sum(area), 4) AS columns_total_area_cm2, round(stddev_pop(area), 4) AS columns_std_area_cm2, min(area) AS columns_min_area_cm2, max(area) AS columns_max_area_cm2,
-  round(sum(ixx), 1) AS inertia_sum_ix, round(sum(iyy), 1) AS inertia_sum_iy, round(sum(iyy) / (sum(ixx) + 1e-9), 6) + 0.0E0 AS inertia_ratio_iy_over_ix,
-  round(sum(area * ndx * ndx) / sum(area), 6) + 0.0E0 AS column_area_spread_x_norm, round(sum(area * ndy * ndy) / sum(area), 6) + 0.0E0 AS column_area_spread_y_norm,
-  round(sum(iyy * ndy * ndy) / sum(iyy), 6) + 0.0E0 AS columns_stiffness_spread_x_response_norm, round(sum(ixx * ndx * ndx) / sum(ixx), 6) + 0.0E0 AS columns_stiffness_spread_y_response_norm,
-  round(avg(perimeter / sqrt(area)), 6) + 0.0E0 AS columns_mean_shape_factor, round(@pctl(perimeter / sqrt(area), 0.95), 6) + 0.0E0 AS columns_p95_shape_factor,
-  round((avg(sqrt(iyy / area)) - avg(sqrt(ixx / area))) / (avg(sqrt(iyy / area)) + avg(sqrt(ixx / area))), 6) + 0.0E0 AS columns_mean_radius_gyration_directional_balance,
-  round(avg(abs(0.5 * ln(iyy / ixx))), 6) + 0.0E0 AS columns_mean_abs_log_aspect_ratio, round(stddev_pop(abs(0.5 * ln(iyy / ixx))), 6) + 0.0E0 AS columns_std_abs_log_aspect_ratio, round(max(abs(0.5 * ln(iyy / ixx))), 6) + 0.0E0 AS columns_max_abs_log_aspect_ratio
+SELECT case_id, round(sum(area), 8) AS columns_total_area_cm2, round(stddev_pop(area), 8) AS columns_std_area_cm2, min(area) AS columns_min_area_cm2, max(area) AS columns_max_area_cm2,
+  round(sum(ixx), 8) AS inertia_sum_ix, round(sum(iyy), 8) AS inertia_sum_iy, round(sum(iyy) / (sum(ixx) + 1e-9), 12) + 0.0E0 AS inertia_ratio_iy_over_ix,
+  round(sum(area * ndx * ndx) / sum(area), 12) + 0.0E0 AS column_area_spread_x_norm, round(sum(area * ndy * ndy) / sum(area), 12) + 0.0E0 AS column_area_spread_y_norm,
+  round(sum(iyy * ndy * ndy) / sum(iyy), 12) + 0.0E0 AS columns_stiffness_spread_x_response_norm, round(sum(ixx * ndx * ndx) / sum(ixx), 12) + 0.0E0 AS columns_stiffness_spread_y_response_norm,
+  round(avg(perimeter / sqrt(area)), 12) + 0.0E0 AS columns_mean_shape_factor, round(@pctl(perimeter / sqrt(area), 0.95), 12) + 0.0E0 AS columns_p95_shape_factor,
+  round((avg(sqrt(iyy / area)) - avg(sqrt(ixx / area))) / (avg(sqrt(iyy / area)) + avg(sqrt(ixx / area))), 9) + 0.0E0 AS columns_mean_radius_gyration_directional_balance,
+  round(avg(abs(0.5 * ln(iyy / ixx))), 12) + 0.0E0 AS columns_mean_abs_log_aspect_ratio, round(stddev_pop(abs(0.5 * ln(iyy / ixx))), 12) + 0.0E0 AS columns_std_abs_log_aspect_ratio, round(max(abs(0.5 * ln(iyy / ixx))), 12) + 0.0E0 AS columns_max_abs_log_aspect_ratio
 FROM {col_shape} GROUP BY case_id""")
     r.add("fe_spans", """
-SELECT case_id, round(coalesce(stddev_pop(CASE WHEN axis = 'x' THEN span END), 0), 6) AS beams_std_clear_span_x_cm, round(coalesce(stddev_pop(CASE WHEN axis = 'y' THEN span END), 0), 6) AS beams_std_clear_span_y_cm,
+SELECT case_id, round(coalesce(stddev_pop(CASE WHEN axis = 'x' THEN span END), 0), 9) AS beams_std_clear_span_x_cm, round(coalesce(stddev_pop(CASE WHEN axis = 'y' THEN span END), 0), 9) AS beams_std_clear_span_y_cm,
   coalesce(max(CASE WHEN axis = 'x' THEN span END), 0) AS beams_max_clear_span_x_cm, coalesce(max(CASE WHEN axis = 'y' THEN span END), 0) AS beams_max_clear_span_y_cm FROM {wn3_clear_spans} GROUP BY case_id""")
     r.add("fe_entropy", """
-SELECT case_id, axis, round(greatest(-sum(d / (total + 1e-9) * ln(d / (total + 1e-9) + 1e-9)), 0), 6) AS span_entropy FROM (
+SELECT case_id, axis, round(greatest(-sum(d / (total + 1e-9) * ln(d / (total + 1e-9) + 1e-9)), 0), 9) AS span_entropy FROM (
   SELECT case_id, axis, d, sum(d) OVER (PARTITION BY case_id, axis) AS total FROM (
     SELECT case_id, axis, bin, count(*) / (max(n) * max(width)) AS d FROM (
       SELECT case_id, axis, n, CASE WHEN hi > lo THEN (hi - lo) / 10 ELSE 0.1 END AS width, CASE WHEN hi > lo THEN least(floor((span - lo) / ((hi - lo) / 10)), 9) ELSE 5 END AS bin FROM (

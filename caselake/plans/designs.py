@@ -41,11 +41,20 @@ def case_rows(relations: Relations, seg: DataFrame, walls: DataFrame) -> DataFra
     spread = of("fe_entropy").groupBy("case_id").agg(*[F.coalesce(F.max(F.when(F.col("axis") == d, F.col("span_entropy"))), F.lit(0.0)).alias(f"beams_span_entropy_{d}") for d in "xy"])
     rows = of("ag6_concrete_total").join(of("fd_columns").select("case_id", "columns_count"), "case_id", "left").join(of("fe_columns"), "case_id", "left").join(of("fe_spans"), "case_id", "left").join(spread, "case_id", "left")
     zero = [c for c in casewise.FEATURES if c.startswith("beams_")]
+    spans = of("wn3_clear_spans").groupBy("case_id").agg(F.count("*").alias("clear_spans"))
+    rows = rows.join(spans, "case_id", "left").withColumn("clear_spans", F.coalesce("clear_spans", F.lit(0)).cast("int"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in zero} | {"columns_count": F.coalesce("columns_count", F.lit(0).cast("long"))})
     few = casewise.case_table(seg.join(large.withColumnRenamed("case_id", "_case"), F.col("case_id").eqNullSafe(F.col("_case")), "left_anti"), walls)
     return few.unionByName(rows.select(*few.columns))
 
 
+def column_rows(relations: Relations, seg: DataFrame, walls: DataFrame) -> DataFrame:
+    """The part of ``case_rows`` that columns alone decide."""
+    if casewise.large_cases(seg).isEmpty():
+        return casewise.column_features(casewise.columns(casewise.rectangles(seg)))
+    return case_rows(relations, seg, walls)
+
+
 def refusal(features: tuple[str, ...] = casewise.FEATURES) -> Column:
     """Why a case can't be scored: no columns, or features that are null or not finite; null if it can."""
     odd = F.concat_ws(", ", *[F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(c)) for c in features])
@@ -119,6 +128,13 @@ def _unrounded(text: str) -> str:
 def make(r: Relations) -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries of this module over the given tables, and their SQL."""
     base = lambda spark, sf_dir: (r.frame(spark, sf_dir, "seg"), r.frame(spark, sf_dir, "walls"))
+    # These are made in one pass over the cases; the relations of the same names are what larger cases and the check go by.
+    named = [c for c in casewise.FEATURES if not c.startswith("beams_")]
+    exact_ = lambda c: F.col(c) if c in ("columns_min_area_cm2", "columns_max_area_cm2") else F.round(c, 8) if c.endswith("cm2") or c.startswith("inertia_sum") else F.round(c, 9 if c.endswith('balance') else 12) + 0.0
+    r.at_once("ag6_concrete_total", ("seg", "walls"), lambda seg, walls: case_rows(r, seg, walls).select("case_id", F.round("concrete_m3", 6).alias("concrete_m3"), F.round("formwork_m2", 6).alias("formwork_m2")))
+    r.at_once("fe_columns", ("seg", "walls"), lambda seg, walls: column_rows(r, seg, walls).where("columns_count > 0").select("case_id", *[exact_(c).alias(c) for c in named]))
+    beam = {c: f"round({c}, 9)" if "_std_" in c else c for c in casewise.FEATURES if c.startswith("beams_") and "entropy" not in c}
+    r.at_once("fe_spans", ("seg", "walls"), lambda seg, walls: case_rows(r, seg, walls).where("clear_spans > 0").selectExpr("case_id", *[f"{e} AS {c}" for c, e in beam.items()]))
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     sql: dict[str, str] = {}
 
@@ -132,13 +148,13 @@ def make(r: Relations) -> tuple[dict[str, Callable[[SparkSession, str], DataFram
 
     def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = case_rows(r, *base(spark, sf_dir)).withColumn("refused", refusal())
-        return rows.select("case_id", *[(F.round(c, 9) + 0.0).alias(c) for c in casewise.FEATURES], "refused")
+        return rows.select("case_id", *[(F.round(c, 9 if c.endswith('balance') else 12) + 0.0).alias(c) for c in casewise.FEATURES], "refused")
 
     q["fe_vector"] = vector
     exact = Relations()
     exact.text = dict(r.text) | {n: _unrounded(r.text[n]) for n in ("ag2_rect_union", "ag3_inertia", "fe_columns", "fe_spans", "fe_entropy")}
     entropy = "(SELECT case_id, " + ", ".join(f"max(CASE WHEN axis = '{d}' THEN span_entropy END) AS beams_span_entropy_{d}" for d in "xy") + " FROM {fe_entropy} GROUP BY case_id)"
-    made = ", ".join(f"round({f'coalesce({c}, 0)' if c.startswith('beams_') else c}, 9) + 0.0E0 AS {c}" for c in casewise.FEATURES)
+    made = ", ".join(f"round({f'coalesce({c}, 0)' if c.startswith('beams_') else c}, {9 if c.endswith('balance') else 12}) + 0.0E0 AS {c}" for c in casewise.FEATURES)
     finite = " AND ".join(f"{c} - {c} = 0" for c in casewise.FEATURES if c.startswith(("columns_", "inertia_", "column_")))
     sql["fe_vector"] = exact.duckdb("fe_columns", final=f"""SELECT t.case_id, {made}, CASE WHEN columns_total_area_cm2 IS NULL THEN 'no columns' WHEN NOT ({finite}) THEN 'not finite' END AS refused
 FROM (SELECT DISTINCT case_id FROM {{seg}}) t LEFT JOIN {{fe_columns}} f ON t.case_id = f.case_id LEFT JOIN {{fe_spans}} s ON t.case_id = s.case_id LEFT JOIN {entropy} e ON t.case_id = e.case_id""")

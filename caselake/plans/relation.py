@@ -9,8 +9,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from caselake.operators.graph import written
 
 #: Name -> its form in Spark and in DuckDB, with {} for the arguments.
@@ -45,12 +43,20 @@ def _forms(text: str, engine: int) -> str:
     return text
 
 
+def _files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of each file under ``path``, as the store lists them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
 class Relations:
     """A set of named relations; ``add`` defines one, its inputs are the ``{names}`` in its text."""
 
     def __init__(self) -> None:
         self.text: dict[str, str] = {}
         self.made_by: dict[str, Callable[..., DataFrame]] = {}
+        self.whole: dict[str, tuple[str, ...]] = {}
         self.shared: set[str] = set()
         self._written: dict[tuple, DataFrame] = {}
 
@@ -60,6 +66,10 @@ class Relations:
         if frames is not None:
             self.made_by[name] = frames
 
+    def at_once(self, name: str, needs: tuple[str, ...], frames: Callable[..., DataFrame]) -> None:
+        """Over tables, make ``name`` from ``needs`` by ``frames`` and not relation by relation; ``over`` and ``operator`` keep to its text."""
+        self.whole[name], self.made_by[name] = needs, frames
+
     def inputs(self, name: str) -> list[str]:
         return list(dict.fromkeys(re.findall(r"\{(\w+)\}", self.text[name])))
 
@@ -68,7 +78,7 @@ class Relations:
 
         def run(**inputs: DataFrame) -> DataFrame:
             spark = next(iter(inputs.values())).sparkSession
-            if name in self.made_by:
+            if name in self.made_by and name not in self.whole:
                 return self.made_by[name](**inputs)
             return spark.sql(_forms(self.text[name], 0), **inputs)
 
@@ -99,7 +109,7 @@ class Relations:
                 if name not in self.text:
                     raise KeyError(f"no input {name} is given")
                 got = {i: of(i) for i in self.inputs(name)}
-                df = self.made_by[name](**got) if name in self.made_by else spark.sql(_forms(self.text[name], 0), **got)
+                df = self.made_by[name](**got) if name in self.made_by and name not in self.whole else spark.sql(_forms(self.text[name], 0), **got)
                 made[name] = written(df) if name in self.shared else df
             return made[name]
 
@@ -108,7 +118,7 @@ class Relations:
     def _made(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
         if name not in self.text:
             return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        got = {i: self.frame(spark, sf_dir, i, made) for i in self.inputs(name)}
+        got = {i: self.frame(spark, sf_dir, i, made) for i in self.whole.get(name) or self.inputs(name)}
         return self.made_by[name](**got) if name in self.made_by else spark.sql(_forms(self.text[name], 0), **got)
 
     def _kept(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
@@ -117,8 +127,7 @@ class Relations:
         if files not in made:
             made[files] = {}
         for t in self.tables(name) - set(made[files]):
-            seen = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-            made[files][t] = self.frame(spark, sf_dir, t, made).select(seen.alias("h")).distinct().agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+            made[files][t] = _files(spark, f"{sf_dir}/{t}.parquet")
         key = (spark.sparkContext.applicationId, sf_dir, name, *sorted((t, *made[files][t]) for t in self.tables(name)))
         if key not in self._written:
             self._written[key] = written(self._made(spark, sf_dir, name, made))
