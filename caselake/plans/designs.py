@@ -80,7 +80,7 @@ def predict_cases(relations: Relations, seg: DataFrame, walls: DataFrame, models
 #: Scorers of the registered queries, as SQL over the features.
 STEEL = "20 + 0.05D * columns_total_area_cm2 + 0.01D * columns_max_area_cm2"
 INVALID = "least(1D, columns_max_area_cm2 / 8000)"
-DRAWS, SEARCH = 3, {"population": 8, "generations": 4, "patience": 3}
+DRAWS, SEARCH = 3, {"population": 6, "generations": 3, "patience": 2}
 
 
 def priced_genes(walls: DataFrame, step: float = sweep.STEP) -> Callable[[DataFrame], DataFrame]:
@@ -180,7 +180,7 @@ ORDER BY round(cost, 6), case_id LIMIT 100""")
     q["sm14_population"] = sm14
 
     def sm15(spark: SparkSession, sf_dir: str) -> DataFrame:
-        best, _ = search_cases(*base(spark, sf_dir), seeds=3, **SEARCH | {"generations": 2})
+        best, _ = search_cases(*base(spark, sf_dir), seeds=3, **SEARCH | {"generations": 1})
         return evolve.choose_robust(best, ("case_id",)).withColumn("cost", F.round("cost", 4))
 
     q["sm15_many_seeds"] = sm15

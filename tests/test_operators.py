@@ -173,3 +173,25 @@ def test_leakage_and_groups(spark):
     groups = spark.createDataFrame([("g", "a"), ("h", "a"), ("h", "b"), ("h", "z")], "grp string, name string")
     got = sorted(map(tuple, R.operator("sp9_group_coverage")(feature_names=names, feature_groups=groups).collect()))
     assert got == [("a", "in several groups", 2), ("c", "ungrouped", 0), ("z", "unknown", 1)]
+
+
+def test_pruned_nearest_are_the_nearest(spark):
+    from caselake.operators.nearest import _first_visits, nearest, nearest_pruned
+
+    rng = np.random.default_rng(9)
+    rows = lambda v, base=0: spark.createDataFrame([(base + i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist()), (10**6 + base, None)], "vec_id long, embedding array<double>")
+    for v in (rng.integers(0, 3, (150, 4)).astype(float), rng.normal(size=(400, 3)) + 40 * rng.integers(0, 4, (400, 1))):
+        test, train = rows(v[:60]), rows(v[30:], 30)
+        got = lambda df: sorted(map(tuple, df.collect()))
+        assert got(nearest_pruned(test, train, pivots=8, block=20)) == got(nearest(test, train))
+    assert got(nearest_pruned(rows(v[:3]), rows(v[:5]))) == got(nearest(rows(v[:3]), rows(v[:5])))
+    assert nearest_pruned(rows(v[:3]), rows(v[:1]).where("vec_id IS NULL")).count() == 0 and nearest_pruned(rows(v[:1]).limit(0), rows(v)).count() == 0
+    # In clusters far apart a test row visits a small part of the rows, and a smaller one as there are more clusters.
+    share = []
+    for clusters in (5, 40):
+        v = rng.normal(size=(30 * clusters, 3)) + 100 * np.arange(clusters).repeat(30)[:, None]
+        filed, visits, k = _first_visits(rows(v[::10]), rows(v), 5, "vec_id", "embedding", 64)
+        sizes = filed.groupBy("cell").count()
+        far = visits.where("low > 30").join(sizes, "cell").agg({"count": "sum"}).first()[0]
+        share.append(1 - far / (len(v) * len(v[::10])))
+    assert k == 5 and share[1] < share[0] / 2 < 0.3
