@@ -267,3 +267,15 @@ def test_ranks_over_the_whole_table(spark):
         assert (found[k]["id"], found[k]["before"]) == (r[0], total)
         total += r[2]
     assert ranks.in_order(spark.createDataFrame([], "v double"), [F.col("v")]).count() == 0
+
+
+def test_searching_cases(spark):
+    rows = R.frame(spark, SF, "seg").where("case_id < 60")
+    best, history = designs.search_cases(rows, walls(spark), population=5, generations=2, patience=5)
+    start = {r["case_id"]: r["cost"] for r in sweep.priced(sweep.realized(sweep.grouped_cases(rows).withColumns({"draw": F.lit(0), "value": F.col("lower"), "resets": F.expr("cast(array() AS array<int>)")})).select("case_id", "draw", "r"), walls(spark), designs.STEEL, designs.INVALID, None, sweep.PRICES).collect()}
+    got = {r["case_id"]: r for r in best.collect()}
+    assert set(got) == set(start) and all(r["cost"] <= start[i] + 1e-9 and len(r["print"]) == 64 and r["generation"] == 2 for i, r in got.items())
+    assert history.count() == 3 * len(start)
+    many, _ = designs.search_cases(rows, walls(spark), seeds=2, population=3, generations=1)
+    chosen = evolve.choose_robust(many, ("case_id",)).collect()
+    assert {r["case_id"] for r in chosen} == set(start) and all(set(r["seeds"]) <= {1, 2} for r in chosen)
