@@ -8,6 +8,7 @@ before the exchange.
 from __future__ import annotations
 
 from caselake.operators.evaluate import add_rank
+from caselake.operators.splits import choose_by_bins
 from caselake.plans.relation import Relations
 
 #: Cumulative Poisson(1) up to 7; the rest counts as 8.
@@ -107,6 +108,13 @@ FROM {ag8_group_bounds} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS
     r.add("sm8_stratified_pick", """
 SELECT idx, bin, near_threshold FROM (SELECT idx, bin, near_threshold, row_number() OVER (PARTITION BY bin ORDER BY near_threshold DESC, draw, idx) AS rk FROM (
   SELECT idx, CAST(floor(p_invalid * 10) AS BIGINT) AS bin, CASE WHEN abs(p_invalid - 0.5E0) <= 0.1E0 THEN 1 ELSE 0 END AS near_threshold, @u('82:' || CAST(idx AS STRING)) AS draw FROM {clf})) WHERE rk <= 50""")
+    # 50 rows from each quarter of the scores, those near the threshold first; one in five is protected. It fails where a quarter has too few.
+    u = lambda k: f"@u('{k}:' || CAST(idx AS STRING))"
+    r.add("sm8_choice", f"""
+SELECT idx, CAST(bin AS INTEGER) AS bin, near, place, CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY {u(83)}, idx) <= 10 THEN 'protected_evaluation' ELSE 'development' END AS role FROM (
+  SELECT *, row_number() OVER (PARTITION BY bin ORDER BY near DESC, {u(82)}, idx) - 1 AS place FROM (
+    SELECT idx, least(floor(p_invalid * 4), 3) AS bin, CASE WHEN abs(p_invalid - 0.5E0) <= 0.1E0 THEN 1 ELSE 0 END AS near FROM {{clf}} WHERE p_invalid BETWEEN 0 AND 1)) WHERE place < 50""",
+          lambda clf: choose_by_bins(clf, "idx", "p_invalid", "p_invalid", (0.0, 0.25, 0.5, 0.75, 1.0), 200, 0.5, 0.1, 0.2))
     # Final verification: orders as reports, their lines as elements.
     r.add("breakdown", "SELECT o_orderkey AS case_id, o_totalprice AS predicted, 12 * q AS steel_cost, 450 * d AS concrete_cost, q AS steel, CASE WHEN o_orderstatus = 'F' THEN 1000000 ELSE 0 END AS penalty, verified FROM {orders} JOIN (SELECT l_orderkey, sum(l_quantity) AS q, sum(l_discount) AS d, sum(l_extendedprice) AS verified FROM {lineitem} GROUP BY l_orderkey) l ON o_orderkey = l_orderkey")
     r.add("rv7_verification", "SELECT case_id, round(CASE WHEN steel > 0 THEN steel_cost / steel END, 6) AS implied_price, round(verified - predicted, 2) AS signed, round(abs(verified - predicted), 2) AS absolute, CASE WHEN predicted <> 0 THEN round(100 * (verified - predicted) / predicted, 5) END AS relative, CASE WHEN penalty > 0 THEN 'failed' ELSE 'verified' END AS status FROM {breakdown}")

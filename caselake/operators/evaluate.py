@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselake.operators.ranks import in_order, quantile
+from caselake.operators.splits import split_classes
 from caselake.plans.relation import Relations
 
 
 #: Rows that were used before and so never enter a test part.
 PREFIX = 230
+CLASS_PREFIX = 253
 #: Relations that many others build on; each is written once for an input.
 SHARED = ("by_position", "test_strata", "validation_strata", "sp1_split_regression", "roc_points")
 #: The most rank strata of a draw.
@@ -73,10 +75,16 @@ SELECT bin, count(*) AS n FROM (SELECT CAST(CASE WHEN hi > lo THEN least(floor((
     r.add("sp1_split_regression", """
 SELECT p.idx, p.band, CASE WHEN t.idx IS NOT NULL THEN 'test' WHEN v.idx IS NOT NULL THEN 'validation' ELSE 'train' END AS part
 FROM {guarded} p LEFT JOIN {test_drawn} t ON p.idx = t.idx LEFT JOIN {validation_drawn} v ON p.idx = v.idx""")
-    r.add("sp2_split_classes", """
-SELECT idx, valid, CASE WHEN rk <= floor(n * 0.2E0) THEN 'test' WHEN rk <= floor(n * 0.4E0) THEN 'validation' ELSE 'train' END AS part FROM (
-  SELECT idx, valid, row_number() OVER (PARTITION BY valid ORDER BY @u('3:' || CAST(idx AS STRING)), idx) AS rk, count(*) OVER (PARTITION BY valid) AS n FROM {clf} WHERE idx >= 253)
-UNION ALL SELECT idx, valid, 'train' FROM {clf} WHERE idx < 253""")
+    # Quotas of classes by largest remainders; the SQL draws them by windows, Spark by range sorts.
+    draw = lambda source, take, u: f"""SELECT idx, valid, rk <= whole + extra AS taken FROM (SELECT *, row_number() OVER (PARTITION BY valid ORDER BY @u('{u}:' || CAST(idx AS STRING)), idx) AS rk FROM {source}) JOIN (
+  SELECT valid AS c_valid, whole, CASE WHEN row_number() OVER (ORDER BY part DESC, valid) <= take - sum(whole) OVER () THEN 1 ELSE 0 END AS extra FROM (
+    SELECT valid, take, (take * count(*)) // nn AS whole, (take * count(*)) % nn AS part FROM {source} CROSS JOIN (SELECT count(*) AS nn, {take} AS take FROM {source}) t GROUP BY valid, take, nn)) ON valid = c_valid"""
+    r.add("class_positions", "SELECT idx, valid, row_number() OVER (ORDER BY idx) AS rk FROM {clf}")
+    r.add("class_new", f"SELECT idx, valid FROM {{class_positions}} WHERE rk > {CLASS_PREFIX}")
+    r.add("class_test", draw("{class_new}", "(SELECT CAST(ceil(count(*) * 0.2E0) AS BIGINT) FROM {clf})", 3))
+    r.add("class_rest", f"SELECT idx, valid FROM {{class_test}} WHERE NOT taken UNION ALL SELECT idx, valid FROM {{class_positions}} WHERE rk <= {CLASS_PREFIX}")
+    r.add("sp2_split_classes", "SELECT idx, valid, CASE WHEN taken THEN 'validation' ELSE 'train' END AS part FROM (" + draw("{class_rest}", "CAST(ceil(count(*) * 0.25E0) AS BIGINT)", 4) + ") UNION ALL SELECT idx, valid, 'test' FROM {class_test} WHERE taken")
+    r.at_once("sp2_split_classes", ("clf",), lambda clf: split_classes(clf, "idx", "valid", prefix=CLASS_PREFIX))
     r.add("sp3_manifest", "SELECT part, count(*) AS n, min(y) AS y_min, max(y) AS y_max, round(avg(y), 4) AS y_mean, round(stddev_pop(y), 4) AS y_std, max(CASE WHEN r.rk <= 230 AND part = 'test' THEN 1 ELSE 0 END) AS leaks FROM {sp1_split_regression} s JOIN {by_position} r ON s.idx = r.idx GROUP BY part")
     r.add("sp5_folds", "SELECT t.idx, r.rep, CAST((row_number() OVER (PARTITION BY band, rep ORDER BY @u(CAST(rep AS STRING) || ':' || CAST(idx AS STRING)), idx) - 1) % 5 AS BIGINT) AS fold FROM {reg} t CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS v(rep)) r")
     r.add("sp6_stratified_folds", "SELECT band, CAST(rk % 5 AS BIGINT) AS fold, count(*) AS n FROM {strata} GROUP BY band, CAST(rk % 5 AS BIGINT)")
