@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from caselake.plans.relation import Relations
 
 #: Folded row labels of the breakdown and the element that each stands for.
-ELEMENTS = {"pilares": "columns", "vigas": "beams", "lajes": "slabs"}
+ELEMENTS = {"pilares": "columns", "vigas": "beams", "lajes": "slabs", "fundacoes": "foundations", "outros": "other", "totais": "total"}
+#: Folded column labels and the quantity that each stands for.
+QUANTITIES = {"aco": "steel", "concreto": "concrete", "forma": "formwork", "fck": "fck"}
 
 
 def html_cells(html: DataFrame) -> DataFrame:
@@ -39,7 +41,10 @@ def define(r: Relations) -> None:
         body = [row("th", "'Elemento'", *(head[k] for k in order)), row("td", "'Pilares'", *(value[k] for k in order)), row("td", "'Vigas'", *(value[k] if k == "c" else "'-'" for k in order))]
         return " || ".join(["'<p>x</p><TABLE border=1>'", row("td", "'<b>Resumo de  Materiais</b>'"), *body, "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE " + row("td", "'Totais (geral)'", *(value[k] for k in order)) + " END", "'</TABLE>'"])
 
-    r.add("report_html", f"SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 7 = 0 THEN '<table><tr><td>outro</td></tr></table>' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN {table('s', 'c')} ELSE {table('c', 's')} END AS html FROM {{part}}")
+    # One report in three has a whole table of six elements besides.
+    sizes = lambda k: ("'25'", f"CAST(p_size + {k} AS STRING) || ',5'", f"CASE WHEN p_size % 4 = {k % 4} THEN '-' ELSE CAST({k} * p_size AS STRING) END", "'' || CAST(p_size AS STRING)")
+    whole = " || ".join(["'<table>'", row("th", "'Elemento'", "'fck'", "'Aço'", "'Concreto'", "'Fôrma'"), *[row("td", f"'{e}'", *sizes(k)) for k, e in enumerate(("Pilares", "Vigas", "Lajes", "Fundações", "Outros", "Totais"))], "'</table>'"])
+    r.add("report_html", f"SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 7 = 0 THEN '<table><tr><td>outro</td></tr></table>' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN {table('s', 'c')} ELSE {table('c', 's')} END || CASE WHEN p_partkey % 3 = 0 THEN {whole} ELSE '' END AS html FROM {{part}}")
     each = lambda source, keep, column, pattern, at, out: f"SELECT {keep}, CAST(unnest(generate_series(0, len({column}) - 1)) AS BIGINT) AS {at}, unnest({column}) AS {out} FROM (SELECT {keep}, regexp_extract_all({source[1]}, '{pattern}') AS {column} FROM {source[0]})"
     tables = each(("{report_html}", "html"), "doc_id", "ts", "(?is)<table\\b.*?</table>", "tbl", "t")
     rows = each((f"({tables})", "t"), "doc_id, tbl", "rs", "(?is)<tr\\b.*?</tr>", "row_no", "r")
@@ -53,11 +58,24 @@ JOIN (SELECT doc_id, min(tbl) AS tbl FROM {rv1_html_cells} WHERE @fold(text) = '
     r.add("rv2_report_totals", f"""
 SELECT d.doc_id, steel, concrete FROM {{report_html}} d LEFT JOIN (SELECT l.doc_id, {pick} FROM {{report_labels}} l JOIN {{report_heads}} h ON l.doc_id = h.doc_id
   JOIN (SELECT doc_id, max(row_no) AS last_row FROM {{report_labels}} WHERE cell_no = 0 AND label LIKE 'totais%' GROUP BY doc_id) t ON l.doc_id = t.doc_id AND l.row_no = t.last_row GROUP BY l.doc_id) v ON d.doc_id = v.doc_id""")
+    # The breakdown reads the first table with columns, steel, concrete and formwork, or else that of the totals; a row goes by the last head above it, and of
+    # two rows of one element the later counts.
+    r.add("breakdown_cells", """
+SELECT c.doc_id, row_no, cell_no, text, @fold(text) AS label FROM {rv1_html_cells} c JOIN (
+  SELECT doc_id, coalesce(min(CASE WHEN whole = 4 THEN tbl END), min(CASE WHEN named > 0 THEN tbl END)) AS tbl FROM (
+    SELECT doc_id, tbl, count(DISTINCT CASE WHEN l IN ('pilares', 'aco', 'concreto', 'forma') THEN l END) AS whole, count(CASE WHEN l = 'resumo de materiais' THEN 1 END) AS named
+    FROM (SELECT doc_id, tbl, @fold(text) AS l FROM {rv1_html_cells}) GROUP BY doc_id, tbl) GROUP BY doc_id) t ON c.doc_id = t.doc_id AND c.tbl = t.tbl""")
+    at = ", ".join(f"min(CASE WHEN label = '{k}' THEN cell_no END) AS {v}_at" for k, v in QUANTITIES.items())
+    r.add("breakdown_rows", f"""
+SELECT *, max(CASE WHEN steel_at IS NOT NULL AND concrete_at IS NOT NULL THEN row_no END) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head_row
+FROM (SELECT doc_id, row_no, max(CASE WHEN cell_no = 0 THEN label END) AS name, {at} FROM {{breakdown_cells}} GROUP BY doc_id, row_no)""")
     names = ", ".join(f"('{k}', '{v}')" for k, v in ELEMENTS.items())
+    values = ", ".join(f"max(CASE WHEN cell_no = h.{v}_at THEN {_number('text')} END) AS {v}" for v in QUANTITIES.values())
     r.add("rv3_report_breakdown", f"""
-SELECT l.doc_id, m.element, {pick} FROM {{report_labels}} l JOIN {{report_heads}} h ON l.doc_id = h.doc_id
-JOIN (SELECT doc_id, row_no, label AS name FROM {{report_labels}} WHERE cell_no = 0) n ON l.doc_id = n.doc_id AND l.row_no = n.row_no
-JOIN (SELECT * FROM (VALUES {names}) AS v(name, element)) m ON n.name = m.name GROUP BY l.doc_id, m.element""")
+SELECT b.doc_id, b.element, {values} FROM (
+  SELECT doc_id, element, row_no, head_row, row_number() OVER (PARTITION BY doc_id, element ORDER BY row_no DESC) AS k FROM {{breakdown_rows}} r JOIN (SELECT * FROM (VALUES {names}) AS v(label, element)) m ON r.name = m.label
+  WHERE head_row IS NOT NULL AND (steel_at IS NULL OR concrete_at IS NULL)) b
+JOIN {{breakdown_rows}} h ON b.doc_id = h.doc_id AND b.head_row = h.row_no JOIN {{breakdown_cells}} c ON b.doc_id = c.doc_id AND b.row_no = c.row_no WHERE k = 1 GROUP BY b.doc_id, b.element""")
     # Rings: one row per vertex; the edge leaving each vertex closes at the first.
     r.add("ring_points", """
 SELECT case_id, seg_idx, corner, CASE WHEN corner IN (0, 3) THEN rx0 ELSE rx1 END AS px, CASE WHEN corner IN (0, 1) THEN ry0 ELSE ry1 END AS py

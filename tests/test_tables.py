@@ -177,3 +177,12 @@ def test_ledger_takes_each_row_once(spark, tmp_path):
         spark.range(k * 10, k * 10 + 10).write.mode("append").parquet(src)
         telemetry.collect_ledger(spark.readStream.schema("id long").parquet(src), ledger, state)
     assert spark.read.parquet(ledger).select("id").distinct().count() == spark.read.parquet(ledger).count() == 20
+
+
+def test_breakdown_prefers_the_whole_table_and_the_head_above(spark):
+    tr = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    summary = "<table>" + tr("Resumo de materiais") + tr("Pilares", "9", "9") + tr("", "Aço", "Concreto") + tr("Pilares", "1", "2") + tr("x", "Concreto", "Aço") + tr("PILARES", "3", "4") + tr("Fundações", "-", "") + tr("Totais (geral)", "5", "6") + "</table>"
+    whole = "<table>" + tr("Elemento", "fck", "Aço", "Concreto", "Fôrma") + tr("Pilares", "25", "1.000,5", "7", "8") + tr("Lajes", "25", "1") + tr("Totais", "", "2", "3", "4") + "</table>"
+    df = spark.createDataFrame([(1, summary), (2, summary + whole), (3, "<table>" + tr("a") + "</table>"), (4, None)], "doc_id long, html string")
+    got = {(r["doc_id"], r["element"]): tuple(r)[2:] for r in R.over(spark, report_html=df)("rv3_report_breakdown").collect()}
+    assert got == {(1, "columns"): (4.0, 3.0, None, None), (1, "foundations"): (None, None, None, None), (2, "columns"): (1000.5, 7.0, 8.0, 25.0), (2, "slabs"): (1.0, None, None, 25.0), (2, "total"): (2.0, 3.0, 4.0, None)}
