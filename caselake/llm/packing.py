@@ -3,9 +3,10 @@
 Pieces are dealt to shards of about ``shard_rows`` by a hash, so no group grows with the corpus or with a
 key. A shard is packed on several islands: each starts from best-fit over differently shaken orders, breeds by
 injecting whole well-filled sequences of one parent into the other, dropping the other's sequences that share
-a piece with them, and best-fitting the displaced pieces; elites migrate to the next island through a shuffle
-between epochs. Every island breeds at least once; it stops when it meets the bound ceil(tokens / capacity). The best of all is never lost. The sequences that stay
-under-filled in all shards are pooled and packed once more.
+a piece with them, exchanging displaced pieces for smaller ones where that fills a sequence better, and best-fitting the
+rest; elites migrate to the next island through a shuffle between epochs. Every island breeds at least once; it stops
+when all room but a 64th of a sequence is in one sequence, or after some children in a row that are no better. The best
+of all is never lost. The sequences that stay under-filled in all shards are pooled and packed once more.
 """
 
 from __future__ import annotations
@@ -82,10 +83,57 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
     return len(bins), -sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def exchange(bins: list[list[int]], free: list[int], lengths: list[int], capacity: int, rng: np.random.Generator, width: int = 48, most: int = 8, passes: int = 12) -> tuple[list[list[int]], list[int]]:
+    """Trade up to two pieces of a sequence for up to two of ``free`` that fill it better: what grows comes in, what is smaller comes out.
+
+    Each pass looks at ``width`` free pieces and ``most`` pieces of each sequence with room, drawn anew. Returns the sequences and what is free then.
+    """
+    bins, free, size = list(bins), list(free), np.asarray(lengths, np.int64)
+    room = capacity - np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    x, y = (np.append(0, t) for t in np.triu_indices(most + 1, 1))  # column 0 stands for no piece
+    for _ in range(passes):
+        at = np.flatnonzero(room > 0)
+        if not len(at) or not free:
+            break
+        some = np.array(free)[rng.permutation(len(free))[:width]]
+        i, j = np.triu_indices(len(some), 1)
+        come = np.concatenate([size[some], size[some][i] + size[some][j]])
+        order = np.argsort(come, kind="stable")
+        come, pairs = come[order], np.stack([np.append(np.arange(len(some)), i), np.append(np.full(len(some), -1), j)], 1)[order]
+        member = np.full((len(at), most + 1), -1)
+        for n, k in enumerate(at):
+            b = bins[k]
+            member[n, 1 : 1 + min(most, len(b))] = b if len(b) <= most else rng.choice(b, most, replace=False)
+        weight = np.where(member >= 0, size[member], 2 * capacity)
+        weight[:, 0] = 0
+        gone = weight[:, x] + weight[:, y]
+        limit = gone + room[at][:, None]
+        found = np.searchsorted(come, limit, "right") - 1
+        got = np.append(come, 0)[found]  # place -1 is the 0
+        left = np.where((gone <= capacity) & (got > gone), limit - got, capacity)
+        best = np.argmin(left, 1)
+        left, found, used, out = left[np.arange(len(at)), best], pairs[found[np.arange(len(at)), best]].tolist(), set(), []
+        for n in np.argsort(left, kind="stable").tolist():
+            if left[n] == capacity or len(used) == len(some):
+                break
+            put = [t for t in found[n] if t >= 0]
+            if used.isdisjoint(put):
+                used.update(put)
+                k, drop = at[n], {int(member[n, c]) for c in (x[best[n]], y[best[n]]) if c}
+                out += drop
+                bins[k] = [t for t in bins[k] if t not in drop] + some[put].tolist()
+                room[k] = left[n]
+        if not used:
+            break
+        taken = set(some[list(used)].tolist())
+        free = [t for t in free if t not in taken] + out
+    return bins, free
+
+
 def breed(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Child of two packings: half of a's well-filled sequences whole, b's others without duplicates, the displaced best-fitted."""
+    """Child of two packings: a share of a's well-filled sequences whole, a half to a 64th, b's others without duplicates and without its emptiest, the displaced exchanged and best-fitted."""
     full = [s for s in a if sum(lengths[i] for i in s) >= capacity - capacity // 64] or a
-    kept = [full[k] for k in np.flatnonzero(rng.random(len(full)) < 0.5)]
+    kept = [full[k] for k in np.flatnonzero(rng.random(len(full)) < 0.5 ** rng.integers(1, 7))]
     taken = {i for s in kept for i in s}
     others, displaced = [], []
     for s in b:
@@ -93,26 +141,42 @@ def breed(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity:
             displaced += [i for i in s if i not in taken]
         else:
             others.append(s)
+    others.sort(key=lambda s: sum(lengths[i] for i in s))
+    emptied = min(len(others), 1 + int(rng.integers(0, 1 + len(others) // 32)))
+    displaced += [i for s in others[:emptied] for i in s]
+    made, displaced = exchange(kept + others[emptied:], displaced, lengths, capacity, rng)
     displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, capacity, kept + others)
+    return best_fit(lengths, displaced, capacity, made)
+
+
+def settled(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
+    """Next to nothing is left to gain: all room but a 64th of a sequence is in one of them."""
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+    return sum(room) - max(room, default=0) <= capacity // 64
 
 
-def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, population: int, generations: int) -> list[list[int]]:
+def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, population: int, generations: int, patience: int = 6) -> list[list[int]]:
+    """The best packing after ``generations`` children, or once it is settled or ``patience`` children in a row haven't bettered it."""
     rng = np.random.default_rng(seed)
-    bound = math.ceil(sum(lengths) / capacity)
     base = np.array(lengths)
-    pool = list(elites)
+    score = lambda p: fitness(p, lengths, capacity)
+    pool = [(score(p), p) for p in elites]
     for k in range(max(0, population - len(pool))):
         shaken = base * (1 + (0.02 + 0.05 * k) * rng.random(len(base)))
-        pool.append(best_fit(lengths, np.argsort(-shaken, kind="stable").tolist(), capacity))
-    score = lambda p: fitness(p, lengths, capacity)
-    pool.sort(key=score)
+        made = best_fit(lengths, np.argsort(-shaken, kind="stable").tolist(), capacity)
+        pool.append((score(made), made))
+    pool.sort(key=lambda t: t[0])
+    stale = 0
     for k in range(generations):
-        if (k and len(pool[0]) == bound) or len(pool) < 2:
+        if (k and settled(pool[0][1], lengths, capacity)) or len(pool) < 2 or stale >= patience:
             break
         x, y = rng.choice(len(pool), 2, replace=False)
-        pool = sorted([*pool, breed(pool[min(x, y)], pool[max(x, y)], lengths, capacity, rng)], key=score)[:population]
-    return pool[0]
+        child = breed(pool[x][1], pool[y][1], lengths, capacity, rng)
+        now = score(child)
+        stale = 0 if now < pool[0][0] else stale + 1
+        if all(now != t[0] for t in pool):
+            pool = sorted([*pool, (now, child)], key=lambda t: t[0])[: max(2, population)]
+    return pool[0][1]
 
 
 def _order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +229,7 @@ def _packed(some: DataFrame, shards: int, capacity: int, islands: int, epochs: i
     return keyed.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(place, f"{PIECES}, shard long, bin int, fill long, offset long")
 
 
-def pack(piece_rows: DataFrame, capacity: int = 4096, shard_rows: int = 3000, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 3) -> DataFrame:
+def pack(piece_rows: DataFrame, capacity: int = 4096, shard_rows: int = 3000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 60) -> DataFrame:
     """Place each piece: ``sequence_id`` and ``offset`` (gapless from 0), as few sequences as the search finds.
 
     The pieces are written to the shared folder once. No pieces give no rows; ties in length go by
