@@ -15,6 +15,9 @@ from caselake.operators.graph import written
 FORMS: dict[str, tuple[str, str]] = {
     "pctl": ("percentile({})", "quantile_cont({})"),
     "rint": ("rint({})", "round_even({}, 0)"),
+    # Spark rounds a double as it prints: 3534.9449999999997, what doubles make of 3534.945, goes down.
+    "round2": ("(round(({}) * 1e2) / 1e2)", "round({}, 2)"),
+    "round10": ("(round(({}) * 1e10) / 1e10)", "round({}, 10)"),
     "u": ("(CAST(conv(substring(md5({}), 1, 13), 16, 10) AS DOUBLE) / 4503599627370496)", "(CAST(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"),
     "gap": ("timestampdiff(MICROSECOND, {})", "date_diff('microsecond', {})"),
     "hour": ("date_format({}, 'yyyy-MM-dd HH')", "strftime({}, '%Y-%m-%d %H')"),
