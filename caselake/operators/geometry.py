@@ -19,7 +19,7 @@ SELECT l_orderkey AS case_id, seg_idx,
   CAST(20 + 5 * (CAST(l_quantity AS INT) % 10) AS DOUBLE) AS length,
   CAST(20 + 5 * (CAST(l_quantity AS INT) % 10) + 15 * l_linenumber AS DOUBLE) AS maxlength,
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_linenumber AS STRING) END AS group_id
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS BIGINT) AS seg_idx FROM {lineitem})""")
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY @last(l_linenumber), @last(l_partkey), @last(l_suppkey), @last(l_extendedprice), @last(l_shipdate)) - 1 AS BIGINT) AS seg_idx FROM {lineitem})""")
     r.add("walls", """
 SELECT * FROM (VALUES (0, 0.0D0, 10.0D0, 720.0D0, 10.0D0), (1, 0.0D0, 410.0D0, 720.0D0, 410.0D0), (2, 0.0D0, 810.0D0, 720.0D0, 810.0D0),
   (3, 10.0D0, 0.0D0, 10.0D0, 820.0D0), (4, 360.0D0, 0.0D0, 360.0D0, 820.0D0), (5, 710.0D0, 0.0D0, 710.0D0, 820.0D0)) AS t(wall_id, wx0, wy0, wx1, wy1)""".replace("D0", "E0"))

@@ -19,6 +19,8 @@ FORMS: dict[str, tuple[str, str]] = {
     "round2": ("(round(({}) * 1e2) / 1e2)", "round({}, 2)"),
     "round10": ("(round(({}) * 1e10) / 1e10)", "round({}, 10)"),
     "u": ("(CAST(conv(substring(md5({}), 1, 13), 16, 10) AS DOUBLE) / 4503599627370496)", "(CAST(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"),
+    # DuckDB's order has nulls last, Spark's first.
+    "last": ("{} NULLS LAST", "{}"),
     "gap": ("timestampdiff(MICROSECOND, {})", "date_diff('microsecond', {})"),
     "hour": ("date_format({}, 'yyyy-MM-dd HH')", "strftime({}, '%Y-%m-%d %H')"),
     "json_k": ("CAST(get_json_object({}, '$.k') AS BIGINT)", "CAST(json_extract_string({}, '$.k') AS BIGINT)"),
