@@ -27,3 +27,10 @@ def test_replicates_in_one_pass_without_copies_of_rows(spark):
     for k, r in got.items():
         np.testing.assert_allclose(list(r), list(wanted[k]), rtol=1e-9)
     assert R.whole["replicates"] == ("reg", "sp1_split_regression")
+
+
+def test_paired_bootstrap_makes_no_copies_of_rows(spark):
+    from caselake.plans import QUERIES
+
+    plan = QUERIES["ev9_paired_bootstrap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan
