@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselake.plans.relation import Relations
+from caselake.plans.relation import FORMS, Relations
 
 #: Folded row labels of the breakdown and the element that each stands for.
 ELEMENTS = {"pilares": "columns", "vigas": "beams", "lajes": "slabs", "fundacoes": "foundations", "outros": "other", "totais": "total"}
@@ -18,6 +18,7 @@ def html_cells(html: DataFrame) -> DataFrame:
 
     Documents that are null or hold no table give no rows. ``html`` has (doc_id, html).
     """
+    html = html.select("doc_id", "html").repartition("doc_id")  # small tables of large reports come in few parts
     tables = html.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))).alias("tbl", "t"))
     rows = tables.select("doc_id", "tbl", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))).alias("row_no", "r"))
     cells = rows.select("doc_id", "tbl", "row_no", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh]\b.*?</t[dh]>"), F.lit(0))).alias("cell_no", "c"))
@@ -31,6 +32,35 @@ def _number(s: str) -> str:
     return f"@double(CASE WHEN position(',' IN {s}) > 0 AND position('.' IN {s}) > 0 THEN replace(replace({s}, '.', ''), ',', '.') ELSE replace({s}, ',', '.') END)"
 
 
+def breakdown_cells(rv1_html_cells: DataFrame) -> DataFrame:
+    """The relation of this name, by windows over a document; Spark takes tables for small by the file they come from and would send their cells to all tasks to join them."""
+    inside, whole = Window.partitionBy("doc_id", "tbl"), Window.partitionBy("doc_id")
+    cells = rv1_html_cells.where("doc_id IS NOT NULL").withColumn("label", F.expr(FORMS["fold"][0].format("text")))
+    cells = cells.withColumns({
+        "_whole": F.size(F.collect_set(F.when(F.col("label").isin("pilares", "aco", "concreto", "forma"), F.col("label"))).over(inside)),
+        "_named": F.count(F.when(F.col("label") == "resumo de materiais", 1)).over(inside),
+    })
+    first = lambda held: F.min(F.when(held, F.col("tbl"))).over(whole)
+    cells = cells.withColumn("_tbl", F.coalesce(first(F.col("_whole") == 4), first(F.col("_named") > 0)))
+    return cells.where("tbl = _tbl").select("doc_id", "row_no", "cell_no", "text", "label")
+
+
+def report_breakdown(breakdown_cells: DataFrame) -> DataFrame:
+    """The relation ``rv3_report_breakdown`` without its joins: a row is a struct, and its head the greatest one with steel and concrete above it."""
+    number = FORMS["double"][0].format(_number("text").removeprefix("@double(").removesuffix(")"))
+    at = {f"{v}_at": F.min(F.when(F.col("label") == k, F.col("cell_no"))) for k, v in QUANTITIES.items()}
+    rows = breakdown_cells.groupBy("doc_id", "row_no").agg(
+        F.max(F.when(F.col("cell_no") == 0, F.col("label"))).alias("name"), F.collect_list(F.struct("cell_no", F.expr(number).alias("number"))).alias("cells"), *[c.alias(n) for n, c in at.items()])
+    is_head = F.col("steel_at").isNotNull() & F.col("concrete_at").isNotNull()
+    above = Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("head", F.max(F.when(is_head, F.struct("row_no", *at))).over(above))
+    element = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in ELEMENTS.items()])
+    rows = rows.where(F.col("head").isNotNull() & ~is_head).withColumn("element", element).where("element IS NOT NULL")
+    last = F.row_number().over(Window.partitionBy("doc_id", "element").orderBy(F.col("row_no").desc()))
+    values = [F.expr(f"array_max(transform(filter(cells, c -> c.cell_no = head.{v}_at), c -> c.number))").alias(v) for v in QUANTITIES.values()]
+    return rows.withColumn("_k", last).where("_k = 1").select("doc_id", "element", *values)
+
+
 def define(r: Relations) -> None:
     row = lambda kind, *cells: "'<tr>' || " + " || ".join(f"'<{kind}>' || {c} || '</{kind}>'" for c in cells) + " || '</tr>'"
     steel, concrete = "'1.' || CAST(100 + p_size AS STRING) || ',5'", "CAST(p_size AS STRING) || ',25'"
@@ -64,7 +94,7 @@ SELECT d.doc_id, steel, concrete FROM {{report_html}} d LEFT JOIN (SELECT l.doc_
 SELECT c.doc_id, row_no, cell_no, text, @fold(text) AS label FROM {rv1_html_cells} c JOIN (
   SELECT doc_id, coalesce(min(CASE WHEN whole = 4 THEN tbl END), min(CASE WHEN named > 0 THEN tbl END)) AS tbl FROM (
     SELECT doc_id, tbl, count(DISTINCT CASE WHEN l IN ('pilares', 'aco', 'concreto', 'forma') THEN l END) AS whole, count(CASE WHEN l = 'resumo de materiais' THEN 1 END) AS named
-    FROM (SELECT doc_id, tbl, @fold(text) AS l FROM {rv1_html_cells}) GROUP BY doc_id, tbl) GROUP BY doc_id) t ON c.doc_id = t.doc_id AND c.tbl = t.tbl""")
+    FROM (SELECT doc_id, tbl, @fold(text) AS l FROM {rv1_html_cells}) GROUP BY doc_id, tbl) GROUP BY doc_id) t ON c.doc_id = t.doc_id AND c.tbl = t.tbl""", breakdown_cells)
     at = ", ".join(f"min(CASE WHEN label = '{k}' THEN cell_no END) AS {v}_at" for k, v in QUANTITIES.items())
     r.add("breakdown_rows", f"""
 SELECT *, max(CASE WHEN steel_at IS NOT NULL AND concrete_at IS NOT NULL THEN row_no END) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head_row
@@ -75,7 +105,7 @@ FROM (SELECT doc_id, row_no, max(CASE WHEN cell_no = 0 THEN label END) AS name,
 SELECT b.doc_id, b.element, {values} FROM (
   SELECT doc_id, element, row_no, head_row, row_number() OVER (PARTITION BY doc_id, element ORDER BY row_no DESC) AS k FROM {{breakdown_rows}} r JOIN (SELECT * FROM (VALUES {names}) AS v(label, element)) m ON r.name = m.label
   WHERE head_row IS NOT NULL AND (steel_at IS NULL OR concrete_at IS NULL)) b
-JOIN {{breakdown_rows}} h ON b.doc_id = h.doc_id AND b.head_row = h.row_no JOIN {{breakdown_cells}} c ON b.doc_id = c.doc_id AND b.row_no = c.row_no WHERE k = 1 GROUP BY b.doc_id, b.element""")
+JOIN {{breakdown_rows}} h ON b.doc_id = h.doc_id AND b.head_row = h.row_no JOIN {{breakdown_cells}} c ON b.doc_id = c.doc_id AND b.row_no = c.row_no WHERE k = 1 GROUP BY b.doc_id, b.element""", lambda breakdown_rows, breakdown_cells: report_breakdown(breakdown_cells))
     # Rings: one row per vertex; the edge leaving each vertex closes at the first.
     r.add("ring_points", """
 SELECT case_id, seg_idx, corner, CASE WHEN corner IN (0, 3) THEN rx0 ELSE rx1 END AS px, CASE WHEN corner IN (0, 1) THEN ry0 ELSE ry1 END AS py
