@@ -15,6 +15,10 @@ from caselake.sources import tables
 from caselake.streaming import telemetry
 
 
+#: A file is read as one value, so no file gets more reports than this, however many a task writes.
+REPORTS = 2000
+
+
 def _folder(spark: SparkSession) -> str:
     return posixpath.join(shared_folder(spark), f"tables-{uuid.uuid4().hex}")
 
@@ -44,7 +48,7 @@ def make(r: Relations) -> tuple[dict, dict[str, str]]:
 
     def src4(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _folder(spark)
-        r.frame(spark, sf_dir, "report_html").select("html").write.text(path)
+        r.frame(spark, sf_dir, "report_html").select("html").write.option("maxRecordsPerFile", REPORTS).text(path)
         return tables.read_reports(spark, f"{path}/part-*").select(F.length("html").alias("n_chars"))
 
     def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
